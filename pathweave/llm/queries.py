@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathweave.llm import mixing, packing, quality, url_rules
+from pathweave.llm import mixing, packing, personal_data, quality, url_rules
 
 #: Rules of the URL filter query: (host, path, verdict).
 URL_RULES = [
@@ -30,6 +30,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), url_rules.rules_frame(spark, URL_RULES))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.summary(personal_data.find_spans(table(spark, sf_dir, "documents")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality": op2_quality,
         "op6_url_filters": op6_url_filters,
+        "op8_personal_data": op8_personal_data,
         "op9_packing": op9_packing,
         "op10_mixing": op10_mixing,
     }

@@ -82,4 +82,5 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
 
 def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
     """A rules table from (host, path, verdict) tuples."""
-    return spark.createDataFrame(rules, "host string, path string, verdict string")
+    rows = F.array(*[F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in rules])
+    return spark.range(1).select(F.inline(rows))

@@ -96,7 +96,7 @@ def whole(words: np.ndarray) -> np.uint64:
     """Hash of one whole word sequence of any length; equals ``grams`` of that length."""
     n = len(words)
     weights = _ODD[np.arange(n) % len(_ODD)]
-    return mix(np.array([(words * weights).sum(dtype=np.uint64) + _ODD[n % len(_ODD)]], np.uint64))[0]
+    return mix((words * weights).sum(dtype=np.uint64, keepdims=True) + _ODD[n % len(_ODD)])[0]
 
 
 def shingle_set(words: np.ndarray, n: int) -> np.ndarray:

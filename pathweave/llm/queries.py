@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathweave.llm import jaccard, mixing, packing, personal_data, quality, url_rules
+from pathweave.llm import jaccard, mixing, packing, personal_data, quality, repeats, url_rules
 
 #: Rules of the URL filter query: (host, path, verdict).
 URL_RULES = [
@@ -30,6 +30,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicate_classes(table(spark, sf_dir, "documents"), shingle=4, percent=85)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), window=35).drop("kept_text")
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), url_rules.rules_frame(spark, URL_RULES))
 
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality": op2_quality,
         "op3_ngram_jaccard": op3_ngram_jaccard,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_url_filters": op6_url_filters,
         "op8_personal_data": op8_personal_data,
         "op9_packing": op9_packing,

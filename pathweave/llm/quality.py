@@ -160,7 +160,8 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").distinct()
     target = marks.where("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TARGET_ROWS)
-    good = source.join(target.select("doc_id"), "doc_id", "left_semi")
+    # At most MAX_TARGET_ROWS ids are broadcast, so that no text is shuffled.
+    good = source.join(F.broadcast(target.select("doc_id")), "doc_id", "left_semi")
     model = importance_model(source, good)
     scored = materialize(
         log_importance(source, model)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathweave.llm import jaccard, mixing, packing, personal_data, quality, repeats, url_rules
+from pathweave.llm import jaccard, mixing, packing, personal_data, quality, repeats, topk, url_rules
 
 #: Rules of the URL filter query: (host, path, verdict).
 URL_RULES = [
@@ -30,6 +30,11 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicate_classes(table(spark, sf_dir, "documents"), shingle=4, percent=85)
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.exact_top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20, scale=64.0)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), window=35).drop("kept_text")
 
@@ -67,10 +72,38 @@ select page_id, host, path, rule, coalesce(v, 'allow') as verdict from m
 """
 
 
+OP4_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as e from embeddings
+  where vec_id is not null and embedding is not null and list_count(embedding) = len(embedding)
+    and len(list_filter(embedding, lambda x: not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.e::double[], c.e::double[])::bigint as score
+  from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
+
+
+OP5_SQL = """
+with d as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, unnest(range(1, len(w) - 33)) as at, w from d),
+h as (select doc_id, at, md5(array_to_string(w[at:at + 34], ' ')) as h from s),
+m as (select h from h group by h having count(*) > 1),
+c as (select distinct doc_id, unnest(range(at, at + 35)) as i from h semi join m using (h)),
+k as (select doc_id, list(i) as gone, count(*) as n from c group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed,
+       sha256(array_to_string(list_filter(w, lambda x, i: not list_contains(coalesce(gone, []), i)), ' ')) as kept_sha256
+from d left join k using (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality": op2_quality,
         "op3_ngram_jaccard": op3_ngram_jaccard,
+        "op4_exact_top_k": op4_exact_top_k,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_url_filters": op6_url_filters,
         "op8_personal_data": op8_personal_data,
@@ -80,4 +113,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": OP6_SQL}
+    return {"op4_exact_top_k": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op6_url_filters": OP6_SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathweave.llm import jaccard, mixing, packing, personal_data, quality, repeats, topk, url_rules
+from pathweave.llm import embedding_dedup, jaccard, mixing, packing, personal_data, quality, repeats, topk, url_rules
 
 #: Rules of the URL filter query: (host, path, verdict).
 URL_RULES = [
@@ -22,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -88,10 +92,10 @@ select query_id, rank, vec_id, score from r where rank <= 20
 OP5_SQL = """
 with d as (
   select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
-s as (select doc_id, unnest(range(1, len(w) - 33)) as at, w from d),
-h as (select doc_id, at, md5(array_to_string(w[at:at + 34], ' ')) as h from s),
+s as (select doc_id, unnest(range(1, len(w) - 33)) as p, w from d),
+h as (select doc_id, p, md5(array_to_string(w[p:p + 34], ' ')) as h from s),
 m as (select h from h group by h having count(*) > 1),
-c as (select distinct doc_id, unnest(range(at, at + 35)) as i from h semi join m using (h)),
+c as (select distinct doc_id, unnest(range(p, p + 35)) as i from h semi join m using (h)),
 k as (select doc_id, list(i) as gone, count(*) as n from c group by doc_id)
 select d.doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed,
        sha256(array_to_string(list_filter(w, lambda x, i: not list_contains(coalesce(gone, []), i)), ' ')) as kept_sha256
@@ -101,6 +105,7 @@ from d left join k using (doc_id)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embedding_dedup": op1_embedding_dedup,
         "op2_quality": op2_quality,
         "op3_ngram_jaccard": op3_ngram_jaccard,
         "op4_exact_top_k": op4_exact_top_k,

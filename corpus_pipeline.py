@@ -1,10 +1,78 @@
-"""Corpus preparation in five stages: quality, near duplicates, personal data, mixing, packing."""
+"""Corpus preparation in five stages: quality, near duplicates, personal data, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before has kept. All but the last return the
+columns of documents. Nulls, empty and repeated rows follow the rules of the operator that a stage calls.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pathweave.llm import jaccard, mixing, packing, personal_data, quality
+from pathweave.llm.cluster import shared_folder
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Importance resampling on the quality labels; documents that it rejects go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.kept_documents(docs.select(*COLUMNS), labels)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays: the one with the smallest id, once. Rows without an id stay."""
+    classes = jaccard.near_duplicate_classes(docs, shingle=5, percent=80)
+    kept = classes.where("doc_id = component_id").select("doc_id").distinct()
+    chosen = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    first = chosen.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("nth = 1")
+    return first.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind in brackets."""
+    found = personal_data.find_spans(docs, keep=COLUMNS)
+    text = F.when(F.col("row.text").isNotNull(), personal_data.masked(F.col("row.text")))
+    return found.select("row.*", text.alias("masked")).withColumn("text", F.col("masked")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are mixed to their target weights: each document stands as often as the mix takes it."""
+    mix = mixing.balanced_mix(docs).select(F.col("doc_id").alias("id"), F.col("size").alias("words"), "copies")
+    # Rows with equal id and size are told apart by a number; any of the mix's rows will do for any of them.
+    mix = mix.withColumn("nth", F.row_number().over(Window.partitionBy("id", "words").orderBy("copies")))
+    sized = docs.select(*COLUMNS, mixing.word_count(F.col("text")).alias("words"))
+    sized = sized.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "words").orderBy(F.xxhash64("text"))))
+    taken = sized.join(mix.withColumnRenamed("words", "size").withColumnRenamed("nth", "n"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("words") == F.col("size")) & (F.col("nth") == F.col("n")))
+    return taken.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are packed into sequences of the permitted lengths."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("personal_data", personal_data_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: The stages learn from data and iterate, which SQL doesn't express; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's result is written as Parquet into the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for number, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{number}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -119,9 +119,10 @@ def _votes(kind: str, text: Column, span: Column, strict: Column) -> list[Column
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id`` and per kind an array of candidate spans with their votes; one row per input row, null text as empty."""
+    """``doc_id``, ``row`` (a struct of the columns of ``keep``, if any) and per kind an array of candidate spans with their votes."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *keep)
+    row = [F.struct(*keep).alias("row")] if keep else []
+    out = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *row)
     guards = {
         "email": F.contains("text", F.lit("@")),
         "ip": F.col("text").rlike(r"[0-9]\.[0-9]"),
@@ -144,7 +145,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...
         return F.transform(spans, one)
 
     both = {k: F.concat(voted(k, f"{k}_base", True), voted(k, f"{k}_loose", False)) if k in LOOSE else voted(k, f"{k}_base", True) for k in KINDS}
-    return out.select("doc_id", *keep, *[both[k].alias(k) for k in KINDS])
+    return out.select("doc_id", *(["row"] if keep else []), *[both[k].alias(k) for k in KINDS])
 
 
 def vote_counts(spans: DataFrame) -> list[tuple[str, tuple[int, ...], int]]:
@@ -210,7 +211,7 @@ def _probability(weights: dict[tuple, float], kind: str, span: Column) -> Column
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), sure: float = SURE) -> DataFrame:
-    """Personal data of every document: ``doc_id``, the columns of ``keep``, and per kind (``email, ip, card, phone``) an
+    """Personal data of every document: ``doc_id``, ``row`` with the columns of ``keep``, if any, and per kind (``email, ip, card, phone``) an
     array of spans (start, end, base), one row per input row.
 
     Offsets count code points of the whole text, end exclusive. Spans with ``base`` are the base matches that pass their
@@ -228,7 +229,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         kept = F.transform(F.filter(kind, sure_of), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base")))
         return F.array_sort(kept)
 
-    return spans.select("doc_id", *keep, *[chosen(k).alias(k) for k in KINDS])
+    return spans.select("doc_id", *(["row"] if keep else []), *[chosen(k).alias(k) for k in KINDS])
 
 
 def span_list(only_base: bool) -> Column:

@@ -12,8 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pathweave.llm.cluster import materialize
 from pathweave.llm.words import Words, grams, mix, texts
@@ -99,20 +100,30 @@ def importance_model(docs: DataFrame, target: DataFrame, text_col: str = "text",
     return counts[0] - counts[1]
 
 
-def log_importance(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, log_weight, n_grams`` of every row; texts without words have weight 0."""
+def log_importance(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """``doc_id, log_weight, n_grams`` of every row; texts without words have weight 0. ``carry`` keeps all columns instead of the id."""
+    frame = docs if carry else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    at = frame.columns.index(text_col if carry else "text")
+    kept = frame.schema.fields if carry else frame.schema.fields[:1]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             weight, grams_of = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            for a, b, w in texts(batch.column(1)):
+            for a, b, w in texts(batch.column(at)):
                 bucket, doc = features(w)
                 weight[a:b] = np.bincount(doc, model[bucket], minlength=b - a)
                 grams_of[a:b] = np.bincount(doc, minlength=b - a)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weight), pa.array(grams_of)], ["doc_id", "log_weight", "n_grams"])
+            columns = batch.columns[: len(kept)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(weight), pa.array(grams_of)], [*(f.name for f in kept), "log_weight", "n_grams"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(score, f"doc_id {kind}, log_weight double, n_grams long")
+    schema = T.StructType([*kept, T.StructField("log_weight", T.DoubleType()), T.StructField("n_grams", T.LongType())])
+    return frame.mapInArrow(score, schema)
+
+
+def _keyed(scored: DataFrame, temperature: float, id_col: str = "doc_id") -> DataFrame:
+    """Adds the resampling key: log weight plus Gumbel noise from a hash of id and weight, and a hash that orders ties."""
+    uniform = (F.pmod(F.xxhash64(id_col, "log_weight", F.lit(99)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    return scored.withColumn("key", F.col("log_weight") - temperature * F.log(-F.log(uniform))).withColumn("tie", F.xxhash64(id_col, F.lit(3)))
 
 
 def kth_largest(scored: DataFrame, col: str, tie: str, k: int) -> tuple[float, int] | None:
@@ -146,40 +157,48 @@ def kth_largest(scored: DataFrame, col: str, tie: str, k: int) -> tuple[float, i
     return low, row[0]
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: float | None = None, temperature: float = TEMPERATURE) -> DataFrame:
-    """Importance resampling: ``doc_id, log_weight, key, kept``, one row per input row.
-
-    ``labels`` marks target text with ``label_col`` = 1; at most ``MAX_TARGET_ROWS`` of them fit the target model. The raw
-    model counts every row of ``docs``. ``keep`` is the share of rows to take; by default it is the share of rows whose
-    importance per n-gram is above the level that parts labelled rows of both kinds best. The k rows with the largest
-    log weight plus Gumbel noise (a hash of id and text, so reruns agree) are kept. Null and empty texts have weight 0, as
-    every text that fits both models alike; rows with equal ids and texts get the same key, and ties are taken by id. An
-    empty table gives an empty result; without labelled rows all rows have weight 0 and, by default, all are kept. Other
-    columns are not read.
-    """
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, keep: float | None, temperature: float) -> tuple[np.ndarray, Column, DataFrame]:
+    """The model, the condition on ``key`` and ``tie`` under which a row is kept, and the scores of all rows."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").distinct()
     target = marks.where("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TARGET_ROWS)
     # At most MAX_TARGET_ROWS ids are broadcast, so that no text is shuffled.
     good = source.join(F.broadcast(target.select("doc_id")), "doc_id", "left_semi")
     model = importance_model(source, good)
-    scored = materialize(
-        log_importance(source, model)
-        .withColumn("per_gram", F.when(F.col("n_grams") > 0, F.col("log_weight") / F.col("n_grams")).otherwise(0.0))
-        .withColumn("uniform", (F.pmod(F.xxhash64("doc_id", "log_weight", F.lit(99)), F.lit(1 << 40)) + 0.5) / float(1 << 40))
-        .withColumn("key", F.col("log_weight") - temperature * F.log(-F.log("uniform")))
-        .withColumn("tie", F.xxhash64("doc_id", F.lit(3)))
-        .drop("uniform")
-    )
+    per_gram = F.when(F.col("n_grams") > 0, F.col("log_weight") / F.col("n_grams")).otherwise(0.0)
+    scored = materialize(_keyed(log_importance(source, model), temperature).withColumn("per_gram", per_gram))
     if keep is None:
         k = scored.where(F.col("per_gram") >= _level(scored.join(marks, "doc_id"))).count()
     else:
         k = round(keep * scored.count())
     last = kth_largest(scored, "key", "tie", k)
     kept = F.lit(False) if last is None else (F.col("key") > last[0]) | ((F.col("key") == last[0]) & (F.col("tie") <= last[1]))
+    return model, kept, scored
+
+
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: float | None = None, temperature: float = TEMPERATURE) -> DataFrame:
+    """Importance resampling: ``doc_id, log_weight, key, kept``, one row per input row.
+
+    ``labels`` marks target text with ``label_col`` = 1; at most ``MAX_TARGET_ROWS`` of them fit the target model. The raw
+    model counts every row of ``docs``. ``keep`` is the share of rows to take; by default it is the share of rows whose
+    importance per n-gram is above the level that parts labelled rows of both kinds best. The k rows with the largest
+    log weight plus Gumbel noise (a hash of id and weight, so reruns agree) are kept. Null and empty texts have weight 0, as
+    every text that fits both models alike; rows with equal ids and texts get the same key and go or stay together; other
+    ties are taken by a hash of the id. An empty table gives an empty result; without labelled rows of both kinds all rows
+    are kept by default. Other columns are not read.
+    """
+    _, kept, scored = fit(docs, labels, id_col, text_col, label_col, keep, temperature)
     return scored.select("doc_id", "log_weight", "key", kept.alias("kept"))
 
 
+def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: float | None = None, temperature: float = TEMPERATURE) -> DataFrame:
+    """The rows of ``docs`` that ``resample`` keeps, with all their columns. Texts are scored once more instead of being shuffled."""
+    model, kept, _ = fit(docs, labels, id_col, text_col, label_col, keep, temperature)
+    columns = docs.columns
+    packed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(*columns).alias("row"))
+    return _keyed(log_importance(packed, model, carry=True), temperature).where(kept).select("row.*")
+
+
 def _level(labelled: DataFrame, step: float = 0.02, most: float = 40.0) -> float:
     """Importance per n-gram that parts labelled rows with the fewest errors, each kind counted by share.
 

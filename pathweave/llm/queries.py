@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathweave.llm import embedding_dedup, jaccard, mixing, packing, personal_data, quality, repeats, topk, url_rules
+from pathweave.llm import embedding_dedup, jaccard, mixing, packing, personal_data, quality, repeats, topk, toxicity, url_rules
 
 #: Rules of the URL filter query: (host, path, verdict).
 URL_RULES = [
@@ -47,6 +47,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), url_rules.rules_frame(spark, URL_RULES))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.summary(personal_data.find_spans(table(spark, sf_dir, "documents")))
 
@@ -111,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_top_k": op4_exact_top_k,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_url_filters": op6_url_filters,
+        "op7_toxicity": op7_toxicity,
         "op8_personal_data": op8_personal_data,
         "op9_packing": op9_packing,
         "op10_mixing": op10_mixing,

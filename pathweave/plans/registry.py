@@ -1,4 +1,4 @@
-"""Queries by name, and their SQL."""
+"""Queries by name, and their SQL. Each applies an operator to whole tables derived from the given ones."""
 
 from __future__ import annotations
 
@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pathweave.plans import routing_queries, source_queries, study_queries
+
+_MODULES = (routing_queries, study_queries, source_queries)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """How many announced pairs are valid, unknown, or invalid by each kind."""
+    return queries()["validity_counts"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: run for m in _MODULES for name, (run, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, (_, sql) in m.QUERIES.items() if sql}

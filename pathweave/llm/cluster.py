@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no folder of its own, as in local tests.
 DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints/pathweave"
+#: Spark's setting that removes a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,11 +25,17 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table into the shared folder and read it back, which cuts its lineage.
 
-    The table survives the loss of any executor, and later readers prune its columns.
+    The table survives the loss of any executor, and later readers prune its columns. Shuffle files of the write go when
+    it ends, as nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -25,8 +25,12 @@ MAX_CLEAN_ROWS = 18_000
 #: Candidate words of toxic rows, and words of clean rows, that reach the driver at most.
 MAX_CANDIDATES = 1_500
 MAX_CLEAN_WORDS = 20_000
-#: Different texts that a word must explain to count as marking.
-MIN_GAIN = 4
+#: A word must explain so many different texts, and this share of toxic rows, to count as marking; be this much more common
+#: in toxic rows than in clean ones; and have this log-likelihood ratio: chance makes one in a million words as one-sided.
+MIN_GAIN = 3
+MIN_GAIN_SHARE = 0.005
+MIN_LIFT = 60
+MIN_EVIDENCE = 14.0
 LANDMARKS = (192, 64)  # toxic and clean
 #: Weight of a subsequence per character that it spans beyond three.
 DECAY = 0.6
@@ -64,6 +68,14 @@ def spell(words: list[bytes]) -> list[bytes]:
     return [w for w in out if len(w) >= 3]
 
 
+def variants(word: bytes) -> list[bytes]:
+    """A marking word with one letter put in or doubled at each inner place, as writers do to hide it; short words are left alone."""
+    if len(word) < 5:
+        return []
+    out = [word[:i] + b"x" + word[i:] for i in range(1, len(word), 2)]
+    return out + [word[:i] + word[i - 1 : i] + word[i:] for i in range(1, len(word), 2)]
+
+
 def subsequences(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Subsequence number and weight of each choice of three places, for words of one length (rows of ``codes``)."""
     places = _PLACES[codes.shape[1]]
@@ -115,8 +127,19 @@ def worst_words(w: Words, weights: np.ndarray, offset: float) -> np.ndarray:
     doc = np.repeat(np.arange(len(w.bounds) - 1), np.diff(w.bounds))
     size = end - start
     data = w.data
+    # Words with signs inside are looked at without them as well.
+    inner = np.concatenate([[0], np.cumsum(_INNER[data])])
+    pure = inner[end] - inner[start]
+    hidden = np.flatnonzero((pure < size) & (pure >= 3))
+    if len(hidden):
+        at = np.repeat(start[hidden], size[hidden]) + np.arange(int(size[hidden].sum())) - np.repeat(np.cumsum(size[hidden]) - size[hidden], size[hidden])
+        at = at[_INNER[data[at]]]
+        to = len(data) + np.cumsum(pure[hidden])
+        data = np.concatenate([data, data[at]])
+        start, end, doc = np.concatenate([start, to - pure[hidden]]), np.concatenate([end, to]), np.concatenate([doc, doc[hidden]])
+        size = end - start
     # Runs of single letters are spelled words.
-    single = np.flatnonzero(size == 1)
+    single = np.flatnonzero(size[: len(w.starts)] == 1)
     if len(single) > 2:
         breaks = np.flatnonzero((np.diff(single) != 1) | (np.diff(doc[single]) != 0)) + 1
         spelled = [r for r in np.split(single, breaks) if len(r) >= 3]
@@ -190,7 +213,10 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float,
     n_bad, n_good = (rows.where(f"toxic = {t}").count() for t in (1, 0))
     if not n_bad or not n_good:
         return np.zeros(_SYMBOLS**3), -1.0, 1.0, 0.0
-    marking = counts.where((F.col("bad") >= MIN_GAIN) & (F.col("good") * n_bad * 20 <= F.col("bad") * n_good)).orderBy(F.col("bad").desc(), "word").limit(MAX_CANDIDATES)
+    # Evidence that a word marks toxic rows: log-likelihood ratio of its share of toxic rows to theirs among all rows.
+    share, seen = n_bad / (n_bad + n_good), F.col("bad") + F.col("good")
+    evidence = F.col("bad") * F.log(F.col("bad") / (seen * share)) + F.col("good") * F.log(F.greatest(F.col("good"), F.lit(1)) / (seen * (1 - share)))
+    marking = counts.where((F.col("bad") >= MIN_GAIN) & (F.col("bad") * n_good > (F.col("good") + 0.5) * n_bad * MIN_LIFT) & (evidence >= MIN_EVIDENCE)).orderBy(F.col("bad").desc(), "word").limit(MAX_CANDIDATES)
     candidates = [bytes(r.word) for r in marking.collect()]
     clean = [bytes(r.word) for r in counts.where((F.col("good") >= 1) & (F.col("bad") * n_good <= F.col("good") * n_bad * 3)).orderBy(F.xxhash64("word"), "word").limit(MAX_CLEAN_WORDS).collect()]
     places: dict[bytes, set] = {w: set() for w in candidates}
@@ -201,21 +227,22 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float,
     while left:
         word = max(places, key=lambda w: (len(places[w] & left), len(places[w]), w))
         gain = places[word] & left
-        if len(gain) < MIN_GAIN:
+        if len(gain) < max(MIN_GAIN, MIN_GAIN_SHARE * n_bad):
             break
         cover.append((word, len(places[word])))
         left -= gain
     if not cover or not clean:
         return np.zeros(_SYMBOLS**3), -1.0, 1.0, 0.0
     bad = [w for w, _ in cover]
+    spoiled = sorted({v for w in bad for v in variants(w)} - set(clean))
     landmarks = np.stack([embed(w) for w in [*bad[: LANDMARKS[0]], *clean[: LANDMARKS[1]]]])
     kernel = landmarks @ landmarks.T
     value, vector = np.linalg.eigh(kernel)
     keep = value > 1e-8 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])  # landmark columns to Nyström features
-    features = np.concatenate([_columns(bad, landmarks), _columns(clean, landmarks)]) @ root
-    sign = np.concatenate([np.ones(len(bad)), -np.ones(len(clean))])
-    weight = np.where(sign > 0, 0.5 / len(bad), 0.5 / len(clean))
+    features = np.concatenate([_columns(bad, landmarks), _columns(spoiled, landmarks), _columns(clean, landmarks)]) @ root
+    sign = np.concatenate([np.ones(len(bad) + len(spoiled)), -np.ones(len(clean))])
+    weight = np.concatenate([np.full(len(bad), 0.3 / len(bad)), np.full(len(spoiled), 0.2 / max(1, len(spoiled))), np.full(len(clean), 0.5 / len(clean))])
     plane, offset = support_vectors(features, sign, weight)
     primal = landmarks.T @ (root @ plane)
 

@@ -135,7 +135,7 @@ QUERIES = {
     "connectivity": _q(lambda s, d: tp.connectivity(*_pc(s, d)), oracle("select asn, cast(connectivity as bigint) as connectivity from conn", "conn")),
     "as_adjacency": _q(
         lambda s, d: tp.as_adjacency(*_pc(s, d)).select("asn", *[F.array_join(c, ",").alias(c) for c in ("peers", "customers", "providers", "stubs")], "stub", "multihomed"),
-        oracle("""select a.asn, coalesce((select string_agg(distinct cast(x as varchar), ',' order by x) from (select peer_as_2 as x from peers p where p.peer_as_1 = a.asn union select peer_as_1 from peers p where p.peer_as_2 = a.asn) q), '') as peers,
+        oracle("""select a.asn, coalesce((select string_agg(cast(x as varchar), ',' order by x) from (select peer_as_2 as x from peers p where p.peer_as_1 = a.asn union select peer_as_1 from peers p where p.peer_as_2 = a.asn) q), '') as peers,
   coalesce(c.l, '') as customers, coalesce(r.l, '') as providers, coalesce(st.l, '') as stubs,
   c.n is null and not exists (select 1 from peers p where p.peer_as_1 = a.asn or p.peer_as_2 = a.asn) as stub,
   c.n is null and not exists (select 1 from peers p where p.peer_as_1 = a.asn or p.peer_as_2 = a.asn) and coalesce(r.n, 0) > 1 as multihomed

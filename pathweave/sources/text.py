@@ -211,14 +211,16 @@ def extract_blacklist(df: DataFrame, mode: str, source: str) -> DataFrame:
         raise ValueError(f"mode is one of {', '.join(BLACKLIST_MODES)}")
     null_asn, null_prefix = F.lit(None).cast("long"), F.lit(None).cast(px.TYPE)
     if mode == "asn":
-        rows = df.select(F.explode(F.regexp_extract_all("value", F.lit(r"AS([0-9]+)"), F.lit(1))).cast("long").alias("asn"), null_prefix.alias("prefix"))
+        found = df.select(F.explode(F.regexp_extract_all("value", F.lit(r"AS([0-9]+)"), F.lit(1))).alias("x"))
+        rows = found.select(F.col("x").try_cast("long").alias("asn"), null_prefix.alias("prefix")).where("asn is not null")
     elif mode == "multi":
         block = px.parse(F.regexp_extract("value", r"^((?:[0-9]{1,3}\.){3}[0-9]{1,3}/[0-9]{1,2})", 1))
         asn = F.try_element_at(F.regexp_extract_all("value", F.lit(r"AS([0-9]+)"), F.lit(1)), F.lit(-1)).cast("long")
         rows = df.select(asn.alias("asn"), block.alias("prefix")).where("asn is not null and prefix is not null")
     else:
         pattern = r"(?<![0-9./])((?:[0-9]{1,3}\.){3}[0-9]{1,3})(?![0-9./])" if mode == "ip" else r"((?:[0-9]{1,3}\.){3}[0-9]{1,3}/[0-9]{1,2})"
-        rows = df.select(null_asn.alias("asn"), px.parse(F.explode(F.regexp_extract_all("value", F.lit(pattern), F.lit(1)))).alias("prefix")).where("prefix is not null")
+        found = df.select(F.explode(F.regexp_extract_all("value", F.lit(pattern), F.lit(1))).alias("x"))
+        rows = found.select(null_asn.alias("asn"), px.parse(F.col("x")).alias("prefix")).where("prefix is not null")
     return rows.distinct().withColumn("source", F.lit(source))
 
 

@@ -233,6 +233,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float,
         left -= gain
     if not cover or not clean:
         return np.zeros(_SYMBOLS**3), -1.0, 1.0, 0.0
+    known = {w for w, _ in cover}
+    cover += [(w, len(places[w])) for w in own_words(places, max(5, MIN_GAIN_SHARE * n_bad)) if w not in known]
     bad = [w for w, _ in cover]
     spoiled = sorted({v for w in bad for v in variants(w)} - set(clean))
     landmarks = np.stack([embed(w) for w in [*bad[: LANDMARKS[0]], *clean[: LANDMARKS[1]]]])
@@ -256,6 +258,20 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float,
     return primal, offset, slope, shift
 
 
+def own_words(places: dict[bytes, set], least: float, alike: float = 0.6, company: int = 3) -> list[bytes]:
+    """Candidates that come in many texts, and not always with the same others: words that copies of one text share go together."""
+    words = sorted(places)
+    number = {t: i for i, t in enumerate(sorted(set().union(*places.values())))}
+    held = np.zeros((len(words), len(number)), np.float32)
+    for i, w in enumerate(words):
+        held[i, [number[t] for t in places[w]]] = 1
+    both, size = held @ held.T, held.sum(axis=1)
+    share = both / np.maximum(size[:, None] + size[None, :] - both, 1)
+    with_it = (share >= alike).sum(axis=1) - 1
+    chosen = [i for i in np.argsort(-size, kind="stable") if size[i] >= least and with_it[i] < company]
+    return [words[i] for i in chosen]
+
+
 def _columns(words: list[bytes], landmarks: np.ndarray) -> np.ndarray:
     """Kernel columns of words: a word has few subsequences, so only those of the landmarks are looked up."""
     by_subsequence = np.ascontiguousarray(landmarks.T)

@@ -80,6 +80,36 @@ select page_id, host, path, rule, coalesce(v, 'allow') as verdict from m
 """
 
 
+OP1_SQL = """
+with recursive v as (
+  select vec_id, label, embedding::double[] as e from embeddings
+  where vec_id is not null and label is not null and list_count(embedding) = len(embedding) and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+      where list_cosine_similarity(a.e, b.e) >= 0.93),
+r(a, b) as (select a, b from p union select r.a, p.b from r join p on r.b = p.a),
+n as (select a, count(*) as n_links from p group by a),
+c as (select a, min(b) as low from r group by a)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, least(vec_id, coalesce(low, vec_id)) as component_id,
+       vec_id = least(vec_id, coalesce(low, vec_id)) as kept
+from embeddings left join n on vec_id = n.a left join c on vec_id = c.a
+"""
+
+OP3_SQL = """
+with recursive d as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select distinct doc_id, md5(array_to_string(w[p:p + 3], ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 2)) as p from d) q
+      union select doc_id, md5(array_to_string(w, ' ')) from d where len(w) between 1 and 3),
+n as (select doc_id, count(*) as n from s group by doc_id),
+i as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b using (h) where a.doc_id <> b.doc_id group by all),
+p as (select a, b from i join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 85 * (x.n + y.n - i)),
+r(a, b) as (select a, b from p union select r.a, p.b from r join p on r.b = p.a),
+c as (select a, min(b) as low from r group by a)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) as component_id
+from d left join n using (doc_id) left join c on d.doc_id = c.a
+"""
+
 OP4_SQL = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as e from embeddings
@@ -92,7 +122,6 @@ r as (select query_id, row_number() over (partition by query_id order by score d
 select query_id, rank, vec_id, score from r where rank <= 20
 """
 
-
 OP5_SQL = """
 with d as (
   select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
@@ -123,4 +152,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_top_k": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op6_url_filters": OP6_SQL}
+    return {"op1_embedding_dedup": OP1_SQL, "op3_ngram_jaccard": OP3_SQL, "op4_exact_top_k": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op6_url_filters": OP6_SQL}

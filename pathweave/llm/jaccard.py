@@ -117,8 +117,8 @@ class Scheme:
         """Signatures of a set given as sorted distinct hashes. Empty where only an equal set can link."""
         n = len(tokens)
         errors = self.errors(n)
-        if errors == 0:
-            return []
+        if errors == 0 and 100 * n < self.percent * (n + 1):
+            return []  # neither a smaller set nor one with one more token reaches the threshold
         cell = _counter(tokens)
         frequent = self.first[cell]
         rare = tokens[~frequent]

@@ -216,6 +216,31 @@ def test_signatures_of_linking_sets_meet():
         assert len(np.intersect1d(a, b))
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_signatures_of_small_sets_inside_larger_ones_meet(percent):
+    rng = np.random.default_rng(5)
+    pairs = [(n, m) for m in range(2, 13) for n in range(1, m) if 100 * n >= percent * m]
+    assert (4, 5) in pairs if percent == 80 else (6, 7) in pairs
+    for n, m in pairs * 40:
+        y = np.unique(rng.integers(0, 2**63, m, dtype=np.uint64))
+        x = np.sort(rng.choice(y, n, replace=False))
+        first, last = np.zeros(jaccard.COUNTERS, bool), np.zeros(jaccard.COUNTERS, bool)
+        first[jaccard._counter(y[rng.random(m) < rng.choice([0, 0.5, 1])])] = True
+        last[jaccard._counter(y[rng.random(m) < rng.choice([0, 0.5, 1])])] = True
+        scheme = jaccard.Scheme(percent, first, last & first)
+        a, b = (np.concatenate(scheme.signatures(s)) for s in (x, y))
+        assert len(np.intersect1d(a, b)), (n, m)
+
+
+@pytest.mark.parametrize(("shingle", "percent", "size"), [(4, 85, 9), (5, 80, 8)])
+def test_jaccard_links_a_small_set_inside_a_larger_one(spark, shingle, percent, size):
+    said = [f"w{i}" for i in range(size)]
+    rows = [(1, " ".join(said)), (2, " ".join([*said, "more"])), (3, " ".join(said[:5]))]
+    got = jaccard.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"), shingle=shingle, percent=percent).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == jaccard_classes(rows, shingle, percent)
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3}
+
+
 # Repeated passages
 
 

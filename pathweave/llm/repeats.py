@@ -5,6 +5,9 @@ with equal words have equal anchors wherever they stand, and neighbouring window
 windows with one anchor is a segment. Only segments whose anchor occurs at two places or more can hold a repeated
 window. Equal segments are reduced to one with a count. Each shard builds a compressed index of its segments and
 streams them through backward search, which yields the windows that occur at least twice.
+
+An anchor whose distinct segments have more words than a shard holds (a phrase common to many texts, with other
+neighbours in each) is not indexed: its windows are dealt on by a fingerprint of all their words and counted.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pathweave.llm.words import _ODD, Words, grams, mix, texts
 
 #: Words of a gram that can be an anchor.
 GRAM = 8
-#: Words of segments that one index holds, but for an anchor with more.
+#: Words of segments from which an index is closed, and that one anchor's segments in it have at most.
 SHARD_WORDS = 1 << 20
 #: Windows of a segment that are searched as one query.
 LANE_WINDOWS = 128
@@ -192,6 +195,35 @@ def _search(parts: DataFrame, window: int, shard_words: int) -> DataFrame:
     return parts.mapInArrow(emit, "anchor long, print long, runs array<int>")
 
 
+def _heavy(found: DataFrame, window: int, shard_words: int) -> DataFrame:
+    """Anchors whose distinct segments have more words than a shard holds: (``anchor``)."""
+    once = found.groupBy("anchor", "print").agg((F.min("n") + window - 1).alias("words"))
+    return once.groupBy("anchor").agg(F.sum("words").alias("words")).where(F.col("words") > shard_words).select("anchor")
+
+
+def _counted(parts: DataFrame, distinct: DataFrame, window: int) -> DataFrame:
+    """As ``_search``, by counts of the windows' fingerprints inside each anchor, whatever the number of segments."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, w in texts(batch.column(3)):
+                words = w.hashes()
+                count = np.diff(w.bounds) - window + 1
+                at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                prints = _prints(words, np.repeat(w.bounds[:-1], count) + at, np.full(len(at), window))
+                piece = pa.array(np.repeat(np.arange(a, b), count))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(piece) for c in range(3)), pa.array(at.astype(np.int32)), pa.array(prints.view(np.int64))], ["anchor", "print", "copies", "at", "f"]
+                )
+
+    # A piece that comes twice, from a repeated row, has more than one copy; it adds to counts of windows that occur twice anyway.
+    windows = parts.mapInArrow(emit, "anchor long, print long, copies long, at int, f long")
+    twice = windows.groupBy("anchor", "f").agg(F.count(F.lit(1)).alias("m")).where("m >= 2").select("anchor", "f")
+    hits = windows.where("copies = 1").join(twice, ["anchor", "f"]).groupBy("anchor", "print").agg(F.collect_list("at").alias("at"))
+    runs = hits.select("anchor", "print", F.flatten(F.transform("at", lambda x: F.array(x, x + 1))).alias("runs"))
+    return runs.unionByName(distinct.where("copies > 1").select("anchor", "print", F.array(F.lit(0), F.col("at.n")).alias("runs")))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Texts without repeated passages: ``doc_id, n_words, n_removed, kept_sha256, kept_text``, one row per input row.
 
@@ -211,7 +243,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     distinct = found.groupBy("anchor", "print").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("d", "k", "start", "n")).alias("at"))
     lists = distinct.groupBy("at.d", "at.k").agg(F.collect_list(F.struct(F.col("at.start").alias("start"), F.col("at.n").alias("n"), "anchor", "print", "copies")).alias("list"))
     pieces = _cut(keyed.join(lists, ["d", "k"]).select("text", "list"), window)
-    verdicts = materialize(_search(pieces.repartition("anchor").sortWithinPartitions("anchor", "print"), window, shard_words))
+    heavy = materialize(_heavy(found, window, shard_words))
+    counted = None
+    if not heavy.isEmpty():
+        pieces = materialize(pieces)
+        counted = _counted(pieces.join(heavy, "anchor", "left_semi").select(pieces.columns), distinct.join(heavy, "anchor", "left_semi"), window)
+        pieces = pieces.join(heavy, "anchor", "left_anti")
+    searched = _search(pieces.select("anchor", "print", "copies", "words").repartition("anchor").sortWithinPartitions("anchor", "print"), window, shard_words)
+    verdicts = materialize(searched if counted is None else searched.unionByName(counted))
     spans = found.join(verdicts, ["anchor", "print"]).select("d", "k", F.transform("runs", lambda r, i: r + F.col("start") + F.when(i % 2 == 1, window - 1).otherwise(0)).alias("spans"))
     spans = spans.groupBy("d", "k").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 

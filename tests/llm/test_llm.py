@@ -265,6 +265,24 @@ def test_repeats(docs, empty, window, shard_words):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_a_common_phrase_does_not_fill_one_index(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    made = lambda n: [f"v{x}" for x in rng.integers(0, 10**9, n)]
+    phrase, tail = made(10), made(6)
+    rows = [(i, " ".join([*made(15), *phrase, *(tail if i % 7 == 0 else made(6)), *made(9)])) for i in range(80)]
+    rows += [(100, rows[1][1]), (101, rows[2][1]), (101, rows[2][1]), (102, " ".join([*made(3), *rows[3][1].split()[10:30], *made(3)]))]
+    most = []
+
+    def search(parts, window, shard_words, was=repeats._search):
+        most.append(parts.groupBy("anchor").agg(F.sum(F.size(F.split("words", " "))).alias("n")).agg(F.max("n")).first()[0] or 0)
+        return was(parts, window, shard_words)
+
+    monkeypatch.setattr(repeats, "_search", search)
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=12, shard_words=100).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == without_repeats(rows, 12)
+    assert max(most) <= 100
+
+
 def test_index_counts_patterns():
     rng = np.random.default_rng(0)
     text = np.concatenate([np.append(rng.integers(1, 4, 60), 0) for _ in range(8)])

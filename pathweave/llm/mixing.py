@@ -3,8 +3,9 @@
 Each source gets a target of words. A document's expected number of copies is its source's target over its source's
 size; the whole part is taken outright and the fractional part is an inclusion probability. The flight phase moves
 these probabilities through the null space of two constraints, the words and the documents taken, so that every step
-keeps both totals; blocks of a source fly apart from each other, what is left of them flies once more per source, and
-the landing rounds the last few so that the source's words end nearest the target.
+keeps both totals; blocks of a source fly apart from each other. What is left of them, at most two rows a block, lands
+together with a reserve of short documents that doesn't fly: the constraint on documents is dropped, and rows are rounded in
+falling size so that the words still expected of the rest stay nearest to the words still missing.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 MAX_COPIES = 3
 #: Rows that fly in one block. A block leaves two undecided rows at most.
 BLOCK_ROWS = 4096
+#: Documents of a source, no longer than its mean, that wait for the landing, about.
+RESERVE_ROWS = 1024
+#: Equal rows that are written in one piece.
+PIECE_ROWS = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -92,17 +97,16 @@ def fly(sizes: np.ndarray, p: np.ndarray, seed: int) -> np.ndarray:
 
 
 def land(sizes: np.ndarray, p: np.ndarray, missing: float) -> np.ndarray:
-    """Landing: the rounding of at most two undecided rows whose words come nearest to ``missing``; ties take fewer rows."""
-    left = np.flatnonzero((p > 0) & (p < 1))
-    best: tuple[float, int, tuple[int, ...]] | None = None
-    for bits in range(1 << len(left)):
-        chosen = tuple(int(i) for k, i in enumerate(left) if bits >> k & 1)
-        key = (abs(missing - float(sizes[list(chosen)].sum())), len(chosen), chosen)
-        best = key if best is None or key < best else best
-    out = p.copy()
-    out[left] = 0
-    if best:
-        out[list(best[2])] = 1
+    """Landing: rounds rows in the given order, which is best by falling size, so that the words taken come to ``missing``.
+
+    A row is taken where this brings the words that are then missing nearer to those expected of the rows after it.
+    """
+    rest = np.concatenate([np.cumsum((p * sizes)[::-1])[::-1][1:], [0.0]])
+    out = np.zeros(len(p))
+    for i, (size, later) in enumerate(zip(sizes.tolist(), rest.tolist())):
+        if size > 0 and 2 * (missing - later) > size or size == 0 and p[i] >= 0.5:
+            out[i] = 1
+            missing -= size
     return out
 
 
@@ -114,48 +118,59 @@ def _block_flight(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _landing(rows: pd.DataFrame) -> pd.DataFrame:
-    # Long documents are decided first, so that the last undecided ones, which the landing rounds, are short.
     rows = rows.sort_values(["size", "h", "doc_id"], ascending=[False, True, True], na_position="last", kind="stable").reset_index(drop=True)
-    p = fly(rows["size"].to_numpy(), rows["p"].to_numpy(), int(rows["source_no"].iloc[0]))
-    sizes = rows["size"].to_numpy()
-    missing = float(rows["missing"].iloc[0]) - float(sizes[p >= 1].sum())
-    rows["p"] = land(sizes, p, missing)
+    rows["p"] = land(rows["size"].to_numpy(), rows["p"].to_numpy(), float(rows["missing"].iloc[0]))
     return rows
 
 
-def balanced_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), block_rows: int = BLOCK_ROWS) -> DataFrame:
+def balanced_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), block_rows: int = BLOCK_ROWS, reserve_rows: int = RESERVE_ROWS) -> DataFrame:
     """Copies of every document in the mix: ``doc_id, size, source_size, target, taken, copies``, one row per input row.
 
     ``taken`` is ``size`` times ``copies``, which never exceeds ``MAX_COPIES``. Null and empty texts have size 0 and take
     part with no words; a null source is a source of its own, last in order; rows with equal ids are drawn each for
-    itself; equal rows are interchangeable. An empty table gives an empty result. Reruns give the same rows, whatever
-    the partitioning. Other columns of ``docs`` are not read.
+    itself. Rows with equal id, source and size are interchangeable: they are drawn as one with a count, of which the
+    expected number is taken, rounded by the draw. An empty table gives an empty result. Reruns give the same rows,
+    whatever the partitioning. Other columns of ``docs`` are not read.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    per_source = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    base = materialize(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("m")))
+    per_source = base.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count(F.lit(1)).alias("n"))
+    per_source = materialize(per_source)
     targets = source_targets(per_source.select("source", "source_size")).withColumnRenamed("source", "s")
     counts = per_source.select(F.col("source").alias("s"), "n")
     plan = targets.join(counts, targets["s"].eqNullSafe(counts["s"])).select(targets["s"], "source_no", "source_size", "target", "n")
     joined = base.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MAX_COPIES)))).otherwise(0.0)
     blocks = F.ceil(F.col("n") / F.greatest(F.lit(float(block_rows)), F.sqrt("n"))).cast("long")
+    # Of m equal rows with an expected number e of further copies, floor(e) get one, and one more gets one with probability e - floor(e).
+    share = F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)) * F.col("m")
+    reserve = F.col("size").between(1, F.col("source_size") / F.col("n")) & (F.pmod(F.xxhash64("h", F.lit(29)), F.lit(1 << 20)) < (1 << 20) * F.lit(2.0 * reserve_rows) / F.col("n"))
     drawn = (
         joined.withColumn("rate", rate)
         .withColumn("whole", F.floor(F.col("rate") + 1e-12))
-        .withColumn("p", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
+        .withColumn("more", F.floor(share + 1e-12))
+        .withColumn("p", F.greatest(share - F.col("more"), F.lit(0.0)))
         .withColumn("h", F.xxhash64("doc_id", "size", F.lit(17)))
-        .withColumn("block", F.pmod(F.xxhash64("h", F.lit(5)), blocks))
-        .select("doc_id", "size", "source_no", "source_size", "target", "whole", "p", "h", "block")
+        .withColumn("block", F.when(reserve, -1).otherwise(F.pmod(F.xxhash64("h", F.lit(5)), blocks)))
+        .select("doc_id", "size", "m", "source_no", "source_size", "target", "whole", "more", "p", "h", "block")
     )
-    flown = materialize(drawn.groupBy("source_no", "block").applyInPandas(_block_flight, drawn.schema))
     undecided = F.col("p").between(1e-12, 1 - 1e-12)
+    waits = drawn.where(~undecided | (F.col("block") < 0))
+    flown = drawn.where(undecided & (F.col("block") >= 0)).groupBy("source_no", "block").applyInPandas(_block_flight, drawn.schema)
+    flown = materialize(waits.unionByName(flown))
     settled = flown.where(~undecided)
-    taken = flown.groupBy("source_no").agg(
-        (F.max("target") - F.sum(F.col("size") * (F.col("whole") + F.when(undecided, 0).otherwise(F.col("p"))))).alias("missing")
-    )
-    rest = flown.where(undecided).join(taken, "source_no").select(*drawn.columns, "missing")
+    copies = F.col("m") * F.col("whole") + F.col("more")
+    taken = flown.groupBy("source_no").agg((F.max("target") - F.sum(F.col("size") * (copies + F.when(undecided, 0).otherwise(F.round("p"))))).alias("missing"))
+    rest = flown.where(undecided).join(F.broadcast(taken), "source_no").select(*drawn.columns, "missing")  # a row a source
     landed = rest.groupBy("source_no").applyInPandas(_landing, rest.schema).drop("missing")
-    out = settled.unionByName(landed)
-    copies = (F.col("whole") + F.round("p")).cast("int")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    out = settled.unionByName(landed).withColumn("more", (F.col("more") + F.round("p")).cast("long"))
+    return _each_row(out).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
 
+def _each_row(drawn: DataFrame) -> DataFrame:
+    """One row for each of the ``m`` equal ones, with its ``copies``; large numbers are written in pieces by several tasks."""
+    one = drawn.where("m = 1").withColumn("copies", (F.col("whole") + F.col("more")).cast("int"))
+    pieces = drawn.where("m > 1").withColumn("piece", F.explode(F.expr(f"sequence(0L, (m - 1) div {PIECE_ROWS}L)"))).repartition("h", "piece")
+    nth = F.explode(F.expr(f"sequence(piece * {PIECE_ROWS}L + 1, least(m, (piece + 1) * {PIECE_ROWS}L))"))
+    many = pieces.withColumn("nth", nth).withColumn("copies", (F.col("whole") + (F.col("nth") <= F.col("more")).cast("int")).cast("int"))
+    return one.unionByName(many.drop("piece", "nth"))

@@ -1,10 +1,11 @@
 """Personal data by weak supervision: labelers vote on candidate spans. DataFrame functions only.
 
-Candidates are all matches of the four base patterns, and of looser ones for obfuscated forms. Five labelers vote on
-each: the strict pattern with its checks, a gazetteer, the words before the span, its borders, and its form. The votes
-are counted over all documents by pattern of votes; expectation-maximisation on these counts estimates each labeler's
-reliability and how likely each pattern of votes is personal data, and a logistic span classifier is trained on that.
-Base spans that pass their checks always stay; the classifier adds other candidates that it is sure of.
+Candidates are all matches of the four base patterns, and of looser ones for forms that these don't know: spelled signs in
+addresses, numbers in groups with other signs between. Five labelers vote on each: the strict pattern with its checks, a
+gazetteer, the words before the span, its borders, and its form. The votes are counted over all documents by pattern of
+votes and of the span's features; expectation-maximisation on these counts estimates each labeler's reliability and how
+likely each pattern of votes is personal data, and a logistic span classifier is trained on votes and features. Base spans that
+pass their checks always stay; the classifier adds other candidates that it is sure of.
 """
 
 from __future__ import annotations
@@ -25,14 +26,19 @@ KINDS = ("email", "ip", "card", "phone")
 BASE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",  # a match is a whole run of digits; shorter ones fail the check of 13 digits
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+# Looser forms. Repeats are possessive or bounded, so that a text of any length is matched in a bounded depth.
+_AT = r"(?:\x20?[(\[{]\x20?at\x20?[)\]}]\x20?|\x20at\x20)"
+_DOT = r"(?:\x20?[(\[{]\x20?dot\x20?[)\]}]\x20?|\x20dot\x20|\.)"
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{1,63}(?:\x20?[(\[]dot[)\]]\x20?[A-Za-z0-9-]{2,63}|\.[A-Za-z0-9-]{2,63})+",
-    "phone": r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
+    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+{_AT}[A-Za-z0-9-]{{1,63}}+(?:{_DOT}[A-Za-z0-9-]{{2,63}}+){{1,8}}+",
+    "ip": r"(?<![0-9.])[0-9]{1,3}+(?:\x20?(?:\.|[(\[{]\x20?(?:\.|dot)\x20?[)\]}]|\x20dot\x20)\x20?[0-9]{1,3}+){3}(?![0-9.])",
+    "card": r"(?<![0-9./_-])[0-9]{4}(?:[./_]|\x20?[\u2010-\u2014-]\x20?|\x20\x20)[0-9]{4}(?:[./_]|\x20?[\u2010-\u2014-]\x20?|\x20\x20)[0-9]{4}(?:[./_]|\x20?[\u2010-\u2014-]\x20?|\x20\x20)[0-9]{1,7}+(?![0-9])",
+    "phone": r"(?<![0-9+().-])(?:00[1-9][0-9]{0,2}+[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-]?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
 }
-LOOSE_GUARD = {"email": r"[(\[]at[)\]]", "phone": r"[0-9]{3}[\x20.-][0-9]{4}"}
+LOOSE_GUARD = {"email": r"(?:[(\[{]\x20?|\x20)at(?:\x20?[)\]}]|\x20)", "ip": r"[0-9]\x20?(?:[(\[{]|\x20?\.\x20|\x20\.|\x20dot)", "card": r"[0-9]{4}.{1,3}[0-9]{4}.{1,3}[0-9]{4}", "phone": r"[0-9]{3}[\x20.-][0-9]{4}"}
 
 # Gazetteers and cue words: fixed values.
 TOP_LEVEL = ("com", "net", "org", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu", "at", "ch", "it", "nl")
@@ -40,13 +46,16 @@ CARD_ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35|36)"
 CALLING_CODES = r"^\+?(?:1|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])"
 CUES = {
     "email": r"(?i)\b(?:e-?mail|mail|contact|write|reach)\b",
-    "ip": r"(?i)\b(?:ip|host|server|address|login|from)\b",
+    "ip": r"(?i)\b(?:ip|ipv4|host|server|address|login|logged|from)\b",
     "card": r"(?i)\b(?:card|visa|credit|debit|account|payment)\b",
     "phone": r"(?i)\b(?:phone|tel|telephone|call|mobile|fax|cell)\b",
 }
 COUNTER_CUES = r"(?i)\b(?:version|isbn|issn|order|invoice|serial|build|section)\b"
 
 LABELERS = ("strict", "gazetteer", "context", "border", "form")
+#: What the classifier sees of a span besides the votes: whether a number passes its arithmetic check (1 yes, 0 no, -1 not a number), and
+#: whether signs are spelled or unusual (1) or not (0).
+FEATURES = ("check", "spelled")
 #: Votes: yes, no, and no opinion.
 YES, NO, NONE = 1, 0, -1
 #: Probability from which a candidate outside the base is added.
@@ -74,7 +83,8 @@ def digits(c: Column) -> Column:
 
 
 def luhn(number: Column) -> Column:
-    """Whether a string of digits passes the Luhn check."""
+    """Whether a string of at most 19 digits passes the Luhn check; longer ones don't."""
+    number = F.when(F.length(number) <= 19, number).otherwise("1")
     places = F.sequence(F.lit(1), F.greatest(F.length(number), F.lit(1)))
 
     def value(i: Column) -> Column:
@@ -108,10 +118,11 @@ def _votes(kind: str, text: Column, span: Column, strict: Column) -> list[Column
         "card": vote(digits(match).rlike(CARD_ISSUERS)),
         "phone": vote(match.rlike(CALLING_CODES), match.startswith("+")),
     }[kind]
+    spelled = F.regexp_replace(match, r"[(\[{]\x20?dot\x20?[)\]}]|\x20dot\x20", ".")
     form = {
         "email": vote(match.rlike(r"^[A-Za-z0-9]")),
-        "ip": vote(F.length(match) <= 15),
-        "card": vote(F.length(digits(match)).isin(15, 16), ~F.length(digits(match)).between(13, 19)),
+        "ip": vote(passes("ip", F.regexp_replace(spelled, r"[^0-9.]", ""))),
+        "card": vote(F.length(digits(match)).isin(15, 16) & luhn(digits(match)), ~F.length(digits(match)).between(13, 19) | ~luhn(digits(match))),
         "phone": vote(F.length(digits(match)).between(10, 13), ~F.length(digits(match)).between(9, 15)),
     }[kind]
     context = F.when(before.rlike(CUES[kind]), YES).when(before.rlike(COUNTER_CUES), NO).otherwise(NONE)
@@ -137,7 +148,11 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...
             ok = passes(kind, span["match"]) if base else F.lit(False)
             strict = F.when(ok, YES).otherwise(NO) if base else F.lit(NONE)
             votes = _votes(kind, F.col("text"), span, strict)
-            return F.struct(span["start"].alias("start"), span["end"].alias("end"), ok.alias("base"), *[v.cast("byte").alias(n) for v, n in zip(votes, LABELERS)])
+            number = digits(span["match"])
+            check = luhn(number).cast("byte") if kind == "card" else F.lit(-1).cast("byte")
+            return F.struct(
+                span["start"].alias("start"), span["end"].alias("end"), ok.alias("base"), *[v.cast("byte").alias(n) for v, n in zip(votes, LABELERS)], check.alias("check"), F.lit(int(not base)).cast("byte").alias("spelled")
+            )
 
         spans = F.col(column)
         if not base:  # a loose match that a base match overlaps is no candidate of its own
@@ -149,17 +164,17 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...
 
 
 def vote_counts(spans: DataFrame) -> list[tuple[str, tuple[int, ...], int]]:
-    """How often each pattern of votes occurs, by kind: at most four times 3^5 rows reach the driver."""
+    """How often each pattern of votes and features occurs, by kind: at most 4 * 3^5 * 6 rows reach the driver."""
     rows = None
     for kind in KINDS:
         part = spans.where(F.size(kind) > 0).select(F.lit(kind).alias("kind"), F.explode(kind).alias("s"))
-        part = part.groupBy("kind", *[F.col(f"s.{n}").alias(n) for n in LABELERS]).count()
+        part = part.groupBy("kind", *[F.col(f"s.{n}").alias(n) for n in LABELERS + FEATURES]).count()
         rows = part if rows is None else rows.unionByName(part)
-    return sorted((r["kind"], tuple(r[n] for n in LABELERS), r["count"]) for r in rows.collect())
+    return sorted((r["kind"], tuple(r[n] for n in LABELERS + FEATURES), r["count"]) for r in rows.collect())
 
 
 def reliabilities(counts: list[tuple[str, tuple[int, ...], int]], rounds: int = 50) -> dict[tuple[str, tuple[int, ...]], float]:
-    """Expectation-maximisation over vote patterns: the probability that a span with that pattern is personal data.
+    """Expectation-maximisation over patterns, of which the votes come first: the probability that such a span is personal data.
 
     Each labeler has, by class, a distribution over its three votes, shared by all kinds; each kind has a share of
     personal data. Starts from the majority of votes and from labelers that are mostly right; smoothed by one span.
@@ -168,7 +183,8 @@ def reliabilities(counts: list[tuple[str, tuple[int, ...], int]], rounds: int =
         return {}
     belief = {}
     for kind, votes, _ in counts:
-        yes, no = votes.count(YES), votes.count(NO)
+        cast = votes[: len(LABELERS)]
+        yes, no = cast.count(YES), cast.count(NO)
         belief[kind, votes] = min(0.95, max(0.05, 0.5 + 0.15 * (yes - no)))
     for _ in range(rounds):
         prior = {k: [1.0, 1.0] for k in KINDS}
@@ -177,24 +193,24 @@ def reliabilities(counts: list[tuple[str, tuple[int, ...], int]], rounds: int =
             p = belief[kind, votes]
             for c, weight in ((1, p * n), (0, (1 - p) * n)):
                 prior[kind][c] += weight
-                for j, v in enumerate(votes):
+                for j, v in enumerate(votes[: len(LABELERS)]):
                     table[c][j][v] += weight
         for kind, votes, _ in counts:
             score = math.log(prior[kind][1] / prior[kind][0])
-            for j, v in enumerate(votes):
+            for j, v in enumerate(votes[: len(LABELERS)]):
                 score += math.log(table[1][j][v] / sum(table[1][j].values())) - math.log(table[0][j][v] / sum(table[0][j].values()))
             belief[kind, votes] = 1 / (1 + math.exp(-max(-30.0, min(30.0, score))))
     return belief
 
 
 def train_classifier(counts: list[tuple[str, tuple[int, ...], int]], belief: dict, steps: int = 400, rate: float = 0.5, ridge: float = 1e-3) -> dict[tuple, float]:
-    """Logistic regression on the votes and the kind, fitted to the estimated probabilities, each pattern weighed by its count."""
-    weights = {("kind", k): 0.0 for k in KINDS} | {(n, v): 0.0 for n, v in product(LABELERS, (YES, NO, NONE))}
+    """Logistic regression on votes, features and kind, fitted to the estimated probabilities, each pattern weighed by its count."""
+    weights = {("kind", k): 0.0 for k in KINDS} | {(n, v): 0.0 for n, v in product(LABELERS + FEATURES, (YES, NO, NONE))}
     total = sum(math.log1p(n) for _, _, n in counts) or 1.0
     for _ in range(steps):
         gradient = dict.fromkeys(weights, 0.0)
         for kind, votes, n in counts:
-            active = [("kind", kind), *zip(LABELERS, votes)]
+            active = [("kind", kind), *zip(LABELERS + FEATURES, votes)]
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(weights[a] for a in active)))))
             for a in active:
                 gradient[a] += math.log1p(n) / total * (belief[kind, votes] - p)
@@ -205,7 +221,7 @@ def train_classifier(counts: list[tuple[str, tuple[int, ...], int]], belief: dic
 
 def _probability(weights: dict[tuple, float], kind: str, span: Column) -> Column:
     score = F.lit(weights["kind", kind])
-    for n in LABELERS:
+    for n in LABELERS + FEATURES:
         score = score + F.when(span[n] == YES, weights[n, YES]).when(span[n] == NO, weights[n, NO]).otherwise(weights[n, NONE])
     return 1 / (1 + F.exp(-score))
 
@@ -226,7 +242,8 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def chosen(kind: str) -> Column:
         # A candidate that fails its check is no personal data of this kind, whatever the other votes.
         sure_of = lambda s: s["base"] | ((s["strict"] != NO) & (_probability(weights, kind, s) >= sure))
-        kept = F.transform(F.filter(kind, sure_of), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base")))
+        # A candidate that fails a check of arithmetic is none either: a card number without a valid check digit is misread.
+        kept = F.transform(F.filter(kind, lambda s: sure_of(s) & (s["base"] | (s["check"] != NO))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base")))
         return F.array_sort(kept)
 
     return spans.select("doc_id", *(["row"] if keep else []), *[chosen(k).alias(k) for k in KINDS])

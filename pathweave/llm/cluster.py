@@ -1,23 +1,28 @@
-"""Shared helpers: materialised tables in the cluster's checkpoint folder, and connected components."""
+"""Shared helpers: materialised tables in the cluster's checkpoint folder, joins that bear hot keys, groups of sorted rows, and
+connected components."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no folder of its own, as in local tests.
-DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints/pathweave"
 #: Spark's setting that removes a query's shuffle files when the query ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set to a local one only where it is unset."""
+    """The folder that driver and executors share. A local session that names none gets one of its own; a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = DEFAULT_CHECKPOINT_DIR
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -51,38 +56,86 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], copies: str, total: int, how: str = "inner", share: int = 10_000, least: int = 1000) -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key and in ``copies`` the rows of ``left`` with it.
+
+    Keys with more than a ``share``-th of the ``total`` rows are at most ``share``; these are broadcast, so their rows stay where they
+    are. No partition of the other join gets more than that, or ``least``, rows of one key.
+    """
+    bound = max(least, total // share)
+    if total <= bound:
+        return left.join(right, keys, how)
+    hot = right.where(F.col(copies) > bound)
+    here = left.join(F.broadcast(hot), keys)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(copies) <= bound), keys, how)
+    return here.unionByName(rest)
+
+
+#: Equal rows that are written in one piece.
+PIECE_ROWS = 100_000
+
+
+def each_row(counted: DataFrame) -> DataFrame:
+    """Every row ``m`` times, with ``nth`` from 1; a row with a large number is written in pieces by several tasks."""
+    one = counted.where("m = 1").withColumn("nth", F.lit(1).cast("long"))
+    pieces = counted.where("m > 1").withColumn("piece", F.explode(F.expr(f"sequence(0L, (m - 1) div {PIECE_ROWS}L)")))
+    pieces = pieces.repartition(F.xxhash64("doc_id", "piece"))
+    many = pieces.withColumn("nth", F.explode(F.expr(f"sequence(piece * {PIECE_ROWS}L + 1, least(m, (piece + 1) * {PIECE_ROWS}L))")))
+    return one.unionByName(many.drop("piece"))
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows sorted by ``keys`` as batches of whole groups: (rows, first row of each group and the end)."""
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        change = np.zeros(batch.num_rows, bool)
+        for name in keys:
+            key = np.asarray(batch.column(name))
+            change[1:] |= key[1:] != key[:-1]
+        bounds = np.concatenate([[0], np.flatnonzero(change)])
+        if len(bounds) > 1:
+            yield batch.slice(0, int(bounds[-1])), bounds
+        held = batch.slice(int(bounds[-1]))  # the last group may go on in the next batch
+    if held is not None and held.num_rows:
+        yield pa.Table.from_batches([held]).combine_chunks().to_batches()[0], np.array([0, held.num_rows])
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Smallest reachable id of every vertex in ``edges`` (columns ``src``, ``dst``, both long).
+    """Smallest reachable id of every vertex in ``edges`` (columns ``src``, ``dst``, both long): a stored table of (``node``, ``component``).
 
     Alternates the large-star and small-star steps until the edge set no longer changes. Each step is one partial
-    aggregation per vertex and one join, so a vertex with very many neighbours is split by adaptive skew handling and is
-    never gathered. Returns (``node``, ``component``) for vertices that have an edge to another one; self-loops and
-    null ends are dropped.
+    aggregation per vertex and one join in which vertices with very many neighbours are broadcast, so their edges are never
+    gathered. Holds each vertex that has an edge to another one; self-loops and null ends are dropped.
     """
     edges = materialize(
         edges.where("src is not null and dst is not null and src <> dst")
         .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
         .distinct()
     )
-    seen = None
+    seen, total = None, edges.count()
+    if total == 0:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(lowest, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lowest = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("d")).select("u", F.least("u", "m").alias("m"), "d")
+        large = join_hot(both, lowest, ["u"], "d", total).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large)
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("d"))
+        small = join_hot(large, lowest, ["u"], "d", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         swapped = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         step = materialize(swapped.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
         state = step.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         discard(edges)
         discard(large)
-        edges = step
+        edges, total = step, max(1, state.n)
         if seen == (state.n, state.s):
             break
         seen = (state.n, state.s)
     else:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
+    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = materialize(nodes)
+    discard(edges)
+    return out

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathweave.llm.cluster import materialize
+from pathweave.llm.cluster import each_row, materialize
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 MAX_COPIES = 3
@@ -23,8 +23,6 @@ MAX_COPIES = 3
 BLOCK_ROWS = 4096
 #: Documents of a source, no longer than its mean, that wait for the landing, about.
 RESERVE_ROWS = 1024
-#: Equal rows that are written in one piece.
-PIECE_ROWS = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -164,13 +162,5 @@ def balanced_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rest = flown.where(undecided).join(F.broadcast(taken), "source_no").select(*drawn.columns, "missing")  # a row a source
     landed = rest.groupBy("source_no").applyInPandas(_landing, rest.schema).drop("missing")
     out = settled.unionByName(landed).withColumn("more", (F.col("more") + F.round("p")).cast("long"))
-    return _each_row(out).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
-
-
-def _each_row(drawn: DataFrame) -> DataFrame:
-    """One row for each of the ``m`` equal ones, with its ``copies``; large numbers are written in pieces by several tasks."""
-    one = drawn.where("m = 1").withColumn("copies", (F.col("whole") + F.col("more")).cast("int"))
-    pieces = drawn.where("m > 1").withColumn("piece", F.explode(F.expr(f"sequence(0L, (m - 1) div {PIECE_ROWS}L)"))).repartition("h", "piece")
-    nth = F.explode(F.expr(f"sequence(piece * {PIECE_ROWS}L + 1, least(m, (piece + 1) * {PIECE_ROWS}L))"))
-    many = pieces.withColumn("nth", nth).withColumn("copies", (F.col("whole") + (F.col("nth") <= F.col("more")).cast("int")).cast("int"))
-    return one.unionByName(many.drop("piece", "nth"))
+    out = each_row(out).withColumn("copies", (F.col("whole") + (F.col("nth") <= F.col("more")).cast("int")).cast("int"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")

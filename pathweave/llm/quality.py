@@ -1,9 +1,10 @@
 """Quality classifier by importance resampling.
 
 Hashed n-grams of a text follow two generative models, one of target text and one of raw text. A text's importance is
-the ratio of its likelihoods under them; documents are resampled by importance without replacement, by taking the top k
-of log importance plus Gumbel noise. Features are hashed: word shapes in n-grams, character trigrams of words' ends and
-whether a word repeats one shortly before, so the models hold for words that they have not met.
+the ratio of its likelihoods under them, taken per n-gram, so that long and short texts compare. Documents are resampled by
+importance without replacement: the top k of log importance plus scaled Gumbel noise are kept. N-grams are of two families in
+buckets of their own: words and pairs of words, and up to three successive shapes of words (classes of their bytes, length,
+and whether the word repeats one shortly before), which hold for words that the models have not met.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ from pyspark.sql import types as T
 from pathweave.llm.cluster import materialize
 from pathweave.llm.words import Words, grams, mix, texts
 
-BUCKETS = 1 << 14
+#: Buckets; the lower half is of words, the upper one of shapes.
+BUCKETS = 1 << 15
 #: Labelled rows that the target model is fitted on at most; the smallest hashes of their ids are taken.
 MAX_TARGET_ROWS = 200_000
-#: Gumbel noise is scaled by this; log importance is per text, so long texts are hardly moved by it.
-TEMPERATURE = 0.1
+#: Gumbel noise is scaled by this: texts whose log importance per n-gram differs by much more keep their order.
+TEMPERATURE = 0.02
 
 # Classes of bytes for word shapes.
 _CLASS = np.zeros(256, np.uint8)
@@ -48,7 +50,7 @@ def _shapes(w: Words) -> np.ndarray:
 
 def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of texts: bucket of each, and the text that it is of (by position)."""
-    words = w.hashes()
+    words = w.hashes(lower=True)
     n = len(words)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -59,19 +61,16 @@ def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
         same = np.zeros(n, bool)
         same[k:] = (words[k:] == words[:-k]) & (doc[k:] == doc[:-k])
         lag[same] = k
-    punctuation = mix(shape * np.uint64(4) + lag + np.uint64(0x51ED27))
-    out, where = [punctuation], [doc]
-    if n > 1:
-        pairs = grams(punctuation, 2)
-        inside = doc[1:] == doc[:-1]
-        out.append(pairs[inside])
-        where.append(doc[1:][inside])
-    if n > 2:
-        triples = grams(punctuation, 3)
-        inside = doc[2:] == doc[:-2]
-        out.append(triples[inside])
-        where.append(doc[2:][inside])
-    return (np.concatenate(out) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(where)
+    shape = mix(shape * np.uint64(4) + lag + np.uint64(0x51ED27))
+    half = np.uint64(BUCKETS // 2)
+    out, where = [], []
+    for family, (tokens, longest) in enumerate(((words, 2), (shape, 3))):
+        for size in range(1, min(longest, n) + 1):
+            inside = doc[size - 1 :] == doc[: n - size + 1]
+            gram = tokens if size == 1 else grams(tokens, size)
+            out.append(gram[inside] % half + half * np.uint64(family))
+            where.append(doc[size - 1 :][inside])
+    return np.concatenate(out).astype(np.int64), np.concatenate(where)
 
 
 def gram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -121,9 +120,11 @@ def log_importance(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", t
 
 
 def _keyed(scored: DataFrame, temperature: float, id_col: str = "doc_id") -> DataFrame:
-    """Adds the resampling key: log weight plus Gumbel noise from a hash of id and weight, and a hash that orders ties."""
+    """Adds log weight per n-gram, the resampling key (that plus Gumbel noise from a hash of id and weight), and a hash that orders ties."""
     uniform = (F.pmod(F.xxhash64(id_col, "log_weight", F.lit(99)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    return scored.withColumn("key", F.col("log_weight") - temperature * F.log(-F.log(uniform))).withColumn("tie", F.xxhash64(id_col, F.lit(3)))
+    per_gram = F.when(F.col("n_grams") > 0, F.col("log_weight") / F.col("n_grams")).otherwise(0.0)
+    scored = scored.withColumn("per_gram", per_gram)
+    return scored.withColumn("key", F.col("per_gram") - temperature * F.log(-F.log(uniform))).withColumn("tie", F.xxhash64(id_col, F.lit(3)))
 
 
 def kth_largest(scored: DataFrame, col: str, tie: str, k: int) -> tuple[float, int] | None:
@@ -165,8 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     # At most MAX_TARGET_ROWS ids are broadcast, so that no text is shuffled.
     good = source.join(F.broadcast(target.select("doc_id")), "doc_id", "left_semi")
     model = importance_model(source, good)
-    per_gram = F.when(F.col("n_grams") > 0, F.col("log_weight") / F.col("n_grams")).otherwise(0.0)
-    scored = materialize(_keyed(log_importance(source, model), temperature).withColumn("per_gram", per_gram))
+    scored = materialize(_keyed(log_importance(source, model), temperature))
     if keep is None:
         k = scored.where(F.col("per_gram") >= _level(scored.join(marks, "doc_id"))).count()
     else:

@@ -121,15 +121,9 @@ def _landing(rows: pd.DataFrame) -> pd.DataFrame:
     return rows
 
 
-def balanced_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), block_rows: int = BLOCK_ROWS, reserve_rows: int = RESERVE_ROWS) -> DataFrame:
-    """Copies of every document in the mix: ``doc_id, size, source_size, target, taken, copies``, one row per input row.
-
-    ``taken`` is ``size`` times ``copies``, which never exceeds ``MAX_COPIES``. Null and empty texts have size 0 and take
-    part with no words; a null source is a source of its own, last in order; rows with equal ids are drawn each for
-    itself. Rows with equal id, source and size are interchangeable: they are drawn as one with a count, of which the
-    expected number is taken, rounded by the draw. An empty table gives an empty result. Reruns give the same rows,
-    whatever the partitioning. Other columns of ``docs`` are not read.
-    """
+def drawn_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), block_rows: int = BLOCK_ROWS, reserve_rows: int = RESERVE_ROWS) -> DataFrame:
+    """The mix by distinct (``doc_id``, ``source``, ``size``): those, ``m`` rows that are equal in them, ``source_size``, ``target``, and the
+    copies taken: each row stands ``whole`` times, and ``more`` of the m rows once more. See ``balanced_mix``."""
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     base = materialize(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("m")))
     per_source = base.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count(F.lit(1)).alias("n"))
@@ -137,7 +131,7 @@ def balanced_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     targets = source_targets(per_source.select("source", "source_size")).withColumnRenamed("source", "s")
     counts = per_source.select(F.col("source").alias("s"), "n")
     plan = targets.join(counts, targets["s"].eqNullSafe(counts["s"])).select(targets["s"], "source_no", "source_size", "target", "n")
-    joined = base.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
+    joined = base.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MAX_COPIES)))).otherwise(0.0)
     blocks = F.ceil(F.col("n") / F.greatest(F.lit(float(block_rows)), F.sqrt("n"))).cast("long")
     # Of m equal rows with an expected number e of further copies, floor(e) get one, and one more gets one with probability e - floor(e).
@@ -150,7 +144,7 @@ def balanced_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .withColumn("p", F.greatest(share - F.col("more"), F.lit(0.0)))
         .withColumn("h", F.xxhash64("doc_id", "size", F.lit(17)))
         .withColumn("block", F.when(reserve, -1).otherwise(F.pmod(F.xxhash64("h", F.lit(5)), blocks)))
-        .select("doc_id", "size", "m", "source_no", "source_size", "target", "whole", "more", "p", "h", "block")
+        .select("doc_id", "source", "size", "m", "source_no", "source_size", "target", "whole", "more", "p", "h", "block")
     )
     undecided = F.col("p").between(1e-12, 1 - 1e-12)
     waits = drawn.where(~undecided | (F.col("block") < 0))
@@ -162,5 +156,18 @@ def balanced_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rest = flown.where(undecided).join(F.broadcast(taken), "source_no").select(*drawn.columns, "missing")  # a row a source
     landed = rest.groupBy("source_no").applyInPandas(_landing, rest.schema).drop("missing")
     out = settled.unionByName(landed).withColumn("more", (F.col("more") + F.round("p")).cast("long"))
-    out = each_row(out).withColumn("copies", (F.col("whole") + (F.col("nth") <= F.col("more")).cast("int")).cast("int"))
+    return out.select("doc_id", "source", "size", "m", "source_size", "target", "whole", "more")
+
+
+def balanced_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), block_rows: int = BLOCK_ROWS, reserve_rows: int = RESERVE_ROWS) -> DataFrame:
+    """Copies of every document in the mix: ``doc_id, size, source_size, target, taken, copies``, one row per input row.
+
+    ``taken`` is ``size`` times ``copies``, which never exceeds ``MAX_COPIES``. Null and empty texts have size 0 and take
+    part with no words; a null source is a source of its own, last in order; rows with equal ids are drawn each for
+    itself. Rows with equal id, source and size are interchangeable: they are drawn as one with a count, of which the
+    expected number is taken, rounded by the draw. An empty table gives an empty result. Reruns give the same rows,
+    whatever the partitioning. Other columns of ``docs`` are not read.
+    """
+    out = each_row(drawn_mix(docs, id_col, text_col, source_col, weights, block_rows, reserve_rows))
+    out = out.withColumn("copies", (F.col("whole") + (F.col("nth") <= F.col("more")).cast("int")).cast("int"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")

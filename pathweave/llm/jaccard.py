@@ -21,22 +21,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathweave.llm.cluster import connected_components, discard, materialize
-from pathweave.llm.words import mix, shingle_set, texts
+from pathweave.llm.cluster import connected_components, discard, join_hot, materialize, sorted_groups
+from pathweave.llm.words import grams, mix, shingle_set, texts, whole
 
 #: Hashed counters of token frequencies; a bit of the broadcast bitmap for each.
 COUNTERS = 1 << 24
 _RANGE = 1 << 16
-#: Cells of the histogram that bounds how far two sets differ.
-CELLS = 64
+#: The histogram that bounds how far two sets differ has a cell for so many tokens, and no fewer or more cells than these.
+CELL_TOKENS = 8
+CELLS = (64, 1 << 16)
 #: A token is frequent from this many occurrences, and from this many times the mean counter.
 FREQUENT = 96
 FREQUENT_MEANS = 6
 #: A frequent token of class k is indexed in combinations of k tokens; the last class starts at that many times the first's bound.
 CLASS_SIZES = (2, 3)
 CLASS_STEP = 32
-#: Members of an index entry that one task compares with each other.
+#: Members of an index entry that one task compares with each other by histograms.
 PART_ROWS = 2048
+#: Members of a cluster, and tokens of their sets, that one task compares with each other in full.
+CLUSTER_ROWS = 1024
+PART_TOKENS = 1 << 22
 
 
 def _counter(tokens: np.ndarray) -> np.ndarray:
@@ -55,12 +59,15 @@ def frequent_tokens(docs: DataFrame, shingle: int) -> tuple[bytes, bytes]:
         for batch in batches:
             for _, _, w in texts(batch.column(0)):
                 words = w.hashes(lower=True)
-                sets = [shingle_set(words[a:b], shingle) for a, b in zip(w.bounds[:-1], w.bounds[1:])]
-                tokens = np.sort(_counter(np.concatenate(sets)))
+                size = np.diff(w.bounds)
+                text = np.repeat(np.arange(len(size)), size)
+                tokens = grams(words, shingle)
+                tokens = tokens[text[: len(tokens)] == text[shingle - 1 :][: len(tokens)]]
+                short = [whole(words[a:b]) for a, b in zip(w.bounds[:-1], w.bounds[1:]) if 0 < b - a < shingle]
+                tokens = np.concatenate([tokens, np.array(short, np.uint64)])
                 if len(tokens):
                     some = True
-                    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-                    total[tokens[first]] += np.diff(np.concatenate([first, [len(tokens)]])).astype(np.uint32)
+                    np.add.at(total, _counter(tokens), np.uint32(1))
         if some:
             part = total.reshape(-1, _RANGE)
             for i in range(len(part)):
@@ -159,6 +166,21 @@ class Scheme:
         return out
 
 
+def histogram(tokens: np.ndarray) -> np.ndarray:
+    """Tokens by their low bits, up to 255 a cell; the number of cells is a power of two that grows with the set."""
+    size = min(CELLS[1], max(CELLS[0], 1 << (len(tokens) // CELL_TOKENS).bit_length()))
+    return np.minimum(np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8)
+
+
+def folded(cells: np.ndarray, size: int) -> np.ndarray:
+    """Histograms (in the last dimension) as they are with ``size`` cells."""
+    out = cells.astype(np.int16)
+    while out.shape[-1] > size:
+        half = out.shape[-1] // 2
+        out = np.minimum(out[..., :half] + out[..., half:], 255)
+    return out
+
+
 def _set_rows(docs: DataFrame, shingle: int, percent: int, maps: tuple[bytes, bytes]) -> DataFrame:
     """Per row: id, set size, a 128-bit fingerprint of the set, the histogram, and the signatures."""
     shared = docs.sparkSession.sparkContext.broadcast(maps)  # two bitmaps of COUNTERS bits
@@ -175,8 +197,7 @@ def _set_rows(docs: DataFrame, shingle: int, percent: int, maps: tuple[bytes, by
                     size.append(len(tokens))
                     f1.append(int(mix(tokens).sum(dtype=np.uint64).view(np.int64)))
                     f2.append(int(np.bitwise_xor.reduce(mix(tokens + np.uint64(77))).view(np.int64)) if len(tokens) else 0)
-                    counts = np.bincount((tokens & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
-                    cells.append(counts.tobytes() if len(tokens) > 60_000 else counts.astype(np.uint16).tobytes())
+                    cells.append(histogram(tokens).tobytes())
                     found = scheme.signatures(tokens) if len(tokens) else []
                     signatures.append(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in signatures])])
@@ -195,12 +216,14 @@ def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = both.join(info.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("cb")), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counts(cells: bytes) -> np.ndarray:
-            return np.frombuffer(cells, np.uint16 if len(cells) == 2 * CELLS else np.uint32).astype(np.int64)
+        def apart_of(x: bytes, y: bytes) -> int:
+            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+            size = min(len(x), len(y))
+            return int(np.abs(folded(x, size) - folded(y, size)).sum(dtype=np.int64))
 
         for batch in batches:
             n = np.asarray(batch.column(2)) + np.asarray(batch.column(3))
-            apart = np.array([np.abs(counts(x) - counts(y)).sum() for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())], np.int64)
+            apart = np.array([apart_of(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())], np.int64)
             # 100 * I >= p * U with I = (n - apart) / 2 and U = (n + apart) / 2
             keep = pa.array(100 * (n - apart) >= percent * (n + apart))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
@@ -208,79 +231,203 @@ def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(bound, "a long, b long")
 
 
-def _open_pairs(entries: DataFrame, sets: DataFrame, percent: int, part_rows: int = PART_ROWS) -> DataFrame:
-    """Pairs (a, b) of members of an index entry that are in different classes and that sizes and histograms don't rule out.
+def _dealt(frame: DataFrame, group: str, part_rows: int, weight: str | None = None, part_weight: int = 1) -> DataFrame:
+    """Rows (``group``, ``id``, ``k``, ...) dealt to cells (``group``, ``p``, ``q``) with a ``side``, so that all members of different classes ``k`` meet.
 
-    Members are compared in blocks inside tasks, and only pairs that pass are sent on. An entry with more than ``part_rows``
-    members is cut by a hash of the id into parts, and every two parts meet in a task of their own.
+    A group of more than ``part_rows`` members, or of more ``weight`` than ``part_weight``, is cut by a hash of the id into parts, and
+    every two parts meet in a cell of their own; parts of the group's largest class don't meet each other, as they need not.
+    """
+    heavy = F.sum(weight) / part_weight if weight else F.lit(0.0)
+    classes = frame.groupBy(group, "k").agg(F.greatest(F.count(F.lit(1)) / part_rows, heavy).alias("x"))
+    total = classes.groupBy(group).agg(F.sum("x").alias("x"), F.max("x").alias("top"), F.max_by("k", "x").alias("big")).where("x > 1")
+    cut = total.select(group, "big", F.ceil("top").cast("int").alias("pb"), F.greatest(F.lit(1), F.ceil(F.col("x") - F.col("top"))).cast("int").alias("po"))
+    placed = frame.join(cut, group, "left").withColumn("pb", F.coalesce("pb", F.lit(0))).withColumn("po", F.coalesce("po", F.lit(1)))
+    deal = F.xxhash64("id", F.lit(23))
+    own = F.when(F.col("k") == F.col("big"), F.pmod(deal, F.col("pb"))).otherwise(F.col("pb") + F.pmod(deal, F.col("po"))).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("pb") + F.col("po") - 1), lambda o: (F.col("own") >= F.col("pb")) | (o >= F.col("pb")))
+    own_col = F.col("own")
+    meets = F.transform(others, lambda o: F.struct(F.least(own_col, o).alias("p"), F.greatest(own_col, o).alias("q"), F.when(own_col == o, 0).when(own_col < o, 1).otherwise(2).alias("side")))
+    return placed.withColumn("own", own).select(*frame.columns, F.inline(meets))
+
+
+def _joined_labels(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unites the labels of rows x and y in place; returns those of the pairs that did so, a spanning forest."""
+    edges_x, edges_y = [], []
+    for i, j in zip(x.tolist(), y.tolist()):
+        while label[i] != i:
+            label[i] = label[label[i]]
+            i = label[i]
+        while label[j] != j:
+            label[j] = label[label[j]]
+            j = label[j]
+        if i != j:
+            label[max(i, j)] = min(i, j)
+            edges_x.append(i)
+            edges_y.append(j)
+    return np.array(edges_x, np.int64), np.array(edges_y, np.int64)
+
+
+def _roots(label: np.ndarray) -> np.ndarray:
+    while True:
+        up = label[label]
+        if np.array_equal(up, label):
+            return up
+        label = up
+
+
+def _candidates(entries: DataFrame, sets: DataFrame, percent: int, part_rows: int = PART_ROWS) -> DataFrame:
+    """Edges (``src``, ``dst``) that connect all members of an entry whose sizes and histograms don't rule a link out.
+
+    Members of different classes are compared in blocks inside tasks. Each block sends a spanning forest of what passes, so
+    at most one edge a member, and compares no two members that it has connected already.
     """
-    large = entries.groupBy("s").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > part_rows)
-    cut = entries.join(large, "s", "left").join(sets.select("id", "n", "cells"), "id")
-    parts = F.coalesce(F.ceil(F.col("m") / part_rows).cast("int"), F.lit(1))
-    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(own, o).alias("p"), F.greatest(own, o).alias("q"), F.when(own == o, 0).when(own < o, 1).otherwise(2).alias("side")))
-    dealt = cut.withColumn("parts", parts).select("s", "id", "k", "n", "cells", F.inline(meets))
-
-    def passing(x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: np.ndarray, n: np.ndarray, cells: np.ndarray) -> pa.RecordBatch | None:
+
+    class Histograms:
+        """Histograms of rows; two rows are compared with as many cells as both have."""
+
+        def __init__(self, cells: list[bytes]):
+            self.size = np.array([len(c) for c in cells])
+            self.cells = cells
+            self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def table(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+            if size not in self.tables:
+                place = np.full(len(self.cells), -1)
+                parts, at = [], 0
+                for wide in np.unique(self.size[self.size >= size]).tolist():
+                    rows = np.flatnonzero(self.size == wide)
+                    place[rows] = at + np.arange(len(rows))
+                    at += len(rows)
+                    parts.append(folded(np.frombuffer(b"".join(self.cells[i] for i in rows), np.uint8).reshape(len(rows), wide), size))
+                self.tables[size] = place, np.concatenate(parts)
+            return self.tables[size]
+
+        def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(x), np.int64)
+            size = np.minimum(self.size[x], self.size[y])
+            for s in np.unique(size).tolist():
+                place, table = self.table(s)
+                which = np.flatnonzero(size == s)
+                step = max(64, (1 << 21) // s)
+                for at in range(0, len(which), step):
+                    w = which[at : at + step]
+                    out[w] = np.abs(table[place[x[w]]] - table[place[y[w]]]).sum(axis=1, dtype=np.int64)
+            return out
+
+    def passing(x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: np.ndarray, n: np.ndarray, cells: Histograms) -> tuple[np.ndarray, np.ndarray]:
         keep = (k[x] != k[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (ids[x] != ids[y])
         x, y = x[keep], y[keep]
-        out_a, out_b = [], []
-        for at in range(0, len(x), 1 << 15):
-            i, j = x[at : at + (1 << 15)], y[at : at + (1 << 15)]
-            apart = np.abs(cells[i] - cells[j]).sum(axis=1, dtype=np.int64)
-            near = 100 * (n[i] + n[j] - apart) >= percent * (n[i] + n[j] + apart)
-            out_a.append(np.minimum(ids[i[near]], ids[j[near]]))
-            out_b.append(np.maximum(ids[i[near]], ids[j[near]]))
-        if not out_a:
-            return None
-        pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    def compared(batch: pa.RecordBatch, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        apart = cells.apart(x, y)
+        near = 100 * (n[x] + n[y] - apart) >= percent * (n[x] + n[y] + apart)
+        return x[near], y[near]
+
+    def compared(batch: pa.RecordBatch, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         ids, k, n, side = (np.asarray(batch.column(c)) for c in ("id", "k", "n", "side"))
-        cells = np.stack([np.frombuffer(x, np.uint16 if len(x) == 2 * CELLS else np.uint32).astype(np.int32) for x in batch.column("cells").to_pylist()])
+        cells = Histograms(batch.column("cells").to_pylist())
         size = np.diff(bounds)
         small = size <= 32
         begin, length = bounds[:-1][small], size[small]
         end = np.repeat(begin + length, length)
         row = np.arange(len(end)) + np.repeat(begin - (np.cumsum(length) - length), length)
+        label = np.arange(len(ids))
         for step in range(1, int(length.max(initial=0))):
             x = row[row + step < end]
             met = (side[x] == 0) | (side[x] != side[x + step])
-            found = passing(x[met], x[met] + step, ids, k, n, cells)
-            if found:
-                yield found
+            x, y = passing(x[met], x[met] + step, ids, k, n, cells)
+            yield tuple(ids[e] for e in _joined_labels(label, x, y))
         for a, b in zip(bounds[:-1][~small].tolist(), bounds[1:][~small].tolist()):
             rows = np.arange(a, b)
             left, right = (rows[side[a:b] == 1], rows[side[a:b] == 2]) if side[a] else (rows, rows)
-            for at in range(0, len(left), 128):
-                x = left[at : at + 128]
-                i, j = np.meshgrid(x, right, indexing="ij")
+            for at in range(0, len(left), 64):
+                label[a:b] = _roots(label[a:b] - a) + a
+                i, j = np.meshgrid(left[at : at + 64], right, indexing="ij")
                 i, j = i.ravel(), j.ravel()
-                if not side[a]:
-                    i, j = i[i < j], j[i < j]
-                found = passing(i, j, ids, k, n, cells)
-                if found:
-                    yield found
+                new = label[i] != label[j] if side[a] else (i < j) & (label[i] != label[j])
+                x, y = passing(i[new], j[new], ids, k, n, cells)
+                yield tuple(ids[e] for e in _joined_labels(label, x, y))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None
-        for batch in batches:
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            change = np.zeros(batch.num_rows, bool)
-            for name in ("s", "p", "q"):
-                key = np.asarray(batch.column(name))
-                change[1:] |= key[1:] != key[:-1]
-            bounds = np.concatenate([[0], np.flatnonzero(change)])
-            if len(bounds) > 1:
-                yield from compared(batch.slice(0, int(bounds[-1])), bounds)
-            held = batch.slice(int(bounds[-1]))  # the last entry may go on in the next batch
-        if held is not None and held.num_rows > 1:
-            yield from compared(held, np.array([0, held.num_rows]))
+        for batch, bounds in sorted_groups(batches, ["s", "p", "q"]):
+            edges = [np.stack([np.maximum(x, y), np.minimum(x, y)]) for x, y in compared(batch, bounds)]
+            both = np.concatenate([np.zeros((2, 0), np.int64), *edges], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["src", "dst"])
 
+    dealt = _dealt(entries.select("s", "id", "k"), "s", part_rows).join(sets.select("id", "n", "cells"), "id")
     keys = ["s", "p", "q"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(emit, "a long, b long").distinct()
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(emit, "src long, dst long").distinct()
+
+
+def block_links(tokens: list[np.ndarray], k: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between members of different classes, each found on the whole sets ``tokens``.
+
+    Members of side 1 meet those of side 2, or all each other where the side is 0. Connected members are not compared again.
+    """
+    n = np.array([len(t) for t in tokens])
+    _, code = np.unique(np.concatenate(tokens), return_inverse=True)
+    start = np.cumsum(n) - n
+    mark = np.zeros(int(code.max()) + 1, np.uint8)
+    label = np.arange(len(n))
+    out_x, out_y = [], []
+    place = np.arange(len(n))
+    for i in range(len(n)):
+        if side[i] == 2:
+            continue
+        meets = place[i + 1 :] if side[i] == 0 else place[side == 2]
+        label = _roots(label)
+        meets = meets[(k[meets] != k[i]) & (label[meets] != label[i]) & (100 * np.minimum(n[meets], n[i]) >= percent * np.maximum(n[meets], n[i]))]
+        if not len(meets):
+            continue
+        own = code[start[i] : start[i] + n[i]]
+        mark[own] = 1
+        if 4 * len(meets) > len(n):
+            both = np.add.reduceat(mark[code], start, dtype=np.int64)[meets]
+        else:
+            at = np.arange(int(n[meets].sum())) + np.repeat(start[meets] - (np.cumsum(n[meets]) - n[meets]), n[meets])
+            both = np.add.reduceat(mark[code[at]], np.cumsum(n[meets]) - n[meets], dtype=np.int64)
+        mark[own] = 0
+        linked = meets[100 * both >= percent * (n[i] + n[meets] - both)]
+        x, y = _joined_labels(label, np.full(len(linked), i), linked)
+        out_x.append(x)
+        out_y.append(y)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *out_x]), np.concatenate([none, *out_y])
+
+
+def _cluster_links(clusters: DataFrame, docs: DataFrame, shingle: int, percent: int, part_rows: int = CLUSTER_ROWS) -> DataFrame:
+    """Links (``src``, ``dst``) that connect all members of a cluster (``g``, ``id``, ``k``, ``n``) that links connect, judged on the sets of whole texts.
+
+    A set is sent once, or once a part that it meets where the cluster is large.
+    """
+    cells = _dealt(clusters, "g", part_rows, "n", PART_TOKENS)
+    asked = cells.groupBy("id").agg(F.collect_list(F.struct("g", "p", "q", "side", "k")).alias("cells"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["g", "p", "q", "side", "k"]
+        for batch in batches:
+            lists = batch.column(1)
+            for a, b, w in texts(batch.column(2)):
+                words = w.hashes(lower=True)
+                sets = [shingle_set(words[lo:hi], shingle).tobytes() for lo, hi in zip(w.bounds[:-1], w.bounds[1:])]
+                part = lists.slice(a, b - a)
+                own = part.flatten()
+                row = pa.array(np.repeat(np.arange(b - a), np.asarray(part.value_lengths())))
+                yield pa.RecordBatch.from_arrays([*(own.field(x) for x in names), batch.column(0).slice(a, b - a).take(row), pa.array(sets, pa.binary()).take(row)], [*names, "id", "tokens"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, bounds in sorted_groups(batches, ["g", "p", "q"]):
+            ids, k, side = (np.asarray(batch.column(c)) for c in ("id", "k", "side"))
+            tokens = [np.frombuffer(t, np.uint64) for t in batch.column("tokens").to_pylist()]
+            src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                if b - a > 1:
+                    x, y = block_links(tokens[a:b], k[a:b], side[a:b], percent)
+                    src.append(ids[a + x])
+                    dst.append(ids[a + y])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], ["src", "dst"])
+
+    keys = ["g", "p", "q"]
+    shipped = docs.join(asked, "id").select("id", "cells", "text").mapInArrow(cut, "g long, p int, q int, side int, k long, id long, tokens binary")
+    return shipped.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(compare, "src long, dst long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -318,39 +465,53 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     An empty table gives an empty result; other columns are not read.
 
     Equal sets are first reduced to the one with the smallest id. Each set is compared with at most two leaders of the index
-    entries that it is in, and members of an entry with each other only while they are in different classes after that, so
-    a large group of copies takes about as many comparisons as it has members.
+    entries that it is in, so a large group of copies of one text takes about as many comparisons as it has members. Members
+    of an entry that are in different classes after that are compared by histograms, and what passes makes clusters, in which
+    whole sets are compared. Every step sends spanning edges, at most one a member, never pairs.
+
+    Thresholds so low that prefixes can't hold enough combinations (below about 70 percent) raise a ValueError where a set
+    needs them. Tokens are 64-bit hashes: among n different ones about n * n / 2**65 pairs are taken for equal, and a link is
+    wrong only if several tokens of the same two sets are.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     maps = frequent_tokens(source.select("text"), shingle)
     rows = materialize(_set_rows(source, shingle, percent, maps))
-    slim = materialize(rows.select("id", "n", "f1", "f2"))
-    leaders = slim.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("leader"))
-    sets = materialize(
-        rows.where("n > 0").join(leaders.select("n", "f1", "f2", F.col("leader").alias("id")), ["id", "n", "f1", "f2"]).dropDuplicates(["id", "n", "f1", "f2"]).select("id", "n", "cells", "signatures")
-    )
-    discard(rows)
+    same = rows.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("copies"))
+    leaders = materialize(same)
+    unique = rows.where("n > 0").join(leaders.select("n", "f1", "f2", F.col("leader").alias("id")), ["id", "n", "f1", "f2"]).dropDuplicates(["id", "n", "f1", "f2"])
+    sets = materialize(unique.select("id", "n", "cells", "signatures"))
+    # Entries with the same members are one.
     step = math.log(100 / percent) * 1.001
-    postings = sets.select("id", F.floor(F.log("n") / step).cast("int").alias("c"), F.explode("signatures").alias("s"))
-    stars = postings.groupBy("s", "c").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("s", "c", "a")
-    # Each set is first compared with two entry leaders at most: the smallest, and the one it shares most signatures with.
+    every = sets.select("id", F.explode("signatures").alias("s"))
+    members = every.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("h"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x")).where("m > 1")
+    entries = materialize(members.groupBy("m", "h", "x").agg(F.min("s").alias("s")).select("s"))
+    sized = sets.select("id", F.floor(F.log("n") / step).cast("int").alias("c"), F.explode("signatures").alias("s"))
+    postings = materialize(sized.join(entries, "s").select("s", "c", "id"))
+    # Each set is first compared with two entry leaders at most: the smallest, and the one it shares most entries with.
+    stars = materialize(postings.groupBy("s", "c").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("s", "c", "a"))
     shared = postings.join(stars, ["s", "c"]).where("id > a").groupBy("a", F.col("id").alias("b")).count()
     chosen = shared.groupBy("b").agg(F.min("a").alias("first"), F.max(F.struct("count", (-F.col("a")).alias("minus"))).alias("most"))
     chosen = chosen.select("b", F.explode(F.array_distinct(F.array("first", -F.col("most.minus")))).alias("a"))
     tried = materialize(_near(chosen.select("a", "b"), sets, percent))
-    links = materialize(_verified(tried, source, shingle, percent))
-    classes = materialize(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).distinct())
+    links = materialize(_verified(tried, source, shingle, percent).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    classes = connected_components(links)
 
-    # What is left: entries whose members are in different classes. Those pairs are compared in full.
-    placed = postings.join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("k", F.coalesce("component", "id")).select("s", "c", "id", "k")
+    # What is left: entries with members in different classes. What may link there makes clusters, whose sets are compared in full.
+    placed = postings.join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("k", F.coalesce("component", "id")).select("s", "id", "k")
+    placed = materialize(placed)
     split = placed.groupBy("s").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("s")
-    open_entries = materialize(placed.join(split, "s"))
-    more = materialize(_open_pairs(open_entries, sets, percent).join(tried, ["a", "b"], "left_anti"))
-    discard(open_entries)
-    discard(sets)
-    extra = materialize(_verified(more, source, shingle, percent))
-    all_links = links.unionByName(extra).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    final = connected_components(all_links).distinct()
-    out = slim.join(leaders, ["n", "f1", "f2"], "left").join(final.withColumnRenamed("node", "leader"), "leader", "left")
-    own = F.when(F.col("id").isNotNull(), F.coalesce("component", "leader", "id"))
+    edges = materialize(_candidates(placed.join(split, "s"), sets, percent))
+    found = connected_components(edges).withColumnRenamed("node", "id")
+    clusters = found.join(classes.select(F.col("node").alias("id"), F.col("component").alias("k")), "id", "left").join(sets.select("id", "n"), "id")
+    clusters = materialize(clusters.select(F.col("component").alias("g"), "id", F.coalesce("k", "id").alias("k"), "n"))
+    extra = materialize(_cluster_links(clusters, source, shingle, percent))
+    final = connected_components(links.unionByName(extra))
+
+    of_set = leaders.join(final.withColumnRenamed("node", "leader"), "leader", "left").select("n", "f1", "f2", "copies", F.coalesce("component", "leader").alias("component"))
+    of_set = materialize(of_set)
+    slim = materialize(rows.select("id", "n", "f1", "f2"))
+    out = join_hot(slim, of_set, ["n", "f1", "f2"], "copies", slim.count(), "left")
+    for table in (rows, leaders, sets, entries, postings, stars, tried, links, classes, placed, edges, found, clusters, extra, final):
+        discard(table)
+    own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"))

@@ -63,17 +63,19 @@ def balanced_blocks(counts: DataFrame, max_block_size: int) -> DataFrame:
 
 
 def pack_groups(sizes: DataFrame, max_block_size: int) -> DataFrame:
-    """Blocks of whole groups (``group_prefix, n``) whose sizes add up to about ``max_block_size``: adds ``block_id``.
+    """Blocks of whole groups (``group_prefix, n``) of ``max_block_size`` at most: adds ``block_id``, from 0 without gaps.
 
-    Runs of groups in order of size fill a block by their running sum; a group larger than a block has its own.
+    Groups of which k fit side by side, but not k + 1, make class k; in order of size, each k of them are a block, so no block
+    is over-full and all but the last of a class are more than half full. A group larger than a block has its own.
     """
-    salted = sizes.withColumn("_salt", F.pmod(F.xxhash64("group_prefix"), F.lit(16)).cast("int"))
-    running = F.sum("n").over(Window.partitionBy("_salt").orderBy(F.col("n").desc(), px.order_key(F.col("group_prefix"))).rowsBetween(Window.unboundedPreceding, -1))
-    slot = F.when(F.col("n") >= max_block_size, F.lit(-1)).otherwise(F.floor(F.coalesce(running, F.lit(0)) / max_block_size))
-    keyed = salted.withColumn("_slot", slot).withColumn("_own", F.when(F.col("_slot") == -1, px.order_key(F.col("group_prefix"))))
-    blocks = dense_id(keyed.select("_salt", "_slot", "_own").distinct(), ["_salt", "_slot", "_own"], "block_id")
-    same = keyed["_own"].eqNullSafe(blocks["_own"]) & (keyed["_salt"] == blocks["_salt"]) & (keyed["_slot"] == blocks["_slot"])
-    return keyed.join(blocks, same).select("group_prefix", "n", "block_id")
+    classed = sizes.withColumn("_fit", F.greatest(F.lit(1), F.floor(F.lit(max_block_size) / F.col("n"))).cast("long"))
+    numbered = dense_id(classed, ["_fit", F.col("n").desc(), px.order_key(F.col("group_prefix"))], "_place")
+    # One row a class: max_block_size at most.
+    classes = classed.groupBy("_fit").agg(F.count(F.lit(1)).alias("_k"))
+    before = Window.orderBy("_fit").rowsBetween(Window.unboundedPreceding, -1)
+    starts = classes.select("_fit", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_start"), F.coalesce(F.sum(F.ceil(F.col("_k") / F.col("_fit"))).over(before), F.lit(0)).alias("_block"))
+    placed = numbered.join(F.broadcast(starts), "_fit")
+    return placed.select("group_prefix", "n", (F.col("_block") + F.floor((F.col("_place") - F.col("_start")) / F.col("_fit"))).cast("long").alias("block_id"))
 
 
 def group_sizes(groups: DataFrame) -> DataFrame:

@@ -69,14 +69,14 @@ def alternative_ids(announcements: DataFrame, alternatives: DataFrame) -> DataFr
 
 
 def ids_after(announcements: DataFrame, ids: DataFrame, cut: int) -> DataFrame:
-    return announcements.where(F.col("time") >= cut).join(ids, "ann_id", "left_semi").select("ann_id")
+    return announcements.where(F.col("time") > cut).join(ids, "ann_id", "left_semi").select("ann_id")
 
 
 def older_alternatives(announcements: DataFrame, alternatives: DataFrame, cut: int) -> DataFrame:
-    """Alternatives from before the cut for announcements from then on."""
+    """Alternatives from before the cut for announcements from after it; those at the cut are neither."""
     times = announcements.select(F.col("ann_id"), F.col("time"))
     both = alternative_ids(announcements, alternatives).join(times, "ann_id").join(times.select(F.col("ann_id").alias("extra_id"), F.col("time").alias("extra_time")), "extra_id")
-    return both.where((F.col("time") >= cut) & (F.col("extra_time") < cut)).select("ann_id", "extra_id")
+    return both.where((F.col("time") > cut) & (F.col("extra_time") < cut)).select("ann_id", "extra_id")
 
 
 def alternatives_by_prefix(announcements: DataFrame, ids: DataFrame) -> DataFrame:

@@ -90,7 +90,9 @@ QUERIES = {
     "non_top_prefixes": _q(lambda s, d: (lambda p: flat(va.non_top_prefixes(p, va.top_level_prefixes(p))))(load(s, d, "prefixes")), oracle("select net, len from prefixes except select net, len from tops", "prefixes", extra={"tops": _TOPS})),
     "prefix_groups": _q(lambda s, d: flat(_groups(s, d)), oracle(_GROUPS, "prefixes", extra={"tops": _TOPS})),
     "group_sizes": _q(lambda s, d: flat(md.group_sizes(_groups(s, d))), oracle("select group_net, group_len, count(*) as n from g group by group_net, group_len", "prefixes", extra={"tops": _TOPS, "g": _GROUPS})),
-    "pack_groups": _q(lambda s, d: flat(md.pack_groups(md.group_sizes(_groups(s, d)), 300))),
+    "pack_groups": _q(
+        lambda s, d: flat(md.pack_groups(md.group_sizes(_groups(s, d)), 300)),
+        oracle("select group_net, group_len, n, block_id from (select *, sum(case when (place - low) % fit = 0 then 1 else 0 end) over (order by place) - 1 as block_id from (select *, min(place) over (partition by fit) as low from (select *, row_number() over (order by fit, n desc, group_net, group_len) - 1 as place from (select group_net, group_len, count(*) as n, greatest(1, 300 // count(*)) as fit from g group by group_net, group_len) a) b) c) d", "prefixes", extra={"tops": _TOPS, "g": _GROUPS})),
     "most_specific_per_as": _q(lambda s, d: flat(va.most_specific_per_as(_ann(s, d).select(F.col("origin").alias("asn"), "prefix").distinct())), oracle("select a.origin as asn, a.net, a.len from pairs a where not exists (select 1 from pairs b where b.origin = a.origin and " + _strictly("b", "a") + ")", "pairs")),
     "best_historical_roa": _q(
         lambda s, d: flat(va.best_historical_roa(load(s, d, "prefixes"), load(s, d, "roas").select("asn", "prefix", F.col("max_length").alias("maxlen"), (F.col("asn") % 7).alias("notafter")))),

@@ -16,6 +16,8 @@ from pathweave.plans.views import flat, load, oracle
 from pathweave.sources.sinks import envelope
 from pathweave.streaming.incremental import interval_counts, merged_events, new_files
 
+#: The cut in time of J16's queries; some announcements stand before it, at it and after it in every given table.
+_CUT = 3000
 _CODES = {"asn": "(3, 4)", "length": "(2)", "rov": "(2, 3, 4)"}
 _SAME = "{a}.net = {b}.net and {a}.len = {b}.len and {a}.origin = {b}.origin"
 
@@ -42,11 +44,11 @@ def _inverse(s, d):
 
 def _numbered(s, d):
     ann = load(s, d, "announcements")
-    return wi.interesting_announcements(ann.where("origin % 4 = 1"), wi.hijacked_invalid(_pairs(s, d), _validity(s, d), _hijacks(s, d), "rov"), "monitor_asn")
+    return wi.interesting_announcements(ann, wi.hijacked_invalid(_pairs(s, d), _validity(s, d), _hijacks(s, d), "rov"), "monitor_asn")
 
 
 def _alternatives(s, d, policy):
-    return wi.alternative_pairs(_pairs(s, d).where("origin % 4 = 1"), _validity(s, d), policy)
+    return wi.alternative_pairs(_pairs(s, d), _validity(s, d), policy)
 
 
 def _totals(s, d, policy):
@@ -66,12 +68,21 @@ def _asked(s, d):
 _BAD = {p: f"select net, len, origin from validity where validity in {c}" for p, c in _CODES.items()}
 _HIJ = {p: f"select distinct b.net, b.len, b.origin, h.url from ({q}) b join hijacks h on " + _same("b", "h") for p, q in _BAD.items()}
 _NOT = {p: f"select b.net, b.len, b.origin from ({q}) b where not exists (select 1 from hijacks h where " + _same("b", "h") + ")" for p, q in _BAD.items()}
-_ALT = {
-    p: f"select distinct b.net, b.len, b.origin, g.net as extra_net, g.len as extra_len, g.origin as extra_origin from (select * from validity where validity in {c} and origin % 4 = 1) b join (select * from validity where validity not in {c} and origin % 4 = 1) g on (b.net = g.net and b.len = g.len and b.origin <> g.origin) or (" + _strictly("b", "g") + ")"
-    for p, c in _CODES.items()
-}
-_NUM = {"num": "select net, len, origin, time, monitor_asn, row_number() over (order by net, len, origin, time) - 1 as ann_id from (select net, len, origin, time, min(monitor_asn) as monitor_asn from announcements a where origin % 4 = 1 and exists (select 1 from hj h where " + _same("a", "h") + ") group by net, len, origin, time) x"}
+#: Strict ancestors of prefixes; given prefixes have 8 bits at least.
+_UP = "select net, len, net - net % cast(power(2, 32 - up_len) as bigint) as up_net, up_len from (select net, len, unnest(range(8, len)) as up_len from (select distinct net, len from {t}) x) y"
+
+
+def _near(b, g, columns):
+    """Rows of g with the same prefix and another origin, or with a strictly covering prefix, for rows of b."""
+    return f"select {columns} from {b} b join {g} g on b.net = g.net and b.len = g.len and b.origin <> g.origin union all select {columns} from {b} b join up u on b.net = u.net and b.len = u.len join {g} g on g.net = u.up_net and g.len = u.up_len"
+
+
+_ALT = {p: {"up": _UP.format(t="validity"), "bad": f"select * from validity where validity in {c}", "good": f"select * from validity where validity not in {c}"} for p, c in _CODES.items()}
+_ALT_SQL = "select distinct * from (" + _near("bad", "good", "b.net, b.len, b.origin, g.net as extra_net, g.len as extra_len, g.origin as extra_origin") + ") x"
+_NUM = {"num": "select net, len, origin, time, monitor_asn, row_number() over (order by net, len, origin, time) - 1 as ann_id from (select net, len, origin, time, min(monitor_asn) as monitor_asn from announcements a where exists (select 1 from hj h where " + _same("a", "h") + ") group by net, len, origin, time) x"}
 _NUM = {"hj": _HIJ["rov"]} | _NUM
+_NEAR = _NUM | {"up": _UP.format(t="num"), "near": _near("num", "num", "b.ann_id, b.net, b.len, b.origin, b.time, g.ann_id as extra_id, g.net as extra_net, g.len as extra_len, g.origin as extra_origin, g.time as extra_time")}
+_NEAR_IDS = "select n.ann_id, n.extra_id from near n join validity v on n.net = v.net and n.len = v.len and n.origin = v.origin and v.validity = 2 join validity w on n.extra_net = w.net and n.extra_len = w.len and n.extra_origin = w.origin and w.validity <> 2"
 _BLOCKS = {"asn": "coalesce(blocked_by = 'asn', false)", "length": "coalesce(blocked_by = 'length', false)", "rov": "blocked_by is not null"}
 
 
@@ -167,14 +178,14 @@ QUERIES = {
     "active_hijacks": _q(lambda s, d: flat(wi.active_hijacks(load(s, d, "hijack_events"), F.lit(100000), F.lit(20000 + 80000))), oracle("select net, len, event_number, start_time, end_time, origin, url from hijack_events where start_time <= 100000 and (end_time is null or end_time >= 100000)", "hijack_events").replace("start_time <= 100000 and (end_time is null or end_time >= 100000)", "start_time <= 100000 and (end_time is null or end_time >= 100000)")),
     **{f"hijacked_invalid_{p}": _q(lambda s, d, p=p: flat(wi.hijacked_invalid(_pairs(s, d), _validity(s, d), _hijacks(s, d), p)), oracle(_HIJ[p], "validity", "hijacks")) for p in _CODES},
     **{f"not_hijacked_invalid_{p}": _q(lambda s, d, p=p: flat(wi.not_hijacked_invalid(_pairs(s, d), _validity(s, d), _hijacks(s, d), p)), oracle(_NOT[p], "validity", "hijacks")) for p in _CODES},
-    **{f"alternative_pairs_{p}": _q(lambda s, d, p=p: flat(_alternatives(s, d, p)), oracle(_ALT[p], "validity")) for p in _CODES},
+    **{f"alternative_pairs_{p}": _q(lambda s, d, p=p: flat(_alternatives(s, d, p)), oracle(_ALT_SQL, "validity", extra=_ALT[p])) for p in _CODES},
     "interesting_pairs": _q(lambda s, d: flat(wi.interesting_pairs(wi.hijacked_invalid(_pairs(s, d), _validity(s, d), _hijacks(s, d), "asn"), wi.not_hijacked_invalid(_pairs(s, d), _validity(s, d), _hijacks(s, d), "length"), wi.hijacked_invalid(_pairs(s, d), _validity(s, d), _hijacks(s, d), "length"))), oracle(f"select net, len, origin from ({_HIJ['asn']}) a union select net, len, origin from ({_NOT['length']}) b union select net, len, origin from ({_HIJ['length']}) c", "validity", "hijacks")),
     "interesting_announcements": _q(lambda s, d: flat(_numbered(s, d)), oracle("select net, len, origin, time, monitor_asn, ann_id from num", "announcements", "validity", "hijacks", extra=_NUM)),
     "announcement_ids": _q(lambda s, d: wi.announcement_ids(_numbered(s, d), wi.hijacked_invalid(_pairs(s, d), _validity(s, d), _hijacks(s, d), "asn")), oracle("select ann_id from num n where exists (select 1 from validity v where validity in (3, 4) and " + _same("n", "v") + ")", "announcements", "validity", "hijacks", extra=_NUM)),
-    "alternative_ids": _q(lambda s, d: wi.alternative_ids(_numbered(s, d), wi.alternative_pairs(_numbered(s, d).select("prefix", "origin").distinct(), _validity(s, d), "length")), oracle("select n.ann_id, m.ann_id as extra_id from num n join validity v on " + _same("n", "v") + " and v.validity = 2 join num m on (m.net = n.net and m.len = n.len and m.origin <> n.origin) or (" + _strictly("n", "m") + ") join validity w on " + _same("m", "w") + " and w.validity <> 2", "announcements", "validity", "hijacks", extra=_NUM)),
-    "ids_after": _q(lambda s, d: wi.ids_after(_numbered(s, d), _numbered(s, d).select("ann_id"), 20000), oracle("select ann_id from num where time >= 20000", "announcements", "validity", "hijacks", extra=_NUM)),
-    "older_alternatives": _q(lambda s, d: wi.older_alternatives(_numbered(s, d), wi.alternative_pairs(_numbered(s, d).select("prefix", "origin").distinct(), _validity(s, d), "length"), 20000), oracle("select n.ann_id, m.ann_id as extra_id from num n join validity v on " + _same("n", "v") + " and v.validity = 2 join num m on (m.net = n.net and m.len = n.len and m.origin <> n.origin) or (" + _strictly("n", "m") + ") join validity w on " + _same("m", "w") + " and w.validity <> 2 where n.time >= 20000 and m.time < 20000", "announcements", "validity", "hijacks", extra=_NUM)),
-    "alternatives_by_prefix": _q(lambda s, d: wi.alternatives_by_prefix(_numbered(s, d), _numbered(s, d).where("ann_id % 3 = 0").select("ann_id")), oracle("select n.ann_id, m.ann_id as extra_id from num n join num m on n.ann_id % 3 = 0 and n.ann_id <> m.ann_id and ((m.net = n.net and m.len = n.len and m.origin <> n.origin) or (" + _strictly("n", "m") + "))", "announcements", "validity", "hijacks", extra=_NUM)),
+    "alternative_ids": _q(lambda s, d: wi.alternative_ids(_numbered(s, d), wi.alternative_pairs(_numbered(s, d).select("prefix", "origin").distinct(), _validity(s, d), "length")), oracle(_NEAR_IDS, "announcements", "validity", "hijacks", extra=_NEAR)),
+    "ids_after": _q(lambda s, d: wi.ids_after(_numbered(s, d), _numbered(s, d).select("ann_id"), _CUT), oracle(f"select ann_id from num where time > {_CUT}", "announcements", "validity", "hijacks", extra=_NUM)),
+    "older_alternatives": _q(lambda s, d: wi.older_alternatives(_numbered(s, d), wi.alternative_pairs(_numbered(s, d).select("prefix", "origin").distinct(), _validity(s, d), "length"), _CUT), oracle(_NEAR_IDS + f" where n.time > {_CUT} and n.extra_time < {_CUT}", "announcements", "validity", "hijacks", extra=_NEAR)),
+    "alternatives_by_prefix": _q(lambda s, d: wi.alternatives_by_prefix(_numbered(s, d), _numbered(s, d).where("ann_id % 3 = 0").select("ann_id")), oracle("select distinct ann_id, extra_id from near where ann_id % 3 = 0", "announcements", "validity", "hijacks", extra=_NEAR)),
     "union_ids": _q(lambda s, d: wi.union_ids(_numbered(s, d).where("ann_id % 2 = 0"), _numbered(s, d).where("ann_id % 3 = 0")), oracle("select ann_id from num where ann_id % 2 = 0 or ann_id % 3 = 0", "announcements", "validity", "hijacks", extra=_NUM)),
     "split_validity": _q(lambda s, d: flat(_split(s, d)), oracle("select net, len, origin, blocked_by, hijacked, url from split", "split")),
     **{f"hijacks_{'' if b else 'not_'}blocked_by_{p}": _q(lambda s, d, p=p, b=b: flat(wi.hijack_table(_split(s, d), p, b)), oracle(f"select net, len, origin, url from split where hijacked and {'' if b else 'not '}({_BLOCKS[p]})", "split")) for p in ("asn", "length") for b in (True, False)},
@@ -193,7 +204,7 @@ QUERIES = {
     "validity_table": _q(lambda s, d: flat(wi.validity_table(_validity(s, d))).withColumn("validity", F.col("validity").cast("int")), oracle("select net, len, origin, validity, case validity when 0 then 'VALID' when 1 then 'UNKNOWN' when 2 then 'INVALID_BY_LENGTH' when 3 then 'INVALID_BY_ORIGIN' else 'INVALID_BY_ALL' end as validity_name from validity", "validity")),
     "id_policy_stats": _q(lambda s, d: (lambda n: wi.id_policy_stats(n.select(F.col("monitor_asn").alias("asn"), "ann_id"), n.where("ann_id % 2 = 0").select("ann_id"), n.where("ann_id % 2 = 1").select("ann_id"), n.select("ann_id", (F.col("ann_id") + 1).alias("extra_id"))))(_numbered(s, d)), oracle("select n.monitor_asn as asn, cast(sum(case when ann_id % 2 = 0 then 1 else 0 end) as bigint) as hijacked, cast(sum(case when ann_id % 2 = 1 then 1 else 0 end) as bigint) as not_hijacked, cast(sum(case when not exists (select 1 from num m where m.monitor_asn = n.monitor_asn and m.ann_id = n.ann_id + 1) then 1 else 0 end) as bigint) as no_alternative from num n group by n.monitor_asn", "announcements", "validity", "hijacks", extra=_NUM)),
     "trunc2": _q(lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", trunc2(F.col("c_acctbal").cast("double") / 7).alias("v")), "select c_custkey, case when c_acctbal >= 0 then floor(c_acctbal::double / 7 * 100) else ceil(c_acctbal::double / 7 * 100) end / 100 as v from customer"),
-    "array_edit_distance": _q(lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", array_edit_distance(F.split(F.substring("c_name", 10, 9), ""), F.split(F.reverse(F.substring("c_name", 10, 9)), "")).alias("v")), "select c_custkey, cast(levenshtein(substring(c_name, 10, 9), reverse(substring(c_name, 10, 9))) as int) as v from customer"),
+    "array_edit_distance": _q(lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", array_edit_distance(F.split(F.col("c_name"), ""), F.split(F.reverse(F.col("c_name")), "")).alias("v")), "select c_custkey, cast(levenshtein(c_name, reverse(c_name)) as int) as v from customer"),
     # Outcomes
     "trace_back": _q(lambda s, d: oc.trace_back(_fwd(s, d)), _rec(f"select asn, next, {_COND} as condition from ended")),
     "loop_report": _q(lambda s, d: oc.loop_report(oc.trace_back(_fwd(s, d).withColumn("received_from_asn", F.when(F.col("asn") == 5, 10).otherwise(F.col("received_from_asn"))))).select("asn"), None),

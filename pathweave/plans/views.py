@@ -46,7 +46,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "known": (("codes",), "select net, len, origin, min(validity) as validity from codes group by net, len, origin"),
     "validity": (("pairs", "known"), "select p.net, p.len, p.origin, coalesce(k.validity, 1) as validity from pairs p left join known k on p.net = k.net and p.len = k.len and p.origin = k.origin"),
     "split": (("validity", "hijacks"), "select v.net, v.len, v.origin, case when validity in (3, 4) then 'asn' when validity = 2 then 'length' end as blocked_by, h.url is not null as hijacked, h.url from validity v left join (select distinct net, len, origin, url from hijacks) h on v.net = h.net and v.len = h.len and v.origin = h.origin"),
-    "prefixes": (("announcements",), "select distinct net, len from announcements where len >= 10"),
+    "prefixes": (("announcements",), "select distinct net, cast(len + 2 as int) as len from announcements"),
     "ases": (("provider_customers", "peers"), "select provider_as as asn from provider_customers union select customer_as from provider_customers union select peer_as_1 from peers union select peer_as_2 from peers"),
     "conn": (("provider_customers", "peers"), "select asn, sum(n) as connectivity from (select provider_as as asn, 1 as n from provider_customers union all select customer_as, 0 from provider_customers union all select peer_as_1, 1 from peers union all select peer_as_2, 1 from peers) c group by asn"),
 }

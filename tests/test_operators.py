@@ -88,6 +88,12 @@ def test_pack_groups_keeps_groups_whole(spark, sf):
     sizes = md.group_sizes(va.prefix_groups(load(spark, sf, "prefixes")))
     packed = md.pack_groups(sizes, 10)
     assert packed.count() == sizes.count()
+    for limit in (1, 10, 300):
+        blocks = md.pack_groups(sizes, limit).groupBy("block_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect()
+        assert all(r.n <= limit or r.k == 1 for r in blocks) and sorted(r.block_id for r in blocks) == list(range(len(blocks)))
+    made = [((4, 0, 256 * i, 24), 199) for i in range(400)]
+    made = spark.createDataFrame(made, "group_prefix struct<family: tinyint, hi: bigint, lo: bigint, len: int>, n long")
+    assert md.pack_groups(made, 300).groupBy("block_id").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] == 199
     assert packed.groupBy("group_prefix").agg(F.count_distinct("block_id").alias("k")).where("k > 1").count() == 0
 
 

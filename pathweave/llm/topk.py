@@ -158,7 +158,9 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: floa
 
     dealt = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)))
     query_blocks = dealt.groupBy("block").applyInArrow(block, "block long, query_ids binary, queries binary")
-    pairs = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(query_blocks, "block")
+    # Both sides are dealt by (shard, block), so neither the index nor the queries meet in one task.
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    pairs = index.withColumn("block", numbers(blocks)).join(query_blocks.withColumn("shard", numbers(shards)), ["shard", "block"])
     pairs = pairs.repartition(shards * blocks, "shard", "block").select("ids", "segments", "postings", "query_ids", "queries")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

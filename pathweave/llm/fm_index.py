@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Longest pattern that the search follows.
+#: Pattern that the search follows at least, and the depth to which suffixes are sorted where windows are no longer.
 DEPTH = 64
 
 
@@ -95,8 +95,7 @@ def repeated_windows(index: FMIndex, text: np.ndarray, starts: np.ndarray, count
     matches of two or more go. A match that reaches the first undecided window settles all windows in it at once; a
     mismatch shows that everything containing the unmatched part is unique, and moves the query past it.
     """
-    flags = np.zeros(int(counts.sum()), np.int32)  # +1 where a run of repeated windows begins, -1 after its end
-    flags = np.zeros(len(flags) + 1, np.int32)
+    flags = np.zeros(int(counts.sum()) + 1, np.int32)  # +1 where a run of repeated windows begins, -1 after its end
     slot = np.cumsum(counts) - counts
     reach = max(window, DEPTH)
     lane = np.arange(len(starts))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathweave.llm.cluster import materialize
-from pathweave.llm.fm_index import FMIndex, repeated_windows
+from pathweave.llm.fm_index import DEPTH, FMIndex, repeated_windows
 from pathweave.llm.words import _ODD, Words, grams, mix, texts
 
 #: Words of a gram that can be an anchor.
@@ -165,7 +165,7 @@ def _search(parts: DataFrame, window: int, shard_words: int) -> DataFrame:
             nth = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
             lane_start = start[owner] + nth * LANE_WINDOWS
             lane_count = np.minimum(LANE_WINDOWS, count[owner] - nth * LANE_WINDOWS)
-            flags = repeated_windows(FMIndex(text), text, lane_start, lane_count, window)
+            flags = repeated_windows(FMIndex(text, max(window, DEPTH)), text, lane_start, lane_count, window)
             edges = np.cumsum(count[asked])
             for i, part in zip(asked, np.split(flags, edges[:-1])):
                 if part.any():

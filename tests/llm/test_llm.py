@@ -346,6 +346,28 @@ def test_a_common_phrase_does_not_fill_one_index(spark, monkeypatch):
     assert max(most) <= 100
 
 
+@pytest.mark.parametrize("window", [35, 64, 65, 100])
+def test_windows_longer_than_the_depth(window):
+    rng = np.random.default_rng(window)
+    for _ in range(25):
+        parts, bounds = [], [0]
+        shared = rng.integers(1, 4, 160)
+        for _ in range(5):
+            at = rng.integers(0, 60)
+            body = np.concatenate([rng.integers(1, 30, rng.integers(0, 40)), shared[at : at + rng.integers(60, 100)], rng.integers(1, 30, rng.integers(window, 120))])
+            parts.append(np.append(body, 0))
+            bounds.append(bounds[-1] + len(body) + 1)
+        text = np.concatenate(parts)
+        starts = np.array(bounds[:-1])
+        counts = np.diff(bounds) - 1 - window + 1
+        keep = counts > 0
+        starts, counts = starts[keep], counts[keep]
+        got = fm_index.repeated_windows(fm_index.FMIndex(text, max(window, fm_index.DEPTH)), text, starts, counts, window)
+        windows = [tuple(text[s + j : s + j + window]) for s, c in zip(starts, counts) for j in range(c)]
+        every = Counter(tuple(text[j : j + window]) for j in range(len(text) - window + 1) if 0 not in text[j : j + window])
+        assert got.tolist() == [every[w] > 1 for w in windows]
+
+
 def test_index_counts_patterns():
     rng = np.random.default_rng(0)
     text = np.concatenate([np.append(rng.integers(1, 4, 60), 0) for _ in range(8)])

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathweave.llm.cluster import discard, materialize
 from pathweave.llm.words import Words, texts
 
 #: Labelled rows of each kind that the model is fitted on at most; the smallest hashes of their ids are taken.
@@ -198,17 +199,16 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float,
     marks = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     rows = marks.where("toxic = 1").orderBy(*by_hash).limit(MAX_TOXIC_ROWS).unionByName(marks.where("toxic = 0").orderBy(*by_hash).limit(MAX_CLEAN_ROWS))
-    sample = docs.join(F.broadcast(rows), "doc_id").select(F.xxhash64("text").alias("text_id"), "toxic", "text")
+    rows = materialize(rows)
+    sample = materialize(docs.join(F.broadcast(rows), "doc_id").select(F.xxhash64("text").alias("text_id"), "toxic", "text"))
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                text = (batch.column(2)[i].as_py() or "").encode()
-                found = sorted({w.lower()[:LONGEST] for w in spell(text.split())})
-                n = len(found)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1).take(pa.array([0] * n, pa.int32())), batch.column(1).slice(i, 1).take(pa.array([0] * n, pa.int32())), pa.array(found, pa.binary())], ["text_id", "toxic", "word"])
+            found = [sorted({w.lower()[:LONGEST] for w in spell((text or "").encode().split())}) for text in batch.column(2).to_pylist()]
+            row = pa.array(np.repeat(np.arange(batch.num_rows), [len(f) for f in found]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array([w for f in found for w in f], pa.binary())], ["text_id", "toxic", "word"])
 
-    words = sample.mapInArrow(words_of, "text_id long, toxic int, word binary")
+    words = materialize(sample.mapInArrow(words_of, "text_id long, toxic int, word binary"))
     counts = words.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     n_bad, n_good = (rows.where(f"toxic = {t}").count() for t in (1, 0))
     if not n_bad or not n_good:
@@ -254,6 +254,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float,
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(worst_words(w, primal, offset))], ["toxic", "margin"])
 
     fitted = sample.mapInArrow(margins, "toxic int, margin double").collect()
+    for table in (rows, sample, words):
+        discard(table)
     slope, shift = logistic(np.array([max(r.margin, -3.0) for r in fitted]), np.array([r.toxic for r in fitted]))
     return primal, offset, slope, shift
 

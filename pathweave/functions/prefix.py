@@ -102,31 +102,35 @@ def strictly_covered_by(a: Column, b: Column) -> Column:
     return covers(b, a) & (a["len"] > b["len"])
 
 
-def lengths(df: DataFrame, prefix: str = "prefix") -> dict[int, list[int]]:
-    """Prefix lengths that occur, by family: at most 33 and 129 numbers reach the driver."""
-    out: dict[int, list[int]] = {4: [], 6: []}
-    for r in df.select(F.col(f"{prefix}.family").alias("f"), F.col(f"{prefix}.len").alias("n")).where("f is not null").distinct().collect():
-        out[r.f].append(r.n)
-    return {f: sorted(n) for f, n in out.items()}
+def lengths(df: DataFrame, prefix: str = "prefix") -> DataFrame:
+    """Prefix lengths that occur, as one row with an array for each family: at most 33 and 129 numbers."""
+    p = F.col(prefix)
+    return df.agg(*[F.collect_set(F.when(p["family"] == f, p["len"])).alias(f"_lengths_{f}") for f in (4, 6)])
+
 
+def with_ancestors(df: DataFrame, of: DataFrame, prefix: str = "prefix", strict: bool = False, name: str = "ancestor") -> DataFrame:
+    """A row per ancestor of the lengths in ``of``, the prefix itself included unless ``strict``. Rows without one drop out.
 
-def with_ancestors(df: DataFrame, of: dict[int, list[int]], prefix: str = "prefix", strict: bool = False, name: str = "ancestor") -> DataFrame:
-    """A row per ancestor of the given lengths, the prefix itself included unless ``strict``. Rows without one drop out."""
+    ``of`` is the one row that ``lengths`` makes; it is found by the job that needs it, not while the plan is built.
+    """
     p = F.col(prefix)
-    choice = F.when(p["family"] == 4, F.array(*[F.lit(n) for n in of[4]]).cast("array<int>")).otherwise(F.array(*[F.lit(n) for n in of[6]]).cast("array<int>"))
+    choice = F.when(p["family"] == 4, F.col("_lengths_4")).otherwise(F.col("_lengths_6"))
     fits = (lambda n: n < p["len"]) if strict else (lambda n: n <= p["len"])
-    return df.withColumn("_len", F.explode(F.filter(choice, fits))).withColumn(name, truncate(p, F.col("_len"))).drop("_len")
+    wide = df.crossJoin(F.broadcast(of)).withColumn("_len", F.explode(F.filter(choice, fits)))  # one row
+    return wide.withColumn(name, truncate(p, F.col("_len"))).drop("_len", "_lengths_4", "_lengths_6")
 
 
 def containment_join(df: DataFrame, covering: DataFrame, prefix: str = "prefix", covering_prefix: str = "prefix", strict: bool = False, how: str = "inner") -> DataFrame:
     """Rows of ``df`` with the rows of ``covering`` whose prefix contains theirs, by an equi-join on ancestors.
 
     ``how``: inner, left_semi. Column names must differ but for the prefix, which is renamed ``covering_prefix_`` on the right.
-    Null prefixes match nothing.
+    Null prefixes match nothing. The semi-join expands distinct prefixes only, and keeps equal rows of ``df`` apart.
     """
     right = covering.where(F.col(covering_prefix).isNotNull()).withColumnRenamed(covering_prefix, "covering_prefix_")
-    left = with_ancestors(df.where(F.col(prefix).isNotNull()), lengths(right, "covering_prefix_"), prefix, strict)
+    of = lengths(right, "covering_prefix_")
     if how == "left_semi":
-        right = right.select("covering_prefix_").distinct()
-    joined = left.join(right, F.col("ancestor") == F.col("covering_prefix_"), how).drop("ancestor")
-    return joined.distinct() if how == "left_semi" else joined
+        distinct = df.select(F.col(prefix).alias("_prefix")).where("_prefix is not null").distinct()
+        covered = with_ancestors(distinct, of, "_prefix", strict).join(right, F.col("ancestor") == F.col("covering_prefix_"), "left_semi")
+        return df.join(covered.select("_prefix"), F.col(prefix) == F.col("_prefix"), "left_semi")
+    left = with_ancestors(df.where(F.col(prefix).isNotNull()), of, prefix, strict)
+    return left.join(right, F.col("ancestor") == F.col("covering_prefix_"), how).drop("ancestor")

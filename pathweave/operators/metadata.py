@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathweave.functions import prefix as px
+from pathweave.functions.stored import stored
 
 
 def dense_id(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
@@ -18,7 +19,7 @@ def dense_id(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     """
     # A range of the order is one partition, and both readers below must see the same ranges.
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_at", F.monotonically_increasing_id() - F.col("_part").cast("long") * (1 << 33)).persist()
+    ranged = stored(ranged.withColumn("_at", F.monotonically_increasing_id() - F.col("_part").cast("long") * (1 << 33)))
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")  # one row a partition

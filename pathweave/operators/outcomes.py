@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathweave.functions.scalars import TERMINALS
+from pathweave.functions.stored import stored
 
 
 def terminal_name(asn: Column) -> Column:
@@ -23,18 +24,36 @@ def trace_back(forwarding: DataFrame, max_hops: int = 64, keys: tuple[str, ...]
     One row per AS (and keys) is assumed. Pointer doubling: after step k each pointer has gone 2^k hops, so log2(max_hops)
     self-joins are enough. A pointer to an AS without a row stays; ``condition`` is null where no terminal is reached.
     """
-    table = forwarding.select(*keys, "asn", F.col("received_from_asn").alias("next"))
-    hops = 1
-    while hops < max_hops:
+    return _jumps(forwarding, max_hops, keys)[-1].withColumn("condition", terminal_name(F.col("next")))
+
+
+def _jumps(forwarding: DataFrame, max_hops: int, keys: tuple[str, ...]) -> list[DataFrame]:
+    """Where 1, 2, 4, ... hops lead, up to ``max_hops`` or the next power of two; every step is stored for the next one."""
+    jumps = [stored(forwarding.select(*keys, "asn", F.col("received_from_asn").alias("next")))]
+    while 1 << (len(jumps) - 1) < max_hops:
+        table = jumps[-1]
         ahead = table.select(*keys, F.col("asn").alias("next"), F.col("next").alias("_far"))
-        table = table.join(ahead, [*keys, "next"], "left").select(*keys, "asn", F.coalesce("_far", "next").alias("next"))
-        hops *= 2
-    return table.withColumn("condition", terminal_name(F.col("next")))
+        jumps.append(stored(table.join(ahead, [*keys, "next"], "left").select(*keys, "asn", F.coalesce("_far", "next").alias("next"))))
+    return jumps
+
 
+def loop_report(forwarding: DataFrame, max_hops: int = 64, keys: tuple[str, ...] = ()) -> DataFrame:
+    """ASes whose trace has not ended: ``keys, asn, next, path``, where it then was and the ASes it passed through, itself first.
 
-def loop_report(traced: DataFrame) -> DataFrame:
-    """ASes whose trace has not ended, with where it then was."""
-    return traced.where("condition is null")
+    Only these ASes' paths are made, with the jumps of the trace: each step fills the places half-way between those known.
+    A trace that stops at an AS without a row has the path up to there.
+    """
+    *jumps, last = _jumps(forwarding, max_hops, keys)
+    stuck = last.where(terminal_name(F.col("next")).isNull())
+    places = stuck.select(*keys, F.col("asn").alias("start"), F.lit(0).alias("hop"), F.col("asn").alias("at"))
+    for k in reversed(range(len(jumps))):
+        jump = jumps[k].select(*keys, F.col("asn").alias("at"), F.col("next").alias("_to"))
+        further = places.join(jump, [*keys, "at"]).select(*keys, "start", (F.col("hop") + (1 << k)).alias("hop"), F.col("_to").alias("at"))
+        places = places.unionByName(further)
+    # A jump past the end of a trace stays at an AS without a row.
+    places = places.join(jumps[0].select(*keys, F.col("asn").alias("at")) if jumps else last.select(*keys, F.col("asn").alias("at")), [*keys, "at"], "left_semi")
+    paths = places.groupBy(*keys, F.col("start").alias("asn")).agg(F.array_sort(F.collect_list(F.struct("hop", "at"))).alias("_places"))
+    return stuck.join(paths.select(*keys, "asn", F.col("_places.at").alias("path")), [*keys, "asn"])
 
 
 def segment_forwarding(forwarding: DataFrame, segments: DataFrame) -> DataFrame:
@@ -113,6 +132,14 @@ def check_percent_index(df: DataFrame) -> DataFrame:
     return df.groupBy("percent_iter").agg(F.count_distinct("percent").alias("n")).where("n <> 1")
 
 
+def require_percent_index(df: DataFrame) -> DataFrame:
+    """``df`` itself, after a check that each iteration has one percent; else a ValueError that names up to five iterations."""
+    bad = [r.percent_iter for r in check_percent_index(df).orderBy("percent_iter").limit(5).collect()]
+    if bad:
+        raise ValueError(f"iterations without exactly one percent: {bad}")
+    return df
+
+
 def attribute_values(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in cols])
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathweave.functions.stored import stored
+
 
 def edge_endpoints(pc: DataFrame, peers: DataFrame) -> DataFrame:
     sides = [pc.select(F.col("provider_as").alias("asn")), pc.select(F.col("customer_as").alias("asn")), peers.select(F.col("peer_as_1").alias("asn")), peers.select(F.col("peer_as_2").alias("asn"))]
@@ -111,11 +113,12 @@ def seed_as(conn: DataFrame, cap: int) -> DataFrame:
 def k_hop(link_table: DataFrame, seed: int, k: int) -> DataFrame:
     """ASes within ``k`` links of the seed and their distance: a frontier that grows by one join a step, never back to what it has seen."""
     both = link_table.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(link_table.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct()
+    both = stored(both)
     seen = link_table.sparkSession.range(1).select(F.lit(seed).cast("long").alias("asn"), F.lit(0).alias("level"))
     frontier = seen
     for level in range(1, k + 1):
         reached = both.join(frontier.select(F.col("asn").alias("x")), "x").select(F.col("y").alias("asn")).distinct()
-        frontier = reached.join(seen, "asn", "left_anti").withColumn("level", F.lit(level))
+        frontier = stored(reached.join(seen, "asn", "left_anti").withColumn("level", F.lit(level)))
         seen = seen.unionByName(frontier)
     return seen
 

@@ -6,6 +6,8 @@ are the pairs that an AS did not keep (asn, prefix, origin). Policies: asn block
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,12 +149,43 @@ def category_totals(split: DataFrame, inverse: DataFrame, policy: str) -> DataFr
     return joined.select("asn", *[(F.col(f"size_{n}") - F.coalesce(n, F.lit(0))).alias(n) for n in names])
 
 
-def policy_table(totals: DataFrame) -> DataFrame:
-    """Totals and percentages, cut to two decimals; null where nothing stands below."""
+def policy_totals(split: DataFrame, inverse: DataFrame) -> DataFrame:
+    """``category_totals`` of all three policies from one pass over the pairs, a row per AS and ``policy``.
+
+    ``split`` has one validity a pair, so the policy that blocks all invalid pairs is the sum of the other two.
+    """
+    labelled = split.select(*PAIR, F.coalesce("blocked_by", F.lit("none")).alias("by"), "hijacked").distinct()
+    kinds = [(by, hijacked) for by in ("asn", "length", "none") for hijacked in (True, False)]
+    counts = [F.count(F.when((F.col("by") == by) & (F.col("hijacked") == hijacked), 1)).alias(f"{by}_{hijacked}") for by, hijacked in kinds]
+    sizes = labelled.agg(*counts).select(*[F.col(f"{by}_{hijacked}").alias(f"size_{by}_{hijacked}") for by, hijacked in kinds])
+    missed = inverse.select("asn", *PAIR).distinct().join(labelled, PAIR, "left").groupBy("asn").agg(*counts)
+    held = missed.crossJoin(F.broadcast(sizes))  # one row
+
+    def total(policy: str, blocked: bool, hijacked: bool) -> Column:
+        these = [by for by in ("asn", "length", "none") if (by != "none" and policy in (by, "rov")) == blocked]
+        return reduce(lambda a, b: a + b, [F.col(f"size_{by}_{hijacked}") - F.col(f"{by}_{hijacked}") for by in these])
+
+    rows = [
+        F.struct(
+            F.lit(p).alias("policy"), total(p, True, True).alias("blocked_hijacked"), total(p, False, True).alias("not_blocked_hijacked"),
+            total(p, True, False).alias("blocked_not_hijacked"), total(p, False, False).alias("not_blocked_not_hijacked"),
+        )
+        for p in sorted(BLOCKED)
+    ]
+    return held.select("asn", F.inline(F.array(*rows)))
+
+
+def policy_tables(split: DataFrame, inverse: DataFrame) -> DataFrame:
+    """``policy_table`` of all three policies, a row per AS and ``policy``."""
+    return policy_table(policy_totals(split, inverse), "policy")
+
+
+def policy_table(totals: DataFrame, *keys: str) -> DataFrame:
+    """Totals and percentages, cut to two decimals; null where nothing stands below. ``keys`` are kept beside ``asn``."""
     hijacks = F.col("blocked_hijacked") + F.col("not_blocked_hijacked")
     percent = lambda part, whole: trunc2(ratio(part, whole, 100.0))
     return totals.select(
-        "asn", "blocked_hijacked", "not_blocked_hijacked", "blocked_not_hijacked", "not_blocked_not_hijacked",
+        "asn", *keys, "blocked_hijacked", "not_blocked_hijacked", "blocked_not_hijacked", "not_blocked_not_hijacked",
         percent(F.col("blocked_hijacked"), hijacks).alias("percent_blocked_hijacked"),
         percent(F.col("not_blocked_hijacked"), hijacks).alias("percent_not_blocked_hijacked"),
         percent(F.col("blocked_not_hijacked"), F.col("blocked_not_hijacked") + F.col("not_blocked_not_hijacked")).alias("percent_blocked_not_hijacked"),
@@ -192,22 +225,23 @@ def id_policy_stats(results: DataFrame, hijacked: DataFrame, not_hijacked: DataF
     )
 
 
-def averages(tables: dict[str, DataFrame]) -> DataFrame:
-    out = None
-    for policy, table in sorted(tables.items()):
-        row = policy_averages(table, policy)
-        out = row if out is None else out.unionByName(row)
-    return out
+def averages(tables: DataFrame) -> DataFrame:
+    """``policy_averages`` of each policy of ``policy_tables``."""
+    metrics = [c for c in tables.columns if c not in ("asn", "policy")]
+    return tables.groupBy("policy").agg(*[trunc2(F.sum(c) / F.count(F.lit(1))).alias(c) for c in metrics])
+
+
+def policy_stats(tables: DataFrame, asns: DataFrame, stubs: DataFrame) -> DataFrame:
+    """Statistics of the asked ASes (a stub answers as its parent), a row per AS and policy of ``policy_tables``."""
+    return tables.join(stubs_to_parents(asns, stubs).select("asn").distinct(), "asn", "left_semi")
 
 
-def policy_stats(tables: dict[str, DataFrame], asns: DataFrame, stubs: DataFrame) -> DataFrame:
-    """Statistics of the asked ASes (a stub answers as its parent), a row per AS and policy."""
+def policy_answer(split: DataFrame, inverse: DataFrame, asns: DataFrame, stubs: DataFrame) -> dict[str, DataFrame]:
+    """What is served for the asked ASes: their ``stats`` and open ``hijacks`` by policy, and the ``averages`` over all ASes."""
+    tables = policy_tables(split, inverse)
     asked = stubs_to_parents(asns, stubs).select("asn").distinct()
-    out = None
-    for policy, table in sorted(tables.items()):
-        rows = table.join(asked, "asn", "left_semi").withColumn("policy", F.lit(policy))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    hijacks = reduce(DataFrame.unionByName, [hijacks_held(split, inverse, asked, p) for p in sorted(BLOCKED)])
+    return {"stats": policy_stats(tables, asns, stubs), "hijacks": hijacks, "averages": averages(tables)}
 
 
 def rib_of(covered: DataFrame, inverse: DataFrame, asns: DataFrame, stubs: DataFrame) -> DataFrame:

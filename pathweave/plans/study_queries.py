@@ -61,6 +61,10 @@ def _table(s, d, policy):
     return wi.policy_table(_totals(s, d, policy))
 
 
+def _answer(s, d):
+    return wi.policy_answer(_split(s, d), _inverse(s, d), load(s, d, "as_rank").where("asn in (3, 500, 501)").select("asn"), tp.stub_parents(*_pc(s, d)))
+
+
 def _asked(s, d):
     return load(s, d, "as_rank").where("asn < 6").select("asn")
 
@@ -145,6 +149,16 @@ def _rec(body):
 _COND = "case next when 64512 then 'blackholed' when 64513 then 'hijacked' when 64514 then 'not_hijacked' end"
 
 
+def _looped(s, d):
+    """Forwarding with loops: ASes 50 and 100, 150 and 200, ... receive from each other."""
+    back = F.col("asn") + F.when(F.col("asn") % 100 == 50, 50).otherwise(-50)
+    return _fwd(s, d).withColumn("received_from_asn", F.when(F.col("asn") % 50 == 0, back).otherwise(F.col("received_from_asn")))
+
+
+_LOOPS = _rec("select start as asn, nxt as next, path from (select start, max_by(nxt, n) as nxt, max_by(path, n) as path from walked group by start) w where nxt not in (64512, 64513, 64514)").replace(
+    "traced as (", "looped as (select asn, case when asn % 100 = 50 then asn + 50 when asn % 50 = 0 then asn - 50 else received_from_asn end as nxt from forwarding), walked as (select asn as start, asn, nxt, 1 as n, cast(asn as varchar) as path from looped union all select w.start, f.asn, f.nxt, w.n + 1, w.path || ',' || f.asn from walked w join looped f on f.asn = w.nxt where w.n < 64), traced as (", 1)
+
+
 def _segments(s, d):
     return load(s, d, "as_rank").select("asn", F.when(F.col("asn") % 5 == 0, "edge").otherwise("etc").alias("segment"), (F.col("asn") % 3 == 0).alias("implement"))
 
@@ -195,9 +209,10 @@ QUERIES = {
     "kept_totals": _q(lambda s, d: wi.kept_totals(_covered(s, d), _inverse(s, d)), oracle("select asn, (select count(*) from pairs x where exists (select 1 from roas r where " + _inside("x", "r") + ")) - count(*) as total_kept from inverse_results group by asn", "pairs", "roas", "inverse_results")),
     **{f"category_totals_{p}": _q(lambda s, d, p=p: _totals(s, d, p), oracle(f"select * from tot_{p}", "split", "inverse_results", extra=_category_sql(p))) for p in ("asn", "length")},
     **{f"policy_table_{p}": _q(lambda s, d, p=p: _table(s, d, p), oracle(f"select * from t_{p}", "split", "inverse_results", extra=_TABLES)) for p in _CODES},
-    "averages": _q(lambda s, d: wi.averages({p: _table(s, d, p) for p in _CODES}), oracle(" union all ".join(_AVG.values()), "split", "inverse_results", extra=_TABLES)),
+    "averages": _q(lambda s, d: wi.averages(wi.policy_tables(_split(s, d), _inverse(s, d))), oracle(" union all ".join(_AVG.values()), "split", "inverse_results", extra=_TABLES)),
     "average_over": _q(lambda s, d: wi.average_over(_table(s, d, "asn"), load(s, d, "as_rank").where("asn % 7 = 0")).select(*[F.round(m, 6).alias(m) for m in _METRICS]), oracle("select " + ", ".join(f"round(avg({m}), 6) as {m}" for m in _METRICS) + " from t_asn where asn % 7 = 0 and asn in (select asn from as_rank)", "split", "inverse_results", "as_rank", extra=_TABLES)),
-    "policy_stats": _q(lambda s, d: wi.policy_stats({p: _table(s, d, p) for p in _CODES}, load(s, d, "as_rank").where("asn % 5 = 0").select("asn"), tp.stub_parents(*_pc(s, d))), oracle(" union all ".join(f"select *, '{p}' as policy from t_{p} where asn in (select coalesce(parent_asn, r.asn) from as_rank r left join stubs on r.asn = stub_asn where r.asn % 5 = 0)" for p in _CODES), "split", "inverse_results", "as_rank", "provider_customers", "peers", extra=_TABLES | _STUBS)),
+    "policy_stats": _q(lambda s, d: wi.policy_stats(wi.policy_tables(_split(s, d), _inverse(s, d)), load(s, d, "as_rank").where("asn % 5 = 0").select("asn"), tp.stub_parents(*_pc(s, d))), oracle(" union all ".join(f"select *, '{p}' as policy from t_{p} where asn in (select coalesce(parent_asn, r.asn) from as_rank r left join stubs on r.asn = stub_asn where r.asn % 5 = 0)" for p in _CODES), "split", "inverse_results", "as_rank", "provider_customers", "peers", extra=_TABLES | _STUBS)),
+    "policy_answer_hijacks": _q(lambda s, d: flat(_answer(s, d)["hijacks"]), oracle(" union all ".join(f"select h.net, h.len, h.origin, h.url, a.asn, '{p}' as policy from (select distinct net, len, origin, url from split where hijacked and not ({_BLOCKS[p]})) h cross join (select distinct asn from asked) a where not exists (select 1 from inverse_results i where i.asn = a.asn and " + _same("i", "h") + ")" for p in _CODES), "split", "inverse_results", "as_rank", "provider_customers", "peers", extra=_STUBS | {"asked": "select coalesce(parent_asn, r.asn) as asn from as_rank r left join stubs on r.asn = stub_asn where r.asn in (3, 500, 501)"})),
     "rib_of": _q(lambda s, d: flat(wi.rib_of(_covered(s, d), _inverse(s, d), load(s, d, "as_rank").where("asn in (3, 500, 501)").select("asn"), tp.stub_parents(*_pc(s, d)))), oracle(_Q4, "announcements", "roas", "inverse_results", "as_rank", "provider_customers", "peers", extra=_STUBS | {"asked": "select coalesce(parent_asn, r.asn) as asn from as_rank r left join stubs on r.asn = stub_asn where r.asn in (3, 500, 501)"})),
     "relationships_of": _q(lambda s, d: wi.relationships_of(*_pc(s, d), load(s, d, "as_rank").where("asn % 9 = 0").select("asn"), tp.stub_parents(*_pc(s, d))), oracle(f"select distinct asn, neighbour, kind from ({_NEIGH}) n where asn in (select coalesce(parent_asn, r.asn) from as_rank r left join stubs on r.asn = stub_asn where r.asn % 9 = 0)", "as_rank", "provider_customers", "peers", extra=_STUBS)),
     "roa_table": _q(lambda s, d: flat(wi.roa_table(load(s, d, "roas"))), oracle("select asn, net, len, max_length from roas", "roas")),
@@ -207,7 +222,7 @@ QUERIES = {
     "array_edit_distance": _q(lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", array_edit_distance(F.split(F.col("c_name"), ""), F.split(F.reverse(F.col("c_name")), "")).alias("v")), "select c_custkey, cast(levenshtein(c_name, reverse(c_name)) as int) as v from customer"),
     # Outcomes
     "trace_back": _q(lambda s, d: oc.trace_back(_fwd(s, d)), _rec(f"select asn, next, {_COND} as condition from ended")),
-    "loop_report": _q(lambda s, d: oc.loop_report(oc.trace_back(_fwd(s, d).withColumn("received_from_asn", F.when(F.col("asn") == 5, 10).otherwise(F.col("received_from_asn"))))).select("asn"), None),
+    "loop_report": _q(lambda s, d: oc.loop_report(_looped(s, d)).withColumn("path", F.array_join("path", ",")), _LOOPS),
     "data_plane_counts": _q(lambda s, d: oc.data_plane_counts(oc.trace_back(_fwd(s, d)).join(_fwd(s, d).select("asn", "implement"), "asn")), _rec(f"select implement, cast(sum(case when c = 'hijacked' then 1 else 0 end) as bigint) as hijacked, cast(sum(case when c = 'not_hijacked' then 1 else 0 end) as bigint) as not_hijacked, cast(sum(case when c = 'blackholed' then 1 else 0 end) as bigint) as blackholed, cast(count(c) as bigint) as total from (select f.implement, {_COND} as c from ended e join forwarding f on e.asn = f.asn) x group by implement")),
     "control_plane_counts": _q(lambda s, d: oc.control_plane_counts(_fwd(s, d), 3, 4), oracle("select implement, cast(sum(case when origin = 3 then 1 else 0 end) as bigint) as c_hijacked, cast(sum(case when origin = 4 then 1 else 0 end) as bigint) as c_not_hijacked, cast(sum(case when origin = 64512 then 1 else 0 end) as bigint) as c_blackholed from forwarding where asn not in (3, 4) group by implement", "forwarding")),
     "segment_forwarding": _q(lambda s, d: flat(oc.segment_forwarding(_fwd(s, d).drop("implement"), _segments(s, d))), oracle("select f.asn, f.received_from_asn, f.net, f.len, f.origin, case when f.asn % 5 = 0 then 'edge' else 'etc' end as segment, f.asn % 3 = 0 as implement from forwarding f join as_rank r on f.asn = r.asn", "forwarding", "as_rank")),

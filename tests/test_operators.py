@@ -39,8 +39,23 @@ def test_trace_of_64_hops_and_loop(spark):
     chain = [(i, i + 1) for i in range(1, 64)] + [(64, 64512)] + [(900, 901), (901, 900)]
     out = {r.asn: r.condition for r in oc.trace_back(spark.createDataFrame(chain, "asn long, received_from_asn long")).collect()}
     assert out[1] == "blackholed" and out[900] is None
-    loops = oc.loop_report(oc.trace_back(spark.createDataFrame(chain, "asn long, received_from_asn long")))
-    assert {r.asn for r in loops.collect()} == {900, 901}
+    loops = oc.loop_report(spark.createDataFrame([*chain, (950, 951), (951, 952)], "asn long, received_from_asn long"))
+    assert {r.asn: (r.next, r.path) for r in loops.collect()} == {
+        900: (900, [900, 901] * 32), 901: (901, [901, 900] * 32), 950: (952, [950, 951]), 951: (952, [951])
+    }
+
+
+def test_percent_index_check_fails(spark):
+    good = spark.createDataFrame([(0, 10), (0, 10), (1, 20)], "percent_iter int, percent int")
+    assert oc.require_percent_index(good) is good
+    with pytest.raises(ValueError, match=r"\[1\]"):
+        oc.require_percent_index(good.unionByName(good.where("percent_iter = 1").withColumn("percent", F.lit(30))))
+
+
+def test_semi_containment_keeps_equal_rows(spark):
+    rows = _prefixed(spark, [("10.1.0.0/16", 1), ("10.1.0.0/16", 1), ("11.0.0.0/8", 2), (None, 3)], "prefix string, origin long")
+    covering = _prefixed(spark, [("10.0.0.0/8", 1), ("10.1.0.0/16", 1)], "prefix string, asn long")
+    assert [r.origin for r in px.containment_join(rows, covering.select("prefix"), how="left_semi").collect()] == [1, 1]
 
 
 def test_best_and_worst_validity(spark):

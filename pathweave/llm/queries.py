@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pathweave.llm import embedding_dedup, jaccard, mixing, packing, personal_data, quality, repeats, topk, toxicity, url_rules
+from pathweave.llm import embedding_dedup, fill_in_middle, jaccard, mixing, packing, periodic_runs, personal_data, quality, repeats, repetition, topk, toxicity, url_rules
 
 #: Rules of the URL filter query: (host, path, verdict).
 URL_RULES = [
@@ -63,6 +64,38 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.balanced_mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op11_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.judge(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_in_middle.transform(table(spark, sf_dir, "documents"), seed=7, percent=100, spm_percent=50)
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def planted_period(doc_id: Column, text: Column) -> Column:
+    """For a tenth of the ids, the text's words with a periodic end: from word a on, the p words there over and over. Else the text."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10).cast("long")
+    words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+
+    def planted(ws: Column) -> Column:
+        n = F.size(ws)
+        a = F.pmod(g, n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+        end = F.flatten(F.array_repeat(F.slice(ws, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.when(n > 0, F.array_join(F.slice(F.concat(F.slice(ws, F.lit(1), a), end), F.lit(1), n), " "))
+
+    # An array of one element names the words, so they are split once.
+    return F.when(F.pmod(h, F.lit(10)) == 0, F.get(F.transform(F.array(words), planted), F.lit(0))).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return periodic_runs.summary(periodic_runs.find_runs(docs.withColumn("text", planted_period(F.col("doc_id"), F.col("text")))))
+
+
 OP6_SQL = """
 with u as (
   select page_id,
@@ -136,6 +169,51 @@ from d left join k using (doc_id)
 """
 
 
+OP11_SQL = """
+with d as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+l as (select r, line, count(*) as c, length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g')) as chars
+      from (select r, unnest(string_split(text, chr(10))) as line from d) x where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by all),
+dup as (select r, sum(c - 1)::bigint as n_dup_lines, sum((c - 1) * chars)::bigint as dup_line_chars from l group by r),
+g as (select r, n, p, md5(array_to_string(w[p:p + n - 1], ' ')) as h from (select r, w, n, unnest(range(1, len(w) - n + 2)) as p from d, range(5, 11) t(n)) x),
+m as (select r, n, p, row_number() over (partition by r, n, h order by p) as nth, count(*) over (partition by r, n, h) as c from g),
+v as (select distinct r, n, nth > 1 as again, unnest(range(p, p + n)) as i from m where c > 1),
+k as (select r, n, count(distinct v.i) as words, sum(case when again then length(d.w[v.i]) end)::bigint as chars from v join d using (r) group by r, n),
+c as (select r, max(words) filter (n = 8) as n_repeat_words, max(chars) filter (n = 5) as dup_chars_5, max(chars) filter (n = 6) as dup_chars_6,
+             max(chars) filter (n = 7) as dup_chars_7, max(chars) filter (n = 8) as dup_chars_8, max(chars) filter (n = 9) as dup_chars_9,
+             max(chars) filter (n = 10) as dup_chars_10 from k group by r),
+f as (
+  select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
+         coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(dup_line_chars, 0) as dup_line_chars,
+         coalesce(dup_chars_5, 0) as dup_chars_5, coalesce(dup_chars_6, 0) as dup_chars_6, coalesce(dup_chars_7, 0) as dup_chars_7,
+         coalesce(dup_chars_8, 0) as dup_chars_8, coalesce(dup_chars_9, 0) as dup_chars_9, coalesce(dup_chars_10, 0) as dup_chars_10
+  from d left join dup using (r) left join c using (r)),
+b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from f)
+select *, not base_failed and 100 * dup_line_chars <= 25 * word_chars and 100 * dup_chars_5 <= 25 * word_chars and 100 * dup_chars_6 <= 24 * word_chars
+          and 100 * dup_chars_7 <= 23 * word_chars and 100 * dup_chars_8 <= 22 * word_chars and 100 * dup_chars_9 <= 21 * word_chars
+          and 100 * dup_chars_10 <= 20 * word_chars as kept from b
+"""
+
+OP12_SQL = """
+with d as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') as u,
+         sha256('7:' || coalesce(doc_id::varchar, '')) as h from documents),
+x as (select doc_id, text, u, len(u) as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3,
+             ('0x' || h[25:32])::bigint as h4 from d),
+c as (select doc_id, text, u, n, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+             case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 100 then 'plain'
+                  when h4 % 100 < 50 then 'spm' else 'psm' end as form from x),
+p as (select doc_id, text, n, form, array_to_string(u[1:a], '') as prefix, array_to_string(u[a + 1:b], '') as middle, array_to_string(u[b + 1:n], '') as suffix from c)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(prefix)::bigint end as prefix_chars,
+       case when form <> 'plain' then length(middle)::bigint end as middle_chars,
+       sha256(case form when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        when 'spm' then '<S>' || suffix || '<P>' || prefix || '<M>' || middle else text end) as output_sha256,
+       sha256(text) as restored_sha256 from p
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": op1_embedding_dedup,
@@ -148,8 +226,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_personal_data": op8_personal_data,
         "op9_packing": op9_packing,
         "op10_mixing": op10_mixing,
+        "op11_repetition": op11_repetition,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": OP1_SQL, "op3_ngram_jaccard": OP3_SQL, "op4_exact_top_k": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op6_url_filters": OP6_SQL}
+    return {"op1_embedding_dedup": OP1_SQL, "op3_ngram_jaccard": OP3_SQL, "op4_exact_top_k": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op6_url_filters": OP6_SQL,
+            "op11_repetition": OP11_SQL, "op12_fill_in_middle": OP12_SQL}

@@ -44,12 +44,14 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words of consecutive texts. ``bounds[i]:bounds[i + 1]`` are the words of text i; starts and ends are byte offsets in ``data``."""
+    """Words of consecutive texts. ``bounds[i]:bounds[i + 1]`` are the words of text i; starts and ends are byte offsets in ``data``,
+    as are ``offsets``, where the texts begin and the last one ends."""
 
-    __slots__ = ("data", "starts", "ends", "bounds")
+    __slots__ = ("data", "offsets", "starts", "ends", "bounds")
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data = data
+        self.offsets = offsets
         separator = _SEPARATOR[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
@@ -67,20 +69,25 @@ class Words:
         self.bounds = np.searchsorted(self.starts, offsets)
 
     def hashes(self, lower: bool = False) -> np.ndarray:
-        """One 64-bit hash a word; ``lower`` maps A-Z to a-z first. Works in blocks of about a megabyte, whatever the text's length."""
-        out = np.empty(len(self.starts), np.uint64)
-        at = 0
-        while at < len(out):
-            to = max(at + 1, int(np.searchsorted(self.starts, self.starts[at] + _CHUNK)))
-            base, end = int(self.starts[at]), int(self.ends[to - 1])
-            block = self.data[base:end]
-            power, inverse = _power_tables(end - base + 1)
-            total = np.zeros(end - base + 1, np.uint64)
-            np.cumsum(_BYTE[_LOWER[block] if lower else block] * power[: end - base], out=total[1:])
-            s, e = self.starts[at:to] - base, self.ends[at:to] - base
-            out[at:to] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
-            at = to
-        return out
+        """One 64-bit hash a word; ``lower`` maps A-Z to a-z first."""
+        return span_hashes(self.data, self.starts, self.ends, lower)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; spans stand in order and apart. Works in blocks of about a megabyte, whatever their length."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(out):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + _CHUNK)))
+        base, end = int(starts[at]), int(ends[to - 1])
+        block = data[base:end]
+        power, inverse = _power_tables(end - base + 1)
+        total = np.zeros(end - base + 1, np.uint64)
+        np.cumsum(_BYTE[_LOWER[block] if lower else block] * power[: end - base], out=total[1:])
+        s, e = starts[at:to] - base, ends[at:to] - base
+        out[at:to] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
+        at = to
+    return out
 
 
 def grams(words: np.ndarray, n: int) -> np.ndarray:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import heapq
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,38 +30,66 @@ def attach_ids(pairs: DataFrame, prefix_ids: DataFrame, origin_ids: DataFrame) -
     return pairs.join(prefix_ids.select("prefix", "prefix_id"), "prefix").join(origin_ids.select("origin", "origin_id"), "origin")
 
 
+def water_filling(histogram: list[tuple[int, int]], n_blocks: int, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each (count, prefixes) in falling order of count, how many of these prefixes each block gets.
+
+    The greedy puts each prefix into the lightest block with room, of equally light ones the first. Among prefixes of one count a
+    block's weight rises by steps of that count, so the greedy takes the least of all steps: those below a level, found
+    by halving, and of the steps at the level those of the first blocks. No prefix is looked at one by one.
+    """
+    weight, room = np.zeros(n_blocks, np.int64), np.full(n_blocks, most, np.int64)
+    for count, n in histogram:
+
+        def steps(level: int, count: int = count) -> np.ndarray:
+            """Prefixes that a block takes before its weight is ``level`` or more; with count 0 the weight never rises."""
+            if count == 0:
+                return np.where(weight < level, room, 0)
+            return np.clip(-((weight - level) // count), 0, room)
+
+        low, high = int(weight.min()), int(weight.max()) + count * (n // n_blocks + most + 1) + 1
+        while high - low > 1:
+            middle = (low + high) // 2
+            if int(steps(middle).sum()) <= n:
+                low = middle
+            else:
+                high = middle
+        given = steps(low)
+        rest = n - int(given.sum())
+        # Those left stand exactly at the level: one each, or with count 0 as many as there is room for, first blocks first.
+        at_level = np.where(weight + given * count == low, np.minimum(room - given, 1 if count else most), 0)
+        given = given + np.clip(rest - (np.cumsum(at_level) - at_level), 0, at_level)
+        weight, room = weight + given * count, room - given
+        yield count, given
+
+
 def balanced_blocks(counts: DataFrame, max_block_size: int) -> DataFrame:
     """Blocks of at most ``max_block_size`` prefixes with about equal announcements: ``prefix, ann_count, block_id``.
 
     There are n // max_block_size + 1 blocks. The greedy choice (largest count first, into the lightest block with room)
-    depends only on how many prefixes have each count, so it is planned on that histogram and carried out as a join of
-    each prefix's rank inside its count with the planned rank ranges.
+    depends only on how many prefixes have each count, so ``water_filling`` plans it on that histogram. Prefixes get a rank
+    by falling count, then in prefix order, and a count's ranks are given out to its blocks, those with most prefixes first:
+    blocks with equally many are a group, so a rank's block is a division. The plan has a row per count, with at most as many
+    blocks as the count has prefixes. An empty table has no blocks. Null counts are not permitted.
     """
+    spark = counts.sparkSession
     histogram = sorted(((r.ann_count, r.n) for r in counts.groupBy("ann_count").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
     n_blocks = sum(n for _, n in histogram) // max_block_size + 1
-    heap = [(0, b, 0) for b in range(n_blocks)]  # weight, block, prefixes
-    plan: list[tuple[int, int, int, int]] = []
-    for count, n in histogram:
-        given: dict[int, int] = {}
-        for _ in range(n):
-            weight, block, size = heapq.heappop(heap)
-            given[block] = given.get(block, 0) + 1
-            if size + 1 < max_block_size:
-                heapq.heappush(heap, (weight + count, block, size + 1))
-        start = 0
-        for block, k in sorted(given.items()):
-            plan.append((count, start, start + k, block))
-            start += k
-    spark = counts.sparkSession
-    ranges = spark.createDataFrame(plan, "ann_count long, first long, past long, block_id int")
-    # Ranks inside a count are counted in salted parts, so that a count that most prefixes share is not one task's.
-    salted = counts.withColumn("_salt", F.pmod(F.xxhash64("prefix"), F.lit(64)).cast("int"))
-    sizes = salted.groupBy("ann_count", "_salt").agg(F.count(F.lit(1)).alias("_k"))
-    offset = sizes.withColumn("_off", F.coalesce(F.sum("_k").over(Window.partitionBy("ann_count").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_k")
-    place = F.row_number().over(Window.partitionBy("ann_count", "_salt").orderBy(px.order_key(F.col("prefix")))) - 1
-    ranked = salted.withColumn("_r", place).join(offset, ["ann_count", "_salt"]).withColumn("_rank", F.col("_r") + F.col("_off"))
-    hit = ranked.join(ranges.withColumnRenamed("ann_count", "c"), (F.col("ann_count") == F.col("c")) & (F.col("_rank") >= F.col("first")) & (F.col("_rank") < F.col("past")))
-    return hit.select("prefix", "ann_count", "block_id")
+    plan, first = [], 0
+    for count, given in water_filling(histogram, n_blocks, max_block_size):
+        groups, at = [], first
+        for each in sorted({int(k) for k in given if k}, reverse=True):
+            blocks = np.flatnonzero(given == each).tolist()
+            groups.append((at, each, blocks))
+            at += each * len(blocks)
+        plan.append((count, groups))
+        first = at
+    plan_table = spark.createDataFrame(plan, "ann_count long, groups array<struct<first: long, each: long, blocks: array<int>>>")
+    ranked = dense_id(counts.select("prefix", F.col("ann_count").cast("long").alias("ann_count")), [F.col("ann_count").desc(), px.order_key(F.col("prefix"))], "_rank")
+    # Spark broadcasts the plan while it is small; beyond that a count that most prefixes share is split as a skewed key.
+    group = F.element_at(F.filter("groups", lambda g: g["first"] <= F.col("_rank")), -1)
+    placed = ranked.join(plan_table, "ann_count").withColumn("_g", group)
+    block = F.get(F.col("_g.blocks"), F.expr("cast((_rank - _g.first) div _g.each as int)"))
+    return placed.select("prefix", "ann_count", block.alias("block_id"))
 
 
 def pack_groups(sizes: DataFrame, max_block_size: int) -> DataFrame:

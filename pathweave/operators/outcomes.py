@@ -28,12 +28,18 @@ def trace_back(forwarding: DataFrame, max_hops: int = 64, keys: tuple[str, ...]
 
 
 def _jumps(forwarding: DataFrame, max_hops: int, keys: tuple[str, ...]) -> list[DataFrame]:
-    """Where 1, 2, 4, ... hops lead, up to ``max_hops`` or the next power of two; every step is stored for the next one."""
+    """Where 1, 2, 4, ... hops lead, up to ``max_hops`` or the next power of two; every step is stored for the next one.
+
+    Ends early when no trace has gone further in a step, as all have then ended.
+    """
     jumps = [stored(forwarding.select(*keys, "asn", F.col("received_from_asn").alias("next")))]
     while 1 << (len(jumps) - 1) < max_hops:
         table = jumps[-1]
         ahead = table.select(*keys, F.col("asn").alias("next"), F.col("next").alias("_far"))
-        jumps.append(stored(table.join(ahead, [*keys, "next"], "left").select(*keys, "asn", F.coalesce("_far", "next").alias("next"))))
+        step = stored(table.join(ahead, [*keys, "next"], "left").select(*keys, "asn", F.coalesce("_far", "next").alias("next"), F.col("_far").isNotNull().alias("_moved")))
+        if step.where("_moved").isEmpty():
+            break
+        jumps.append(step.drop("_moved"))
     return jumps
 
 
@@ -107,20 +113,117 @@ def visible_hijacks(forwarding: DataFrame, attacker_announcements: DataFrame, ke
     return forwarding.join(holders, "received_from_asn", "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("visible_hijacks"))
 
 
-def trial_facts(keys: list[str], *parts: DataFrame) -> DataFrame:
-    """One row per trial and segment from the counts of several operators; 0 where an operator has no row."""
-    out = reduce(lambda a, b: a.join(b, keys, "full_outer"), parts)
-    return out.na.fill(0, [c for c in out.columns if c not in keys])
-
-
-def trial_rates(facts: DataFrame, counts: list[str], total: str) -> DataFrame:
+#: Whom a count is over: ASes of a segment that adopt the policy, and those that don't.
+SIDES = ("adopting", "collateral")
+#: Columns that describe a trial.
+TRIAL_INFO = (
+    "attack_type", "number_of_attackers", "attacker_asn", "attacker_prefixes", "victim", "victim_prefixes", "adopt_pol", "percent", "percent_iter", "round_num",
+    "extra_bash_arg_1", "extra_bash_arg_2", "extra_bash_arg_3", "extra_bash_arg_4", "extra_bash_arg_5",
+)
+#: What trials are averaged by.
+RESULT_KEYS = (
+    "adopt_pol", "attack_type", "number_of_attackers", "subtable_name", "percent", "round_num",
+    "extra_bash_arg_1", "extra_bash_arg_2", "extra_bash_arg_3", "extra_bash_arg_4", "extra_bash_arg_5",
+)
+#: Rates of each side: name -> (counts that are added, counts that are taken off).
+RATES = {
+    "trace_hijacked": (("trace_hijacked",), ()),
+    "trace_disconnected": (("trace_blackholed", "no_rib"), ()),
+    "trace_connected": (("trace_nothijacked",), ()),
+    "c_plane_hijacked": (("c_plane_has_attacker_prefix_origin",), ()),
+    "c_plane_disconnected": (("c_plane_has_bhole", "no_rib"), ()),
+    "c_plane_connected": (("c_plane_has_only_victim_prefix_origin",), ()),
+    "visible_hijacks": (("visible_hijacks",), ()),
+    "hidden_hijacks": (("trace_hijacked",), ("visible_hijacks",)),
+}
+#: All measures: each rate of each side.
+MEASURES = tuple(f"{rate}_{side}" for side in SIDES for rate in RATES)
+
+
+def visible_ases(trials: DataFrame, forwarding: DataFrame) -> DataFrame:
+    """``trial, asn`` of each row whose next hop holds a prefix of the attacker with the attacker as its origin."""
+    attack = trials.select("trial", "attacker_asn", F.explode(F.array_distinct("attacker_prefixes")).alias("prefix"))
+    mine = (forwarding["trial"] == attack["trial"]) & (forwarding["origin"] == attack["attacker_asn"]) & (forwarding["prefix"] == attack["prefix"])
+    holders = forwarding.join(attack, mine, "left_semi").select("trial", F.col("asn").alias("received_from_asn")).distinct()
+    return forwarding.join(holders, ["trial", "received_from_asn"], "left_semi").select("trial", "asn")
+
+
+def as_outcomes(trials: DataFrame, segments: DataFrame, forwarding: DataFrame, max_hops: int = 64) -> DataFrame:
+    """A row per trial, segment and AS: ``trial, subtable_name, asn, implement, origin, next, has_rib, visible``.
+
+    Everything known of an AS meets in one aggregation over tagged rows (its segments, its forwarding row, where its trace
+    ends, whether its hijack is visible), which all have the key (trial, asn), instead of a join for each.
+    """
+    forwarding = forwarding.select("trial", "asn", "prefix", "origin", "received_from_asn")
+    blank = {"segment": "struct<subtable_name:string,implement:boolean>", "origin": "bigint", "next": "bigint", "has_rib": "boolean", "visible": "boolean"}
+
+    def tagged(df: DataFrame, **known: Column) -> DataFrame:
+        return df.select(F.col("trial").cast("bigint").alias("trial"), F.col("asn").cast("bigint").alias("asn"), *[known.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in blank.items()])
+
+    rows = [
+        tagged(segments, segment=F.struct("subtable_name", F.coalesce("implement", F.lit(False)))),
+        tagged(forwarding, origin=F.col("origin"), has_rib=F.lit(True)),
+        tagged(trace_back(forwarding, max_hops, ("trial",)), next=F.col("next")),
+        tagged(visible_ases(trials, forwarding), visible=F.lit(True)),
+    ]
+    met = reduce(DataFrame.unionByName, rows).groupBy("trial", "asn").agg(
+        F.collect_set("segment").alias("segments"), F.max("origin").alias("origin"), F.max("next").alias("next"), F.max("has_rib").alias("has_rib"), F.max("visible").alias("visible")
+    )
+    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("has_rib", "visible")]
+    return met.select("trial", "asn", F.explode("segments").alias("_s"), "origin", "next", *flags).select("trial", "_s.*", "asn", "origin", "next", "has_rib", "visible")
+
+
+def trial_facts(trials: DataFrame, segments: DataFrame, forwarding: DataFrame, max_hops: int = 64) -> DataFrame:
+    """One row per trial and segment with all counts by side: the columns of ``TRIAL_INFO``, ``subtable_name`` and 18 counts.
+
+    ``trials`` has a row per ``trial`` with ``TRIAL_INFO``; ``segments`` has ``trial, asn, subtable_name, implement``, where an AS may
+    stand in several segments; ``forwarding`` has ``trial, asn, prefix, origin, received_from_asn``, one row per trial and AS
+    (``most_specific_per_as`` gives these), as a trace takes one. Attacker and victim are not counted, but for visible hijacks.
+    An AS of a segment without a forwarding row has no RIB and is part of the totals, as is each AS whose trace ends; one whose
+    trace doesn't end is in none of the traces. A count without rows is 0.
+    """
+    info = trials.select("trial", *TRIAL_INFO)
+    # Few rows per AS against one a trial: Spark broadcasts the attacks while they are small and shuffles by trial beyond that.
+    ases = as_outcomes(trials, segments, forwarding, max_hops).join(info.select("trial", "attacker_asn", "victim"), "trial")
+    others = (F.col("asn") != F.col("attacker_asn")) & (F.col("asn") != F.col("victim"))
+    cases = {
+        "trace_hijacked": others & (terminal_name(F.col("next")) == "hijacked"),
+        "trace_nothijacked": others & (terminal_name(F.col("next")) == "not_hijacked"),
+        "trace_blackholed": others & (terminal_name(F.col("next")) == "blackholed"),
+        "c_plane_has_attacker_prefix_origin": others & (F.col("origin") == F.col("attacker_asn")),
+        "c_plane_has_only_victim_prefix_origin": others & (F.col("origin") == F.col("victim")),
+        "c_plane_has_bhole": others & (F.col("origin") == 64512),
+        "no_rib": others & ~F.col("has_rib"),
+        "visible_hijacks": F.col("visible"),
+    }
+    sides = {"adopting": F.col("implement"), "collateral": ~F.col("implement")}
+    counts = ases.groupBy("trial", "subtable_name").agg(*[F.count(F.when(case & here, 1)).alias(f"{name}_{side}") for name, case in cases.items() for side, here in sides.items()])
+    totals = {f"trace_total_{s}": reduce(lambda a, b: a + b, [F.col(f"{n}_{s}") for n in ("trace_hijacked", "trace_nothijacked", "trace_blackholed", "no_rib")]) for s in SIDES}
+    return counts.withColumns(totals).join(info, "trial")
+
+
+def rates_over(facts: DataFrame, counts: list[str], total: str) -> DataFrame:
     """Each count over the total; rows with a zero total drop out."""
     rest = [c for c in facts.columns if c not in (*counts, total)]
     return facts.where(F.col(total) > 0).select(*rest, *[(F.col(c) / F.col(total)).alias(f"{c}_rate") for c in counts])
 
 
-def mean_ci95(rates: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
-    """Mean and half-width of the 95 % confidence interval; null width for one trial."""
+def trial_rates(facts: DataFrame) -> DataFrame:
+    """The 16 ``MEASURES`` of each row of ``trial_facts``, over the side's total, beside ``RESULT_KEYS``; rows of which a side's total is zero drop out."""
+
+    def rate(name: str, side: str) -> Column:
+        plus, minus = RATES[name]
+        top = reduce(lambda a, b: a + b, [F.col(f"{c}_{side}") for c in plus])
+        for c in minus:
+            top = top - F.col(f"{c}_{side}")
+        return (top.cast("double") / F.col(f"trace_total_{side}")).alias(f"{name}_{side}")
+
+    whole = facts.where((F.col("trace_total_adopting") > 0) & (F.col("trace_total_collateral") > 0))
+    return whole.select(*RESULT_KEYS, *[rate(name, side) for side in SIDES for name in RATES])
+
+
+def mean_ci95(rates: DataFrame, keys: tuple[str, ...] | list[str] = RESULT_KEYS, metrics: tuple[str, ...] | list[str] = MEASURES) -> DataFrame:
+    """Mean and half-width of the 95 % confidence interval of each measure; null width for one trial. Null keys are a group."""
     out = []
     for m in metrics:
         out += [F.avg(m).alias(f"{m}_mean"), (F.lit(1.96) * F.stddev_samp(m) / F.sqrt(F.count(m))).alias(f"{m}_ci95")]
@@ -128,15 +231,15 @@ def mean_ci95(rates: DataFrame, keys: list[str], metrics: list[str]) -> DataFram
 
 
 def check_percent_index(df: DataFrame) -> DataFrame:
-    """Iterations that do not have exactly one percent."""
-    return df.groupBy("percent_iter").agg(F.count_distinct("percent").alias("n")).where("n <> 1")
+    """Percents that stand with more than one iteration number: ``percent, n``. A null number counts as one."""
+    return df.select("percent", "percent_iter").distinct().groupBy("percent").agg(F.count(F.lit(1)).alias("n")).where("n <> 1")
 
 
 def require_percent_index(df: DataFrame) -> DataFrame:
-    """``df`` itself, after a check that each iteration has one percent; else a ValueError that names up to five iterations."""
-    bad = [r.percent_iter for r in check_percent_index(df).orderBy("percent_iter").limit(5).collect()]
+    """``df`` itself, after a check that each percent has one iteration number; else a ValueError that names up to five percents."""
+    bad = [r.percent for r in check_percent_index(df).orderBy("percent").limit(5).collect()]
     if bad:
-        raise ValueError(f"iterations without exactly one percent: {bad}")
+        raise ValueError(f"percents with more than one iteration number: {bad}")
     return df
 
 
@@ -162,7 +265,17 @@ def series_order(df: DataFrame, x: str, points: list) -> DataFrame:
     return df.where(F.col(x).isin(points)).orderBy(x)
 
 
-def plot_series(intervals: DataFrame, keys: list[str], x: str, points: list, metrics: list[str]) -> DataFrame:
-    """Series in long form: keys, measure, x, y and error in percent."""
-    rows = F.array(*[F.struct(F.lit(m).alias("measure"), (F.col(f"{m}_mean") * 100).alias("y"), (F.col(f"{m}_ci95") * 100).alias("error")) for m in metrics])
-    return series_order(intervals, x, points).select(*keys, F.col(x).alias("x"), F.inline(rows))
+def plot_series(
+    intervals: DataFrame, x: str, points: list, attributes: dict[str, object] | None = None, policies: list[str] | None = None, measures: tuple[str, ...] | list[str] = MEASURES, keys: tuple[str, ...] | list[str] = RESULT_KEYS
+) -> DataFrame:
+    """All series in long form from one job: the keys but ``x``, then ``x``, ``measure``, ``y`` and ``error`` in percent, in order of x.
+
+    ``intervals`` is what ``mean_ci95`` gives. ``attributes`` fixes keys to values, where None asks for nulls; ``policies`` are those of
+    ``adopt_pol`` to be shown, all if None.
+    """
+    for name, value in (attributes or {}).items():
+        intervals = intervals.where(F.col(name).eqNullSafe(F.lit(value)))
+    if policies is not None:
+        intervals = intervals.where(F.col("adopt_pol").isin(policies))
+    rows = F.array(*[F.struct(F.lit(m).alias("measure"), (F.col(f"{m}_mean") * 100).alias("y"), (F.col(f"{m}_ci95") * 100).alias("error")) for m in measures])
+    return series_order(intervals, x, points).select(*[k for k in keys if k != x], F.col(x).alias("x"), F.inline(rows))

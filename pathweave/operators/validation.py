@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathweave.functions import nesting
 from pathweave.functions import prefix as px
 from pathweave.functions.scalars import INVALID_BY_ALL, INVALID_BY_LENGTH, INVALID_BY_ORIGIN, UNKNOWN, VALID
 
@@ -99,9 +100,7 @@ def validated_pairs(announcements: DataFrame, roas: DataFrame) -> DataFrame:
 
 def top_level_prefixes(df: DataFrame) -> DataFrame:
     """Distinct prefixes that no other one strictly contains."""
-    own = df.select("prefix").where("prefix is not null").distinct()
-    inside = px.containment_join(own, own, strict=True).select("prefix").distinct()
-    return own.join(inside, "prefix", "left_anti")
+    return nesting.outermost(df).where("top = prefix").select("prefix")
 
 
 def non_top_prefixes(df: DataFrame, tops: DataFrame) -> DataFrame:
@@ -110,16 +109,12 @@ def non_top_prefixes(df: DataFrame, tops: DataFrame) -> DataFrame:
 
 def prefix_groups(df: DataFrame) -> DataFrame:
     """Each prefix with the top-level prefix that contains it: ``prefix, group_prefix``."""
-    tops = top_level_prefixes(df)
-    rest = px.containment_join(non_top_prefixes(df, tops), tops, strict=True).withColumnRenamed("covering_prefix_", "group_prefix")
-    return rest.select("prefix", "group_prefix").unionByName(tops.select("prefix", F.col("prefix").alias("group_prefix")))
+    return nesting.outermost(df).withColumnRenamed("top", "group_prefix")
 
 
 def most_specific_per_as(forwarding: DataFrame) -> DataFrame:
     """Rows of (asn, prefix) without those that a strictly more specific prefix of the same AS overrules."""
-    own = forwarding.select("asn", "prefix").distinct()
-    overruled = px.with_ancestors(own, px.lengths(own), strict=True).select("asn", F.col("ancestor").alias("prefix")).distinct()
-    return forwarding.join(overruled, ["asn", "prefix"], "left_anti")
+    return forwarding.join(nesting.overruled(forwarding, "asn"), ["asn", "prefix"], "left_anti")
 
 
 def best_historical_roa(prefixes: DataFrame, roas: DataFrame) -> DataFrame:
@@ -140,9 +135,12 @@ def earliest_roa(roas: DataFrame) -> DataFrame:
 
 
 def longest_prefix_match(ips: DataFrame, pairs: DataFrame, value: str = "origin") -> DataFrame:
-    """The value of the longest prefix that contains each address; of equally long ones the smallest value; null if none does."""
-    best = F.min_by(value, F.struct(-F.col("covering_prefix_.len"), F.col(value)))
-    found = px.containment_join(ips.select("prefix").distinct(), pairs.select("prefix", value)).groupBy("prefix").agg(best.alias(value))
+    """The value of the longest prefix that contains each address; of equally long ones the smallest value; null if none does.
+
+    Each distinct address is looked up once, and the rows of ``ips`` are shuffled once, to get its value.
+    """
+    values = pairs.groupBy("prefix").agg(F.min(value).alias(value))
+    found = nesting.innermost(ips, values).join(values.withColumnRenamed("prefix", "cover"), "cover", "left").select("prefix", value)
     return ips.join(found, "prefix", "left")
 
 
@@ -156,11 +154,14 @@ def collapsed_paths(hops: DataFrame, keys: list[str], order: str, value: str = "
 def as_geo(asns: DataFrame, pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     """Place of an AS through the first of its prefixes (in prefix order): the longest geo block around it; none, no row.
 
-    ``blocks`` has ``prefix`` and further columns of the place.
+    ``blocks`` has ``prefix`` and further columns of the place; of several rows of one prefix the least counts.
     """
+    rest = [c for c in blocks.columns if c != "prefix"]
+    blocks = blocks.groupBy("prefix").agg(F.min(F.struct(*rest)).alias("_place")).select("prefix", "_place.*")
     first = pairs.groupBy(F.col("origin").alias("asn")).agg(F.min_by("prefix", px.order_key(F.col("prefix"))).alias("prefix"))
-    joined = px.containment_join(asns.select("asn").distinct().join(first, "asn"), blocks)
-    return first_per_key(joined, ["asn"], [F.col("covering_prefix_.len").desc()]).withColumnRenamed("covering_prefix_", "block_prefix")
+    asked = asns.select("asn").distinct().join(first, "asn")
+    around = nesting.innermost(asked, blocks).where("cover is not null").withColumnRenamed("cover", "block_prefix")
+    return asked.join(around, "prefix").join(blocks.withColumnRenamed("prefix", "block_prefix"), "block_prefix")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -44,6 +44,27 @@ def _groups(s, d):
     return va.prefix_groups(load(s, d, "prefixes"))
 
 
+_DUAL_IN = (
+    "{a}.family = {b}.family and {a}.len >= {b}.len and case when {b}.family = 4 then {a}.net - {b}.net between 0 and cast(power(2, 32 - {b}.len) as bigint) - 1"
+    " when {b}.len <= 64 then {a}.hi >= {b}.hi and {a}.hi - {b}.hi < power(2, 64 - {b}.len) else {a}.hi = {b}.hi and {a}.net >= {b}.net and {a}.net - {b}.net < power(2, 128 - {b}.len) end"
+)
+
+
+def _dual_in(a, b, strict=False):
+    return _DUAL_IN.replace(">= {b}.len", "> {b}.len" if strict else ">= {b}.len", 1).format(a=a, b=b)
+
+
+_DUAL_TOPS = {"tops": "select family, hi, net, len from dual_prefixes p where not exists (select 1 from dual_prefixes q where " + _dual_in("p", "q", True) + ")"}
+
+
+def _hosts(s, d):
+    """Addresses of both families that lie in or beside the announced prefixes."""
+    p = F.col("prefix")
+    lo = F.when(p["family"] == 4, p["lo"] + 5).otherwise(p["lo"])
+    return load(s, d, "dual_prefixes").select(px.make(p["family"], p["hi"], lo, F.when(p["family"] == 4, 32).otherwise(128)).alias("prefix"))
+
+
+_HOSTS = {"hosts": "select family, hi, case when family = 4 then net + 5 else net end as net, case when family = 4 then 32 else 128 end as len from dual_prefixes"}
 _TOPS = "select p.net, p.len from prefixes p where not exists (select 1 from prefixes q where " + _strictly("p", "q") + ")"
 _GROUPS = "select p.net, p.len, t.net as group_net, t.len as group_len from prefixes p join tops t on " + _inside("p", "t")
 
@@ -65,7 +86,39 @@ _IDS = {
     "poid": "select net, len, origin, row_number() over (order by net, len, origin) - 1 as prefix_origin_id from pairs",
 }
 
+#: The greedy itself, a prefix a step: the lightest block with room gets the next one in falling order of count.
+_GREEDY = {
+    "ranked": "select net, len, ann_count, row_number() over (order by ann_count desc, net, len) as i, row_number() over (partition by ann_count order by net, len) as nth from (select net, len, count(*) as ann_count from announcements group by net, len) x",
+    "blocks": "select count(*) // 60 + 1 as n from ranked",
+    "steps": "select 0::bigint as i, 0::bigint as c, 0 as block, list_transform(range(n), lambda x: 0::bigint) as w, list_transform(range(n), lambda x: 0::bigint) as k from blocks"
+    " union all select i, c, slot - 1, list_transform(w, lambda x, j: case when j = slot then x + c else x end), list_transform(k, lambda x, j: case when j = slot then x + 1 else x end)"
+    " from (select r.i, r.ann_count as c, s.w, s.k, list_position(list_transform(s.w, lambda x, j: case when s.k[j] < 60 then x end), list_min(list_transform(s.w, lambda x, j: case when s.k[j] < 60 then x end))) as slot from steps s join ranked r on r.i = s.i + 1) y",
+    "dealt": "select c, block, count(*) as m from steps where i > 0 group by c, block",
+    "spans": "select c, block, m, sum(m) over (partition by c order by m desc, block) - m as low from dealt",
+}
+
 QUERIES = {
+    # Both families
+    "dual_filter_family_4": _q(lambda s, d: flat(va.filter_family(load(s, d, "dual")), whole=True), oracle("select family, hi, net, len, origin from dual where family = 4", "dual")),
+    "dual_filter_family_6": _q(lambda s, d: flat(va.filter_family(load(s, d, "dual"), ipv4=False, ipv6=True), whole=True), oracle("select family, hi, net, len, origin from dual where family = 6", "dual")),
+    "dual_sorted": _q(lambda s, d: flat(va.sort_by_prefix(load(s, d, "dual_prefixes")), whole=True), oracle("select family, hi, net, len from dual_prefixes", "dual_prefixes")),
+    "dual_covering_join": _q(
+        lambda s, d: flat(va.covering_join(load(s, d, "dual"), load(s, d, "dual_roas")), whole=True),
+        oracle("select p.family, p.hi, p.net, p.len, p.origin, r.asn, r.max_length, r.family as roa_family, r.hi as roa_hi, r.net as roa_net, r.len as roa_len from dual p join dual_roas r on " + _dual_in("p", "r"), "dual", "dual_roas")),
+    "dual_validity": _q(
+        lambda s, d: flat(va.validated_pairs(load(s, d, "dual"), load(s, d, "dual_roas")), whole=True).withColumn("validity", F.col("validity").cast("int")),
+        oracle("select p.family, p.hi, p.net, p.len, p.origin, coalesce(min(case when p.origin <> r.asn and p.len > r.max_length then 4 when p.origin <> r.asn then 3 when p.len > r.max_length then 2 when r.asn is not null then 0 end), 1) as validity from dual p left join dual_roas r on " + _dual_in("p", "r") + " group by p.family, p.hi, p.net, p.len, p.origin", "dual", "dual_roas")),
+    "dual_top_level_prefixes": _q(lambda s, d: flat(va.top_level_prefixes(load(s, d, "dual_prefixes")), whole=True), oracle("select * from tops", "dual_prefixes", extra=_DUAL_TOPS)),
+    "dual_prefix_groups": _q(
+        lambda s, d: flat(va.prefix_groups(load(s, d, "dual_prefixes")), whole=True),
+        oracle("select p.family, p.hi, p.net, p.len, t.family as group_family, t.hi as group_hi, t.net as group_net, t.len as group_len from dual_prefixes p join tops t on " + _dual_in("p", "t"), "dual_prefixes", extra=_DUAL_TOPS)),
+    "dual_most_specific_per_as": _q(
+        lambda s, d: flat(va.most_specific_per_as(load(s, d, "dual").withColumnRenamed("origin", "asn")), whole=True),
+        oracle("select a.origin as asn, a.family, a.hi, a.net, a.len from dual a where not exists (select 1 from dual b where b.origin = a.origin and " + _dual_in("b", "a", True) + ")", "dual")),
+    "dual_longest_prefix_match": _q(
+        lambda s, d: flat(va.longest_prefix_match(_hosts(s, d), load(s, d, "dual_roas").select("prefix", F.col("asn").alias("origin"))), whole=True),
+        oracle("select h.family, h.hi, h.net, h.len, x.origin from hosts h left join (select family, hi, net, len, origin from (select i.*, r.asn as origin, row_number() over (partition by i.family, i.hi, i.net order by r.len desc, r.asn) as n from (select distinct * from hosts) i join dual_roas r on " + _dual_in("i", "r") + ") y where n = 1) x on x.family = h.family and x.hi = h.hi and x.net = h.net and x.len = h.len", "dual_prefixes", "dual_roas", extra=_HOSTS)),
+    # IPv4
     "validity_counts": _q(
         lambda s, d: _validity(s, d).groupBy(F.col("validity").cast("int").alias("validity")).agg(F.count(F.lit(1)).alias("n")),
         oracle("select validity, count(*) as n from validity group by validity", "validity")),
@@ -111,10 +164,12 @@ QUERIES = {
     "attach_ids": _q(
         lambda s, d: flat(md.attach_ids(va.distinct_pairs(_ann(s, d)), md.dense_id(_ann(s, d).select("prefix").distinct(), [px.order_key(F.col("prefix"))], "prefix_id"), md.dense_id(_ann(s, d).select("origin").distinct(), ["origin"], "origin_id"))),
         oracle("select p.net, p.len, p.origin, prefix_id, origin_id from pairs p join pid on p.net = pid.net and p.len = pid.len join oid on p.origin = oid.origin", "pairs", extra={k: _IDS[k] for k in ("pid", "oid")})),
-    "balanced_blocks": _q(lambda s, d: flat(md.balanced_blocks(va.prefix_counts(_ann(s, d)), 400))),
+    "balanced_blocks": _q(
+        lambda s, d: flat(md.balanced_blocks(va.prefix_counts(_ann(s, d)), 60)),
+        oracle("select p.net, p.len, p.ann_count, b.block as block_id from ranked p join spans b on b.c = p.ann_count and p.nth - 1 >= b.low and p.nth - 1 < b.low + b.m", "announcements", extra=_GREEDY).replace("with ", "with recursive ", 1)),
     "block_weights": _q(
-        lambda s, d: md.balanced_blocks(va.prefix_counts(_ann(s, d)), 400).agg(F.count_distinct("block_id").alias("blocks"), F.sum("ann_count").alias("announcements"), F.count(F.lit(1)).alias("prefixes")),
-        oracle("select (select cast(floor(count(*) / 400) as bigint) + 1 from (select distinct net, len from announcements) x) as blocks, (select count(*) from announcements) as announcements, (select count(*) from (select distinct net, len from announcements) x) as prefixes", "announcements")),
+        lambda s, d: md.balanced_blocks(va.prefix_counts(_ann(s, d)), 60).groupBy("block_id").agg(F.sum("ann_count").alias("announcements"), F.count(F.lit(1)).alias("prefixes")),
+        oracle("select block as block_id, sum(c * m)::bigint as announcements, sum(m)::bigint as prefixes from dealt group by block", "announcements", extra=_GREEDY).replace("with ", "with recursive ", 1)),
     "block_prefix_id": _q(
         lambda s, d: flat(md.block_prefix_id(va.distinct_pairs(_ann(s, d)).withColumn("block_id", F.col("prefix.len")))),
         oracle("select net, len, len as block_id, dense_rank() over (partition by len order by net) - 1 as block_prefix_id from (select distinct net, len from pairs) x", "pairs")),

@@ -121,16 +121,6 @@ _METRICS = ("blocked_hijacked", "not_blocked_hijacked", "blocked_not_hijacked",
 _AVG = {p: "select '" + p + "' as policy, " + ", ".join(f"{_trunc_sql(f'(sum({m})::double / count(*))')} as {m}" for m in _METRICS) + f" from t_{p}" for p in _CODES}
 _STUBS = {"stubs": "select customer_as as stub_asn, min(provider_as) as parent_asn from provider_customers where customer_as not in (select provider_as from provider_customers union select peer_as_1 from peers union select peer_as_2 from peers) group by customer_as"}
 _NEIGH = "select peer_as_1 as asn, peer_as_2 as neighbour, 'peer' as kind from peers union all select peer_as_2, peer_as_1, 'peer' from peers union all select provider_as, customer_as, 'customer' from provider_customers union all select customer_as, provider_as, 'provider' from provider_customers"
-_RATES = "select attack_type, adopt_pol, percent, trial, cast(hijacked as double) / total as hijacked_rate from trials where total > 0"
-_CI = "select attack_type, adopt_pol, percent, avg(hijacked_rate) as hijacked_rate_mean, 1.96 * stddev_samp(hijacked_rate) / sqrt(count(*)) as hijacked_rate_ci95 from (" + _RATES + ") r group by attack_type, adopt_pol, percent"
-
-
-def _rates(s, d):
-    return oc.trial_rates(load(s, d, "trials").select("attack_type", "adopt_pol", "percent", "trial", "hijacked", "total"), ["hijacked"], "total")
-
-
-def _ci(s, d):
-    return oc.mean_ci95(_rates(s, d), ["attack_type", "adopt_pol", "percent"], ["hijacked_rate"])
 
 
 def _fwd(s, d):
@@ -163,13 +153,6 @@ def _segments(s, d):
     return load(s, d, "as_rank").select("asn", F.when(F.col("asn") % 5 == 0, "edge").otherwise("etc").alias("segment"), (F.col("asn") % 3 == 0).alias("implement"))
 
 
-def _facts(s, d):
-    fwd = _fwd(s, d)
-    keys = ["implement"]
-    traced = oc.trace_back(fwd).join(fwd.select("asn", "implement"), "asn")
-    return oc.trial_facts(keys, oc.control_plane_counts(fwd, 3, 4), oc.data_plane_counts(traced), oc.no_rib_counts(_segments(s, d), fwd.where("asn % 4 <> 0")), oc.visible_hijacks(fwd, fwd.where("asn = 3").select("prefix", "origin")))
-
-
 _Q4 = "select p.net, p.len, p.origin, a.asn from (select distinct net, len, origin from announcements x where exists (select 1 from roas r where " + _inside("x", "r") + ")) p cross join (select distinct asn from asked) a where not exists (select 1 from inverse_results i where i.asn = a.asn and " + _same("i", "p") + ")"
 
 
@@ -228,15 +211,10 @@ QUERIES = {
     "segment_forwarding": _q(lambda s, d: flat(oc.segment_forwarding(_fwd(s, d).drop("implement"), _segments(s, d))), oracle("select f.asn, f.received_from_asn, f.net, f.len, f.origin, case when f.asn % 5 = 0 then 'edge' else 'etc' end as segment, f.asn % 3 = 0 as implement from forwarding f join as_rank r on f.asn = r.asn", "forwarding", "as_rank")),
     "no_rib_counts": _q(lambda s, d: oc.no_rib_counts(_segments(s, d), _fwd(s, d).where("asn % 4 <> 0"), (8, 12)), oracle("select asn % 3 = 0 as implement, count(*) as no_rib from as_rank where asn not in (8, 12) and asn not in (select asn from forwarding where asn % 4 <> 0) group by asn % 3 = 0", "as_rank", "forwarding")),
     "visible_hijacks": _q(lambda s, d: oc.visible_hijacks(_fwd(s, d), _fwd(s, d).where("asn % 50 = 3").select("prefix", "origin")), oracle("select implement, count(*) as visible_hijacks from forwarding f where received_from_asn in (select asn from forwarding g where exists (select 1 from forwarding h where h.asn % 50 = 3 and h.net = g.net and h.len = g.len and h.origin = g.origin)) group by implement", "forwarding")),
-    "trial_facts": _q(lambda s, d: _facts(s, d)),
     "percent_sample": _q(lambda s, d: oc.percent_sample(_segments(s, d).drop("implement"), 30, 7)),
     "percent_sample_sizes": _q(lambda s, d: oc.percent_sample(_segments(s, d).drop("implement"), 30, 7).groupBy("segment").agg(F.sum(F.col("implement").cast("long")).alias("n")), oracle("select segment, cast(floor(count(*) * 30 / 100) as bigint) as n from (select case when asn % 5 = 0 then 'edge' else 'etc' end as segment from as_rank where asn <> 7) x group by segment", "as_rank")),
     "apply_policy": _q(lambda s, d: oc.apply_policy(_segments(s, d), 3), oracle("select asn, case when asn % 5 = 0 then 'edge' else 'etc' end as segment, asn % 3 = 0 as implement, case when asn % 3 = 0 then 3 else 0 end as as_type from as_rank", "as_rank")),
-    "trial_rates": _q(lambda s, d: _rates(s, d), oracle(_RATES, "trials")),
-    "mean_ci95": _q(lambda s, d: _ci(s, d).select("attack_type", "adopt_pol", "percent", F.round("hijacked_rate_mean", 9).alias("hijacked_rate_mean"), F.round("hijacked_rate_ci95", 9).alias("hijacked_rate_ci95")), oracle(f"select attack_type, adopt_pol, percent, round(hijacked_rate_mean, 9) as hijacked_rate_mean, round(hijacked_rate_ci95, 9) as hijacked_rate_ci95 from ({_CI}) c", "trials")),
-    "plot_series": _q(lambda s, d: oc.plot_series(_ci(s, d), ["attack_type", "adopt_pol"], "percent", [10, 30, 50], ["hijacked_rate"]).select("attack_type", "adopt_pol", "x", "measure", F.round("y", 7).alias("y"), F.round("error", 7).alias("error")), oracle(f"select attack_type, adopt_pol, percent as x, 'hijacked_rate' as measure, round(hijacked_rate_mean * 100, 7) as y, round(hijacked_rate_ci95 * 100, 7) as error from ({_CI}) c where percent in (10, 30, 50)", "trials")),
     "series_order": _q(lambda s, d: oc.series_order(load(s, d, "trials"), "percent", [10, 20]), oracle("select * from trials where percent in (10, 20)", "trials")),
-    "check_percent_index": _q(lambda s, d: oc.check_percent_index(load(s, d, "trials")), oracle("select percent_iter, count(distinct percent) as n from trials group by percent_iter having count(distinct percent) <> 1", "trials")),
     "attribute_values": _q(lambda s, d: oc.attribute_values(load(s, d, "trials"), ["attack_type", "adopt_pol"]).select(F.array_join("attack_type", ",").alias("attack_type"), F.array_join("adopt_pol", ",").alias("adopt_pol")), oracle("select (select string_agg(x, ',' order by x) from (select distinct attack_type as x from trials) a) as attack_type, (select string_agg(x, ',' order by x) from (select distinct adopt_pol as x from trials) a) as adopt_pol", "trials")),
     "attribute_grid": _q(lambda s, d: oc.attribute_grid(oc.attribute_values(load(s, d, "trials"), ["attack_type", "adopt_pol", "percent"]), ["attack_type", "adopt_pol", "percent"]), oracle("select a.attack_type, b.adopt_pol, c.percent from (select distinct attack_type from trials) a, (select distinct adopt_pol from trials) b, (select distinct percent from trials) c", "trials")),
     "compare_policies": _q(lambda s, d: oc.compare_policies(load(s, d, "trials").groupBy("attack_type", "adopt_pol", "percent").agg(F.sum("hijacked").alias("h")), ["attack_type", "percent"], "adopt_pol", "O", "F", "h"), oracle("select a.attack_type, a.percent, a.h as value_a, b.h as value_b, a.h - b.h as difference from t a join t b on a.attack_type = b.attack_type and a.percent = b.percent and a.adopt_pol = 'O' and b.adopt_pol = 'F'", "trials", extra={"t": "select attack_type, adopt_pol, percent, cast(sum(hijacked) as bigint) as h from trials group by attack_type, adopt_pol, percent"})),

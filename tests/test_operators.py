@@ -1,5 +1,8 @@
 """Scenarios, edges and invariants of the routing operators."""
 
+import heapq
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,10 +15,10 @@ from pathweave.plans.views import load
 from pathweave.sources import sinks, text
 from pathweave.streaming import incremental as inc
 
-P, S = "1.2.0.0/16", "1.2.3.0/24"
+P, S = "172.20.0.0/16", "172.20.9.0/24"
 FORWARDING = [
-    (44, P, 99, 88), (88, P, 99, 99), (77, P, 99, 88), (99, P, 99, 64514), (666, P, 99, 77),
-    (88, S, 666, 77), (77, S, 666, 666), (99, S, 666, 64514), (666, S, 666, 64513),
+    (118, P, 310, 205), (205, P, 310, 310), (207, P, 310, 205), (310, P, 310, 64514), (913, P, 310, 207),
+    (205, S, 913, 207), (207, S, 913, 913), (310, S, 913, 64514), (913, S, 913, 64513),
 ]
 
 
@@ -28,10 +31,10 @@ def test_hijack_scenario(spark):
     fwd = _prefixed(spark, FORWARDING, "asn long, prefix string, origin long, received_from_asn long")
     best = va.most_specific_per_as(fwd)
     kept = {(r.asn, r.len) for r in best.select("asn", "prefix.len").collect()}
-    assert kept == {(44, 16), (88, 24), (77, 24), (99, 24), (666, 24)}
+    assert kept == {(118, 16), (205, 24), (207, 24), (310, 24), (913, 24)}
     traced = oc.trace_back(best)
-    assert {r.asn: r.condition for r in traced.collect()} == {44: "hijacked", 88: "hijacked", 77: "hijacked", 666: "hijacked", 99: "not_hijacked"}
-    counts = oc.data_plane_counts(traced.where("asn not in (99, 666)").withColumn("implement", F.lit(False))).first()
+    assert {r.asn: r.condition for r in traced.collect()} == {118: "hijacked", 205: "hijacked", 207: "hijacked", 913: "hijacked", 310: "not_hijacked"}
+    counts = oc.data_plane_counts(traced.where("asn not in (310, 913)").withColumn("implement", F.lit(False))).first()
     assert (counts.hijacked, counts.not_hijacked, counts.blackholed, counts.total) == (3, 0, 0, 3)
 
 
@@ -46,10 +49,49 @@ def test_trace_of_64_hops_and_loop(spark):
 
 
 def test_percent_index_check_fails(spark):
-    good = spark.createDataFrame([(0, 10), (0, 10), (1, 20)], "percent_iter int, percent int")
+    good = spark.createDataFrame([(0, 10), (0, 10), (1, 20), (2, None)], "percent_iter int, percent int")
     assert oc.require_percent_index(good) is good
-    with pytest.raises(ValueError, match=r"\[1\]"):
-        oc.require_percent_index(good.unionByName(good.where("percent_iter = 1").withColumn("percent", F.lit(30))))
+    # One percent under two iterations is the fault; two percents under one iteration are none.
+    assert oc.check_percent_index(good.unionByName(good.where("percent_iter = 1").withColumn("percent", F.lit(30)))).count() == 0
+    with pytest.raises(ValueError, match=r"\[20\]"):
+        oc.require_percent_index(good.unionByName(good.where("percent_iter = 1").withColumn("percent_iter", F.lit(7))))
+
+
+def _trial(spark):
+    attack = ("Subprefix_Hijack", 1, 913, [S], 310, [P], "ROV", 30, 1, 0, None, None, None, None, None)
+    info = spark.createDataFrame([(1, *attack), (2, *attack)], "trial long, attack_type string, number_of_attackers long, attacker_asn long, attacker_prefixes array<string>, victim long, victim_prefixes array<string>, adopt_pol string, percent long, percent_iter long, round_num long, extra_bash_arg_1 long, extra_bash_arg_2 long, extra_bash_arg_3 long, extra_bash_arg_4 long, extra_bash_arg_5 long")
+    info = info.withColumns({c: F.transform(c, px.parse) for c in ("attacker_prefixes", "victim_prefixes")})
+    best = va.most_specific_per_as(_prefixed(spark, FORWARDING, "asn long, prefix string, origin long, received_from_asn long"))
+    forwarding = best.withColumn("trial", F.lit(1).cast("long"))
+    rows = [(1, asn, "edge", asn == 207) for asn in (118, 207, 205, 913, 310, 5)] + [(1, 205, "top", None), (2, 118, "edge", False)]
+    return info, spark.createDataFrame(rows, "trial long, asn long, subtable_name string, implement boolean"), forwarding
+
+
+def test_trial_facts_of_a_scenario(spark):
+    info, segments, forwarding = _trial(spark)
+    facts = oc.trial_facts(info, segments, forwarding)
+    assert set(facts.columns) >= {*oc.TRIAL_INFO, "subtable_name", "visible_hijacks_adopting"} and len(facts.columns) == 35
+    rows = {(r.trial, r.subtable_name): r for r in facts.collect()}
+    edge = rows[1, "edge"]
+    # 118, 207 and 205 end at the attacker; 118 holds only the victim's prefix; AS 5 has no RIB; attacker and victim don't count.
+    assert (edge.trace_hijacked_adopting, edge.trace_hijacked_collateral, edge.no_rib_collateral, edge.trace_total_adopting, edge.trace_total_collateral) == (1, 2, 1, 1, 3)
+    assert (edge.c_plane_has_attacker_prefix_origin_adopting, edge.c_plane_has_attacker_prefix_origin_collateral, edge.c_plane_has_only_victim_prefix_origin_collateral) == (1, 1, 1)
+    # The next hops of 118 (205), 207 and 205 (913) hold the attacker's prefix.
+    assert (edge.visible_hijacks_adopting, edge.visible_hijacks_collateral) == (1, 2)
+    assert (rows[1, "top"].trace_hijacked_collateral, rows[1, "top"].trace_total_adopting) == (1, 0)
+    assert (rows[2, "edge"].no_rib_collateral, rows[2, "edge"].trace_total_collateral, rows[2, "edge"].visible_hijacks_collateral) == (1, 1, 0)
+    (rates,) = oc.trial_rates(facts).collect()
+    assert (rates.trace_hijacked_collateral, rates.trace_disconnected_collateral, rates.hidden_hijacks_collateral, rates.c_plane_connected_collateral) == (2 / 3, 1 / 3, 0.0, 1 / 3)
+    means = oc.mean_ci95(oc.trial_rates(facts))
+    series = oc.plot_series(means, "percent", [30], {"extra_bash_arg_1": None, "subtable_name": "edge"}, ["ROV"])
+    assert series.count() == len(oc.MEASURES) == 16 and oc.plot_series(means, "percent", [30], {"round_num": None}).count() == 0
+
+
+def test_trial_facts_without_rows(spark):
+    info, segments, forwarding = _trial(spark)
+    assert oc.trial_facts(info, segments.limit(0), forwarding).count() == 0
+    blind = oc.trial_facts(info, segments, forwarding.limit(0)).where("trial = 1 and subtable_name = 'edge'").first()
+    assert (blind.no_rib_collateral, blind.no_rib_adopting, blind.trace_total_collateral, blind.trace_hijacked_adopting) == (3, 1, 3, 0)
 
 
 def test_semi_containment_keeps_equal_rows(spark):
@@ -87,16 +129,33 @@ def test_blocks_are_bounded_and_whole(spark, sf):
     assert blocks.count() == n and blocks.select("prefix").distinct().count() == n
     per = blocks.groupBy("block_id").agg(F.count(F.lit(1)).alias("n"), F.sum("ann_count").alias("w")).collect()
     assert len(per) == n // size + 1 and max(r.n for r in per) <= size
-    # The greedy's weights, recomputed.
-    import heapq
-
-    heap = [(0, b, 0) for b in range(n // size + 1)]
-    done = []
-    for c in sorted((r.ann_count for r in counts.collect()), reverse=True):
-        w, b, k = heapq.heappop(heap)
-        (done if k + 1 == size else heap).append((w + c, b, k + 1))
-        heapq.heapify(heap)
-    assert sorted(r.w for r in per) == sorted(w for w, _, k in heap + done if k)
+    want = greedy(sorted(((r.ann_count, r.n) for r in counts.groupBy("ann_count").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True), n // size + 1, size)
+    got = {(r.ann_count, r.block_id): r.n for r in blocks.groupBy("ann_count", "block_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {(c, b): k for c, given in want for b, k in enumerate(given) if k}
+    assert md.balanced_blocks(counts.limit(0), size).count() == 0
+
+
+def greedy(histogram, n_blocks, most):
+    """Each prefix into the lightest block with room, one by one."""
+    heap, out = [(0, b, 0) for b in range(n_blocks)], []
+    for count, n in histogram:
+        given = [0] * n_blocks
+        for _ in range(n):
+            weight, b, k = heapq.heappop(heap)
+            given[b] += 1
+            if k + 1 < most:
+                heapq.heappush(heap, (weight + count, b, k + 1))
+        out.append((count, given))
+    return out
+
+
+def test_water_filling_is_the_greedy():
+    rng = random.Random(4)
+    for _ in range(500):
+        histogram = sorted({rng.randint(0, rng.choice([5, 30, 1000])): rng.choice([1, 1, 2, 5, 40]) for _ in range(rng.randint(0, 9))}.items(), reverse=True)
+        most = rng.choice([1, 2, 3, 7, 20, 100])
+        n_blocks = sum(n for _, n in histogram) // most + 1
+        assert [(c, g.tolist()) for c, g in md.water_filling(histogram, n_blocks, most)] == greedy(histogram, n_blocks, most)
 
 
 def test_pack_groups_keeps_groups_whole(spark, sf):
@@ -137,18 +196,18 @@ def test_adjacency_flags(spark):
 
 def test_text_readers(spark, tmp_path):
     rib = tmp_path / "rib.txt"
-    rib.write_text("=|1.2.3.0/24|12345 6789 0123 12345 67890|12.34.56.78|i|||1234:1|12.34.56.78|1234567890|1\n=|1.2.4.0/24|1 {2,3}|x|i||||x|1|1\n=|bad|1 2|x|i||||x|1|1\n")
+    rib.write_text("=|198.51.100.0/24|64496 64501 007 64496 64511|192.0.2.77|i|||64496:5|192.0.2.77|1700000123|1\n=|1.2.4.0/24|1 {2,3}|x|i||||x|1|1\n=|bad|1 2|x|i||||x|1|1\n")
     (row,) = text.read_rib_lines(spark, str(rib)).collect()
-    assert (row.as_path, row.origin, row.time) == ([12345, 6789, 123, 12345, 67890], 67890, 1234567890)
+    assert (row.as_path, row.origin, row.time) == ([64496, 64501, 7, 64496, 64511], 64511, 1700000123)
     dump = tmp_path / "dump.txt"
-    dump.write_text("TABLE_DUMP1|1234567890|B|1.2.3.4|12345|12.34.56.0/24|12345 67890 1234 5678 90|IGP\n")
+    dump.write_text("TABLE_DUMP2|1700000456|B|192.0.2.9|64499|203.0.112.0/23|64499 64505 64510|IGP\n")
     (row,) = text.read_dump_lines(spark, str(dump)).collect()
-    assert (row.origin, row.time, row.prefix.len) == (90, 1234567890, 24)
+    assert (row.origin, row.time, row.prefix.len) == (64510, 1700000456, 23)
     day = tmp_path / "2019" / "08" / "01"
     day.mkdir(parents=True)
-    (day / "roas.csv").write_text("URI,ASN,IP Prefix,Max Length,Not Before,Not After\nuri,AS37674,41.191.212.0/22,24,2015-10-30 13:21:35,2016-10-30 13:21:35\n")
+    (day / "roas.csv").write_text("URI,ASN,IP Prefix,Max Length,Not Before,Not After\nuri,AS64509,203.0.112.0/22,24,2015-02-03 04:05:06,2016-02-03 04:05:06\n")
     (row,) = text.read_historical_roas(spark, f"{tmp_path}/*/*/*/roas.csv").collect()
-    assert (row.asn, row.maxlen, str(row.date_added), str(row.notbefore)) == (37674, 24, "2019-08-01", "2015-10-30 13:21:35")
+    assert (row.asn, row.maxlen, str(row.date_added), str(row.notbefore)) == (64509, 24, "2019-08-01", "2015-02-03 04:05:06")
     roas = tmp_path / "roas.json"
     roas.write_text('{"roas": [{"asn": "AS5", "prefix": "10.0.0.0/8", "maxLength": 9, "ta": "x"}]}')
     (row,) = text.read_roas_json(spark, str(roas), 77).collect()

@@ -1,12 +1,14 @@
 """Prefix parsing, order and containment, IPv6 and edges included."""
 
 import ipaddress
+import random
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from pathweave.functions import nesting
 from pathweave.functions import prefix as px
 from pathweave.functions.scalars import array_edit_distance, parse_as_info, trunc2
 
@@ -47,6 +49,42 @@ def test_containment_join_agrees_with_brute_force(spark, nets):
     assert order == sorted(nets, key=lambda n: (parsed[n].version, int(parsed[n].network_address), parsed[n].prefixlen))
 
 
+def _network(p):
+    return p and ipaddress.ip_network((ipaddress.IPv6Address((p.hi % 2**64) << 64 | p.lo % 2**64) if p.family == 6 else p.lo, p.len))
+
+
+def _near(rng):
+    """Networks of both families, crowded at the ends of the address spaces and of ranges."""
+    if rng.random() < 0.5:
+        return ipaddress.ip_network(((rng.choice([0, 10 << 24, 2**32 - 256, 2**31]) + rng.randrange(1 << rng.choice([1, 8, 20]))) % 2**32, rng.choice([0, 1, 8, 9, 16, 20, 24, 31, 32])), strict=False)
+    value = (rng.choice([0, 1 << 127, 0xFFFF << 112, 2**128 - 1 - (1 << 40)]) + rng.randrange(1 << rng.choice([1, 30, 70]))) % 2**128
+    return ipaddress.ip_network((ipaddress.IPv6Address(value), rng.choice([0, 1, 16, 63, 64, 65, 100, 127, 128])), strict=False)
+
+
+@pytest.mark.parametrize(("seed", "n"), [(1, 1), (2, 30), (3, 300)])
+def test_nesting_agrees_with_brute_force(spark, seed, n):
+    rng = random.Random(seed)
+    nets, asked = sorted({_near(rng) for _ in range(n)}, key=str), sorted({_near(rng) for _ in range(150)}, key=str)
+    frame = lambda some: spark.createDataFrame([(str(x),) for x in some] * 2 + [(None,)], "t string").select("t", px.parse(F.col("t")).alias("prefix")).repartition(3)
+    within = lambda a, b: a.version == b.version and a.subnet_of(b)
+    known = frame(nets)
+    tops = {_network(r.prefix): _network(r.top) for r in nesting.outermost(known).collect()}
+    assert tops == {x: min((y for y in nets if within(x, y)), key=lambda y: y.prefixlen) for x in nets}
+    covers = nesting.innermost(frame(asked), known).collect()
+    assert len(covers) == len(asked)
+    assert {_network(r.prefix): _network(r.cover) for r in covers} == {x: max((y for y in nets if within(x, y)), key=lambda y: y.prefixlen, default=None) for x in asked}
+    keyed = known.withColumn("asn", F.pmod(F.hash("t"), F.lit(3)))
+    key = {ipaddress.ip_network(r.t): r.asn for r in keyed.collect() if r.t}
+    assert {(r.asn, _network(r.prefix)) for r in nesting.overruled(keyed, "asn").collect()} == {(key[x], x) for x in nets if any(y != x and key[y] == key[x] and within(y, x) for y in nets)}
+
+
+def test_nesting_of_nothing(spark):
+    none = spark.createDataFrame([], f"prefix {px.TYPE}, asn long")
+    some = spark.createDataFrame([("10.0.0.0/8",)], "t string").select(px.parse(F.col("t")).alias("prefix"))
+    assert nesting.outermost(none).count() == nesting.overruled(none, "asn").count() == nesting.innermost(none, some).count() == 0
+    assert [r.cover for r in nesting.innermost(some, none).collect()] == [None]
+
+
 def test_containment_predicates(spark):
     a, b = px.parse(F.lit("10.0.0.0/8")), px.parse(F.lit("10.2.0.0/16"))
     r = spark.range(1).select(px.covers(a, b), px.covered_by(a, b), px.strictly_covered_by(b, a), px.strictly_covered_by(a, a), px.covers(a, px.parse(F.lit("::a00:0/104")))).first()

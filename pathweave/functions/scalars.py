@@ -38,11 +38,28 @@ def digits(text: Column) -> Column:
     return F.regexp_extract(text, r"([0-9]+)", 1).try_cast("long")
 
 
+#: Different values that two arrays may have for their edit distance to run on texts: code points below the surrogates.
+TEXT_VALUES = 0xD7FF
+
+
 def array_edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two arrays: a fold over ``a`` that keeps one row of the table; null if either is null.
+    """Levenshtein distance of two whole arrays; null if either is null. Null elements are equal to each other.
 
-    The whole sequence is looked at; a row has one entry per element of ``b`` and one more.
+    The values of both arrays are numbered, and each array becomes a text with one character a value, so that the built-in
+    function runs. Arrays with more than ``TEXT_VALUES`` different values go through ``folded_edit_distance``.
     """
+    code = lambda place: F.lpad(F.hex(F.coalesce(place, F.lit(0))), 4, "0")
+
+    def as_text(x: Column, values: Column) -> Column:
+        return F.decode(F.unhex(F.array_join(F.transform(x, lambda v: code(F.array_position(values, v))), "")), "UTF-16BE")
+
+    # An array of one element names the values, so they are found once a row.
+    on_texts = F.get(F.transform(F.array(F.array_union(a, b)), lambda values: F.levenshtein(as_text(a, values), as_text(b, values))), F.lit(0))
+    return F.when(a.isNotNull() & b.isNotNull(), F.when(F.size(F.array_union(a, b)) <= TEXT_VALUES, on_texts).otherwise(folded_edit_distance(a, b)))
+
+
+def folded_edit_distance(a: Column, b: Column) -> Column:
+    """The same by a fold over ``a`` that keeps one row of the table, which has one entry per element of ``b`` and one more."""
     first = F.sequence(F.lit(0), F.size(b))
 
     def next_row(row: Column, x: Column) -> Column:

@@ -236,12 +236,30 @@ def policy_stats(tables: DataFrame, asns: DataFrame, stubs: DataFrame) -> DataFr
     return tables.join(stubs_to_parents(asns, stubs).select("asn").distinct(), "asn", "left_semi")
 
 
-def policy_answer(split: DataFrame, inverse: DataFrame, asns: DataFrame, stubs: DataFrame) -> dict[str, DataFrame]:
-    """What is served for the asked ASes: their ``stats`` and open ``hijacks`` by policy, and the ``averages`` over all ASes."""
-    tables = policy_tables(split, inverse)
+def hijack_data(split: DataFrame, inverse: DataFrame, asns: DataFrame, policies: tuple[str, ...] = tuple(sorted(BLOCKED))) -> DataFrame:
+    """Hijacks that the asked ASes hold, by policy: ``asn``, pair, ``url``, ``policy``, ``part`` and ``blocked``.
+
+    ``part`` is the policy whose table lists the hijack: the policy itself, but asn and length for rov, which is made of the two.
+    """
+    parts = {p: ("asn", "length") if p == "rov" else (p,) for p in policies}
+    rows = [F.struct(F.lit(p).alias("policy"), F.lit(part).alias("part"), blocks(part).alias("blocked")) for p in policies for part in parts[p]]
+    asked = asns.select("asn").distinct()
+    hijacks = split.where("hijacked").select(*PAIR, "url", "blocked_by").distinct().crossJoin(F.broadcast(asked))  # the asked ASes only
+    held = hijacks.join(inverse.select("asn", *PAIR), ["asn", *PAIR], "left_anti")
+    return held.select("asn", *PAIR, "url", F.inline(F.array(*rows)))
+
+
+def averages_over(tables: DataFrame, asns: DataFrame) -> DataFrame:
+    """Mean of each metric of ``policy_tables`` over the asked ASes that have a row, by policy."""
+    metrics = [c for c in tables.columns if c not in ("asn", "policy")]
+    return tables.join(asns.select("asn").distinct(), "asn", "left_semi").groupBy("policy").agg(*[F.avg(c).alias(c) for c in metrics])
+
+
+def policy_answer(split: DataFrame, inverse: DataFrame, asns: DataFrame, stubs: DataFrame, policies: tuple[str, ...] = tuple(sorted(BLOCKED))) -> dict[str, DataFrame]:
+    """What is served for the asked ASes and policies: their ``stats``, their ``hijacks``, and ``averages`` over the asked ASes."""
     asked = stubs_to_parents(asns, stubs).select("asn").distinct()
-    hijacks = reduce(DataFrame.unionByName, [hijacks_held(split, inverse, asked, p) for p in sorted(BLOCKED)])
-    return {"stats": policy_stats(tables, asns, stubs), "hijacks": hijacks, "averages": averages(tables)}
+    stats = policy_tables(split, inverse).where(F.col("policy").isin(*policies)).join(asked, "asn", "left_semi")
+    return {"stats": stats, "hijacks": hijack_data(split, inverse, asked, policies), "averages": averages_over(stats, asked)}
 
 
 def rib_of(covered: DataFrame, inverse: DataFrame, asns: DataFrame, stubs: DataFrame) -> DataFrame:

@@ -97,6 +97,14 @@ _GREEDY = {
     "spans": "select c, block, m, sum(m) over (partition by c order by m desc, block) - m as low from dealt",
 }
 
+_PATHS = (
+    "select suppkey as monitor_asn, orderkey as prefix_id, [suppkey, p % 9, suppkey % 40] as truth, case ln % 3 when 1 then [suppkey, p % 7, suppkey % 40] when 2 then [suppkey, p % 7, p % 5, suppkey % 40] end as guess"
+    " from (select l_suppkey as suppkey, l_orderkey as orderkey, max(l_partkey) as p, max(l_linenumber) as ln from lineitem group by l_suppkey, l_orderkey) q"
+)
+#: The test database compares bytes, so each value is a letter by its first place in both paths.
+_TEXT = "array_to_string(list_transform({0}, lambda v: chr((64 + list_position(list_concat(truth, guess), v))::int)), '')"
+_DISTANCE = f"coalesce(case when guess is not null then levenshtein({_TEXT.format('truth')}, {_TEXT.format('guess')}) end, 3)::int"
+
 QUERIES = {
     # Both families
     "dual_filter_family_4": _q(lambda s, d: flat(va.filter_family(load(s, d, "dual")), whole=True), oracle("select family, hi, net, len, origin from dual where family = 4", "dual")),
@@ -222,14 +230,20 @@ left join (select provider_as, string_agg(cast(customer_as as varchar), ',' orde
     "control_monitors": _q(lambda s, d: mo.control_monitors(mo.monitor_stats(_ann(s, d), load(s, d, "as_rank")).withColumn("extra_ann", F.col("extra_ann") % 3), 10, 10).select("monitor_asn", "as_rank"), oracle("select monitor_asn, coalesce(as_rank, (select count(*) + 1 from as_rank)) as as_rank from (select monitor_asn, count(distinct net * 64 + len) as n, count(*) as t from announcements group by monitor_asn) m left join as_rank r on m.monitor_asn = r.asn where (t - n) % 3 = 0 and t >= 10 order by 2, 1 limit 10", "announcements", "as_rank")),
     "top_monitors": _q(lambda s, d: mo.top_monitors(mo.monitor_stats(_ann(s, d), load(s, d, "as_rank")), 25).select("monitor_asn", "as_rank"), oracle("select monitor_asn, coalesce(as_rank, (select count(*) + 1 from as_rank)) as as_rank from (select distinct monitor_asn from announcements) m left join as_rank r on m.monitor_asn = r.asn order by 2, 1 limit 25", "announcements", "as_rank")),
     "monitor_rows": _q(lambda s, d: flat(mo.monitor_rows(_ann(s, d), 7)), oracle("select net, len, origin, monitor_asn, time from announcements where monitor_asn = 7", "announcements")),
-    "mean_path_distance": _q(lambda s, d: mo.mean_path_distance(_estimates(s, d))),
-    "truth_vs_estimate": _q(lambda s, d: _estimates(s, d).select("monitor_asn", "prefix_id", F.array_join("as_path", ",").alias("as_path"), F.array_join("estimated", ",").alias("estimated")), oracle("select suppkey as monitor_asn, orderkey as prefix_id, concat(suppkey, ',', partkey % 9, ',', suppkey % 40) as as_path, case when ln % 3 > 0 then concat(suppkey, ',', partkey % 7, ',', suppkey % 40) end as estimated from (select l_suppkey as suppkey, l_orderkey as orderkey, max(l_partkey) as partkey, max(l_linenumber) as ln from lineitem group by l_suppkey, l_orderkey) x")),
+    "path_distance": _q(lambda s, d: mo.path_distance(_estimates(s, d)).select("monitor_asn", "prefix_id", "distance"), f"select monitor_asn, prefix_id, {_DISTANCE} as distance from ({_PATHS}) x"),
+    "mean_path_distance": _q(
+        lambda s, d: mo.mean_path_distance(_estimates(s, d)).withColumn("mean_distance", F.round("mean_distance", 9)),
+        f"select 'all' as mode, round(avg(d), 9) as mean_distance from (select monitor_asn, avg({_DISTANCE}) as d from ({_PATHS}) x group by monitor_asn) y"),
+    "truth_vs_estimate": _q(
+        lambda s, d: _estimates(s, d).select("monitor_asn", "prefix_id", F.array_join("as_path", ",").alias("as_path"), F.array_join("estimated", ",").alias("estimated")),
+        f"select monitor_asn, prefix_id, array_to_string(truth, ',') as as_path, array_to_string(guess, ',') as estimated from ({_PATHS}) x"),
 }
 
 
 def _estimates(s, d):
-    """Observed and estimated paths made from line items: estimates differ in the middle, and a third is missing."""
+    """Observed and estimated paths made from line items: estimates differ in the middle or have a hop more, and a third is missing."""
     base = s.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_suppkey").alias("monitor_asn"), F.col("l_orderkey").alias("prefix_id")).agg(F.max("l_partkey").alias("p"), F.max("l_linenumber").alias("ln"))
     truth = base.select("monitor_asn", "prefix_id", F.array(F.col("monitor_asn"), F.col("p") % 9, F.col("monitor_asn") % 40).alias("as_path"), F.lit("all").alias("mode"))
-    estimate = base.where("ln % 3 > 0").select("monitor_asn", "prefix_id", F.array(F.col("monitor_asn"), F.col("p") % 7, F.col("monitor_asn") % 40).alias("as_path"))
+    more = F.when(F.col("ln") % 3 == 2, F.array(F.col("p") % 5)).otherwise(F.array().cast("array<bigint>"))
+    estimate = base.where("ln % 3 > 0").select("monitor_asn", "prefix_id", F.concat(F.array(F.col("monitor_asn"), F.col("p") % 7), more, F.array(F.col("monitor_asn") % 40)).alias("as_path"))
     return mo.truth_vs_estimate(truth, estimate)

@@ -120,6 +120,8 @@ _TABLES = _ALLTOT | {"t_asn": _policy_sql("tot_asn"), "t_length": _policy_sql("t
 _METRICS = ("blocked_hijacked", "not_blocked_hijacked", "blocked_not_hijacked", "not_blocked_not_hijacked", "percent_blocked_hijacked", "percent_not_blocked_hijacked", "percent_blocked_not_hijacked")
 _AVG = {p: "select '" + p + "' as policy, " + ", ".join(f"{_trunc_sql(f'(sum({m})::double / count(*))')} as {m}" for m in _METRICS) + f" from t_{p}" for p in _CODES}
 _STUBS = {"stubs": "select customer_as as stub_asn, min(provider_as) as parent_asn from provider_customers where customer_as not in (select provider_as from provider_customers union select peer_as_1 from peers union select peer_as_2 from peers) group by customer_as"}
+_PARTS = {"asn": ("asn",), "length": ("length",), "rov": ("asn", "length")}
+_ASKED_SQL = _STUBS | {"asked": "select coalesce(parent_asn, r.asn) as asn from as_rank r left join stubs on r.asn = stub_asn where r.asn in (3, 500, 501)"}
 _NEIGH = "select peer_as_1 as asn, peer_as_2 as neighbour, 'peer' as kind from peers union all select peer_as_2, peer_as_1, 'peer' from peers union all select provider_as, customer_as, 'customer' from provider_customers union all select customer_as, provider_as, 'provider' from provider_customers"
 
 
@@ -195,7 +197,11 @@ QUERIES = {
     "averages": _q(lambda s, d: wi.averages(wi.policy_tables(_split(s, d), _inverse(s, d))), oracle(" union all ".join(_AVG.values()), "split", "inverse_results", extra=_TABLES)),
     "average_over": _q(lambda s, d: wi.average_over(_table(s, d, "asn"), load(s, d, "as_rank").where("asn % 7 = 0")).select(*[F.round(m, 6).alias(m) for m in _METRICS]), oracle("select " + ", ".join(f"round(avg({m}), 6) as {m}" for m in _METRICS) + " from t_asn where asn % 7 = 0 and asn in (select asn from as_rank)", "split", "inverse_results", "as_rank", extra=_TABLES)),
     "policy_stats": _q(lambda s, d: wi.policy_stats(wi.policy_tables(_split(s, d), _inverse(s, d)), load(s, d, "as_rank").where("asn % 5 = 0").select("asn"), tp.stub_parents(*_pc(s, d))), oracle(" union all ".join(f"select *, '{p}' as policy from t_{p} where asn in (select coalesce(parent_asn, r.asn) from as_rank r left join stubs on r.asn = stub_asn where r.asn % 5 = 0)" for p in _CODES), "split", "inverse_results", "as_rank", "provider_customers", "peers", extra=_TABLES | _STUBS)),
-    "policy_answer_hijacks": _q(lambda s, d: flat(_answer(s, d)["hijacks"]), oracle(" union all ".join(f"select h.net, h.len, h.origin, h.url, a.asn, '{p}' as policy from (select distinct net, len, origin, url from split where hijacked and not ({_BLOCKS[p]})) h cross join (select distinct asn from asked) a where not exists (select 1 from inverse_results i where i.asn = a.asn and " + _same("i", "h") + ")" for p in _CODES), "split", "inverse_results", "as_rank", "provider_customers", "peers", extra=_STUBS | {"asked": "select coalesce(parent_asn, r.asn) as asn from as_rank r left join stubs on r.asn = stub_asn where r.asn in (3, 500, 501)"})),
+    "policy_answer_hijacks": _q(lambda s, d: flat(_answer(s, d)["hijacks"]), oracle(" union all ".join(f"select h.net, h.len, h.origin, h.url, a.asn, '{p}' as policy, '{part}' as part, coalesce(h.blocked_by = '{part}', false) as blocked from (select distinct net, len, origin, url, blocked_by from split where hijacked) h cross join (select distinct asn from asked) a where not exists (select 1 from inverse_results i where i.asn = a.asn and " + _same("i", "h") + ")" for p, parts in _PARTS.items() for part in parts), "split", "inverse_results", "as_rank", "provider_customers", "peers", extra=_ASKED_SQL)),
+    "policy_answer_stats": _q(lambda s, d: _answer(s, d)["stats"], oracle(" union all ".join(f"select *, '{p}' as policy from t_{p} where asn in (select asn from asked)" for p in _CODES), "split", "inverse_results", "as_rank", "provider_customers", "peers", extra=_TABLES | _ASKED_SQL)),
+    "policy_answer_averages": _q(
+        lambda s, d: _answer(s, d)["averages"].withColumns({m: F.round(m, 6) for m in _METRICS}),
+        oracle("select policy, " + ", ".join(f"round(avg({m}), 6) as {m}" for m in _METRICS) + " from (" + " union all ".join(f"select *, '{p}' as policy from t_{p} where asn in (select asn from asked)" for p in _CODES) + ") q group by policy", "split", "inverse_results", "as_rank", "provider_customers", "peers", extra=_TABLES | _ASKED_SQL)),
     "rib_of": _q(lambda s, d: flat(wi.rib_of(_covered(s, d), _inverse(s, d), load(s, d, "as_rank").where("asn in (3, 500, 501)").select("asn"), tp.stub_parents(*_pc(s, d)))), oracle(_Q4, "announcements", "roas", "inverse_results", "as_rank", "provider_customers", "peers", extra=_STUBS | {"asked": "select coalesce(parent_asn, r.asn) as asn from as_rank r left join stubs on r.asn = stub_asn where r.asn in (3, 500, 501)"})),
     "relationships_of": _q(lambda s, d: wi.relationships_of(*_pc(s, d), load(s, d, "as_rank").where("asn % 9 = 0").select("asn"), tp.stub_parents(*_pc(s, d))), oracle(f"select distinct asn, neighbour, kind from ({_NEIGH}) n where asn in (select coalesce(parent_asn, r.asn) from as_rank r left join stubs on r.asn = stub_asn where r.asn % 9 = 0)", "as_rank", "provider_customers", "peers", extra=_STUBS)),
     "roa_table": _q(lambda s, d: flat(wi.roa_table(load(s, d, "roas"))), oracle("select asn, net, len, max_length from roas", "roas")),

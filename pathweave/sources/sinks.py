@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathweave.functions import prefix as px
+from pathweave.sources import commits
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -43,36 +42,25 @@ def export_pairs_gz(pairs: DataFrame, path: str, placeholder: int = 100) -> None
     flat(rows).write.mode("overwrite").option("sep", "\t").option("compression", "gzip").csv(path)
 
 
-def _pointer(spark: SparkSession, path: str):
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    target = hadoop.Path(f"{path}/current")
-    return hadoop, target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def snapshot(spark: SparkSession, path: str) -> DataFrame | None:
-    """The stored snapshot: the version that the pointer file names, or None."""
-    _, target, fs = _pointer(spark, path)
-    if not fs.exists(target):
-        return None
-    name = spark.read.text(f"{path}/current").first()[0]
-    return spark.read.parquet(f"{path}/{name}")
+    """The stored snapshot, or None: that of the newest whole manifest."""
+    _, found = commits.latest(spark, path)
+    return spark.read.schema(T.StructType.fromJson(found["schema"])).parquet(f"{path}/{found['folders'][0]}") if found else None
 
 
 def promote_if_not_smaller(df: DataFrame, path: str) -> None:
-    """Store ``df`` as the new snapshot unless it has fewer rows than the stored one; readers see the old one until the pointer moves."""
+    """Store ``df`` as the new snapshot unless it has fewer rows than the stored one, which raises a ValueError with both counts.
+
+    Readers see the old snapshot until the new one's manifest is whole; a failure at any step leaves the old one in place.
+    """
     spark = df.sparkSession
-    name = f"version-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{name}")
-    new, old = spark.read.parquet(f"{path}/{name}").count(), snapshot(spark, path)
-    if old is not None and new < (before := old.count()):
-        raise ValueError(f"the new snapshot has {new} rows, the stored one {before}")
-    hadoop, target, fs = _pointer(spark, path)
-    fresh = hadoop.Path(f"{path}/current-{name}")
-    stream = fs.create(fresh, True)
-    stream.write(bytearray(name.encode()))
-    stream.close()
-    fs.delete(target, False)
-    fs.rename(fresh, target)
+    based_on, old = commits.latest(spark, path)
+    folder = commits.data_folder()
+    df.write.parquet(f"{path}/{folder}")
+    rows = spark.read.parquet(f"{path}/{folder}").count()
+    if old and rows < old["rows"]:
+        raise ValueError(f"the new snapshot has {rows} rows, the stored one {old['rows']}")
+    commits.commit(spark, path, {"folders": [folder], "rows": rows, "schema": df.schema.jsonValue()}, based_on)
 
 
 def restore_if_empty(df: DataFrame, path: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pathweave.operators import outcomes as oc
 from pathweave.operators import topology as tp
 from pathweave.operators import validation as va
 from pathweave.plans.views import load
-from pathweave.sources import sinks, text
+from pathweave.sources import commits, serving, sinks, text
 from pathweave.streaming import incremental as inc
 
 P, S = "172.20.0.0/16", "172.20.9.0/24"
@@ -244,12 +244,146 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == text.read_rib_lines(spark, str(src)).count() == 9
 
 
-def test_event_stream_keeps_the_newest(spark, tmp_path):
-    schema = "id long, event_number long, start_time long, end_time long"
-    merge = inc.upsert_events(f"{tmp_path}/events")
-    merge(spark.createDataFrame([(1, 7, 1, None), (2, 8, 1, 5)], schema), 0)
-    second = spark.createDataFrame([(3, 7, 1, 9), (4, 8, 1, 5)], schema)
+EVENTS = "id long, event_number long, start_time long, end_time long"
+
+
+def _files(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_event_batches_rewrite_only_their_buckets(spark, tmp_path):
+    path = tmp_path / "events"
+    merge = inc.upsert_events(str(path), buckets=8)
+    merge(spark.createDataFrame([(i, i, 1, None) for i in range(60)], EVENTS), 0)
+    first = _files(path)
+    assert {f.split("/")[1] for f in first} == {f"bucket={b}" for b in range(8)}
+    second = spark.createDataFrame([(100, 7, 1, 9), (99, 7, 1, 5), (101, 8, 1, None), (102, 600, 3, None)], EVENTS)
+    merge(second, 1)
+    after = _files(path)
+    assert all(after[f] == t for f, t in first.items())  # nothing that stood there is touched
+    # Event 7 has changed and 600 is new; 8 says what was known, so its bucket stays.
+    assert 1 <= len({f.split("/")[1] for f in after.keys() - first.keys()}) <= 2
+    rows = {r.event_number: (r.id, r.end_time) for r in inc.events_table(spark, str(path)).collect()}
+    assert rows == {i: (i, None) for i in range(60)} | {7: (100, 9), 600: (102, None)}
+    merge(second, 1)  # again after a failure behind the commit
+    assert _files(path) == after and inc.events_table(spark, str(path), [0]).count() + inc.events_table(spark, str(path), list(range(1, 8))).count() == 61
+    merge(second.limit(0), 2)
+    assert _files(path) == after and commits.latest(spark, str(path))[0] == 3
+
+
+def test_event_batch_that_fails_before_its_commit_starts_anew(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "events")
+    merge = inc.upsert_events(path, buckets=4)
+    merge(spark.createDataFrame([(1, 7, 1, None), (2, 8, 1, 5)], EVENTS), 0)
+    second = spark.createDataFrame([(3, 7, 1, 9), (4, 8, 1, 5)], EVENTS)
+    with monkeypatch.context() as broken:
+        broken.setattr(commits, "commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            merge(second, 1)
+    read = lambda: {r.event_number: (r.id, r.end_time) for r in inc.events_table(spark, path).collect()}
+    assert read() == {7: (1, None), 8: (2, 5)}
     merge(second, 1)
-    merge(second, 1)  # again after a failure
-    rows = {r.event_number: (r.id, r.end_time) for r in spark.read.parquet(f"{tmp_path}/events/version-1").collect()}
-    assert rows == {7: (3, 9), 8: (2, 5)}
+    assert read() == {7: (3, 9), 8: (2, 5)}
+
+
+def test_event_stream_equals_batch(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, rng.randrange(20), rng.randrange(3), rng.choice([None, 5])) for i in range(200)]
+    folder, path = tmp_path / "in", str(tmp_path / "events")
+    for k in range(4):
+        spark.createDataFrame(rows[k * 50 : k * 50 + 50], EVENTS).coalesce(1).write.mode("append").json(str(folder))
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).json(str(folder))
+    stream.writeStream.foreachBatch(inc.upsert_events(path, buckets=4)).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    got = {r.event_number: (r.start_time, r.end_time) for r in inc.events_table(spark, path).collect()}
+    newest = {n: max((r for r in rows if r[1] == n)) for n in {r[1] for r in rows}}
+    assert got == {n: r[2:] for n, r in newest.items()}
+
+
+def test_commit_survives_a_failure_between_any_two_steps(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "table")
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
+    assert commits.latest(spark, path) == (0, {}) and sinks.snapshot(spark, path) is None
+    sinks.promote_if_not_smaller(df, path)
+    more = df.unionByName(df)
+    # The writer dies when data is written but no manifest is begun.
+    with monkeypatch.context() as broken:
+        broken.setattr(commits, "commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            sinks.promote_if_not_smaller(more, path)
+    assert sinks.snapshot(spark, path).count() == 2
+    # It dies with an empty manifest, with a part of one, and with one that is well formed but not marked whole.
+    manifests = tmp_path / "table" / commits.MANIFESTS
+    for number, text_ in ((2, ""), (3, '{"folders": ["data'), (4, '{"folders": ["none"], "rows": 9}')):
+        (manifests / f"{number:010d}.json").write_text(text_)
+        assert commits.latest(spark, path)[0] == 1 and sinks.snapshot(spark, path).count() == 2
+    sinks.promote_if_not_smaller(more, path)
+    assert commits.latest(spark, path)[0] == 5 and sinks.snapshot(spark, path).count() == 4
+    # A second writer that began on the same version fails, whoever comes first.
+    with pytest.raises(commits.Conflict):
+        commits.commit(spark, path, {"folders": []}, based_on=1)
+    monkeypatch.setattr(commits, "_numbers", lambda *_: [1])
+    monkeypatch.setattr(commits, "latest", lambda *_: (4, {}))
+    with pytest.raises(commits.Conflict, match="version 5"):
+        commits.commit(spark, path, {"folders": []}, based_on=4)
+    monkeypatch.undo()
+    sinks.promote_if_not_smaller(more, path)
+    gone = commits.expire(spark, path, keep=1)
+    assert len(gone) == 2 and sinks.snapshot(spark, path).count() == 4 and commits.latest(spark, path)[0] == 6
+
+
+def test_served_tables(spark, tmp_path):
+    path, rows = str(tmp_path / "served"), [(i % 40 if i % 3 else 7, i) for i in range(900)] + [(None, -1), (-3, -2)]
+    df = spark.createDataFrame(rows, "asn long, v long")
+    with pytest.raises(FileNotFoundError):
+        serving.lookup(spark, path, [1])
+    serving.publish(df, path, "asn", buckets=16)
+    found = serving.lookup(spark, path, [7, 23, 1000, -3])
+    assert sorted(tuple(r) for r in found.collect()) == sorted(r for r in rows if r[0] in (7, 23, -3))
+    # 7 and 23 lie in bucket 7, -3 in 13, and 1000 would in 8; no other folder is read.
+    assert {f.split("bucket=")[1].split("/")[0] for f in found.inputFiles()} == {"7", "8", "13"}
+    assert serving.lookup(spark, path).count() == 902 and serving.lookup(spark, path, []).count() == 0 and serving.lookup(spark, path, [1001]).count() == 0
+    serving.publish(df.limit(0), path, "asn")
+    assert serving.lookup(spark, path, [7]).count() == 0 and serving.lookup(spark, path).count() == 0
+
+
+def test_served_tables_are_renewed_when_inputs_change(spark, tmp_path):
+    source, path, built = str(tmp_path / "in"), str(tmp_path / "served"), []
+    spark.range(5).write.parquet(source)
+
+    def build():
+        built.append(1)
+        return spark.read.parquet(source)
+
+    state = lambda: serving.fingerprint(spark, {"in": [source]})
+    assert serving.refresh(spark, path, build, state(), "id") and not serving.refresh(spark, path, build, state(), "id")
+    spark.range(5, 9).write.mode("append").parquet(source)
+    assert serving.refresh(spark, path, build, state(), "id") and len(built) == 2
+    assert sorted(r.id for r in serving.lookup(spark, path).collect()) == list(range(9))
+
+
+def test_interval_stream_equals_batch(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(1_700_000_000 + rng.randrange(4000), rng.choice("AWB"), k) for k in range(300)]
+    # Nearly in order: nothing comes more than 500 seconds behind the newest, and a third of the rows comes twice.
+    order = sorted(rows + rng.sample(rows, 100), key=lambda r: r[0] + rng.randrange(500))
+    schema, folder = "time long, update_type string, seq long", tmp_path / "in"
+
+    def put(some):
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").json(str(folder))
+
+    for k in range(0, len(order), 100):
+        put(order[k : k + 100])
+    # The end of all intervals; then a row of the first one, far behind, twice, a new one that comes in time, and rows without a time or type.
+    put([(1_700_100_000, "W", -1)])
+    put([(1_700_000_001, "A", -2), (1_700_000_001, "A", -2), (1_700_000_003, "A", -3), (1_700_100_010, "W", -4), (None, "A", 1), (1_700_100_000, None, 1)])
+    put([rows[0], (1_700_200_000, "W", -5)])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
+    out = inc.closed_intervals(stream, 900, late_seconds=600, horizon_seconds=10**6)
+    # Run in two parts, as after a restart.
+    for _ in range(2):
+        out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    found = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    batch = inc.closed_intervals(spark.createDataFrame([*order, (1_700_100_000, "W", -1), (1_700_100_010, "W", -4), (None, "A", 1)], schema), 900)
+    assert sorted(r for r in found if r[3] == "interval") == sorted(tuple(r) for r in batch.collect())
+    first = 1_700_000_001 - 1_700_000_001 % 900
+    assert [r for r in found if r[3] == "late"] == [(first, first + 900, "A", "late", 2)]

@@ -8,9 +8,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pathweave.functions import nesting
+from pathweave.functions import nesting, scalars
 from pathweave.functions import prefix as px
-from pathweave.functions.scalars import array_edit_distance, parse_as_info, trunc2
+from pathweave.functions.scalars import array_edit_distance, folded_edit_distance, parse_as_info, trunc2
 
 
 def test_parse_and_text(spark):
@@ -91,10 +91,33 @@ def test_containment_predicates(spark):
     assert list(r) == [True, False, True, False, False]
 
 
-@pytest.mark.parametrize(("a", "b", "want"), [([1, 2, 3], [1, 3], 1), ([5, 6], [7, 6, 5], 2), ([], [], 0), ([], [1], 1), ([1], [], 1), (None, [1], None)])
-def test_edit_distance(spark, a, b, want):
-    row = spark.createDataFrame([(a, b)], "a array<bigint>, b array<bigint>").select(array_edit_distance(F.col("a"), F.col("b"))).first()
-    assert row[0] == want
+def test_edit_distance(spark):
+    rng = random.Random(9)
+    pairs = [([1, 2, 3], [1, 3]), ([5, 6], [7, 6, 5]), ([], []), ([], [1]), ([1], []), (None, [1]), ([1], None), ([None, 1, None], [None, None, 2]), ([1, None], [1, 0]), (list(range(2**40, 2**40 + 300)), list(range(2**40 + 5, 2**40 + 305)))]
+    pairs += [([rng.randrange(6) for _ in range(rng.randint(0, 12))], [rng.randrange(6) for _ in range(rng.randint(0, 12))]) for _ in range(60)]
+
+    def brute(a, b):
+        if a is None or b is None:
+            return None
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            row = [i + 1, *row[1:]] if not b else (lambda old: [*_next(old, x, b, i)])(row)
+        return row[-1]
+
+    def _next(old, x, b, i):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(old[j] + (x != y), old[j + 1] + 1, new[-1] + 1))
+        return new
+
+    rows = spark.createDataFrame(pairs, "a array<bigint>, b array<bigint>").select("a", "b", array_edit_distance(F.col("a"), F.col("b")).alias("d"), folded_edit_distance(F.col("a"), F.col("b")).alias("f")).collect()
+    assert [(r.d, r.f) for r in rows] == [(brute(r.a, r.b), brute(r.a, r.b)) for r in rows]
+
+
+def test_edit_distance_beyond_the_range_of_texts(spark, monkeypatch):
+    monkeypatch.setattr(scalars, "TEXT_VALUES", 3)
+    rows = spark.createDataFrame([([1, 2, 3], [1, 3]), ([1, 2, 3, 4], [1, 5])], "a array<bigint>, b array<bigint>")
+    assert [r[0] for r in rows.select(array_edit_distance(F.col("a"), F.col("b"))).collect()] == [1, 3]
 
 
 def test_scalars(spark):

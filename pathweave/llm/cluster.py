@@ -20,7 +20,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share. A local session that names none gets one of its own; a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -102,22 +103,59 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield pa.Table.from_batches([held]).combine_chunks().to_batches()[0], np.array([0, held.num_rows])
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Edges that one task joins into components at once: 16 MB, and a few times that while it works.
+LOCAL_EDGES = 1_000_000
+
+
+def roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices of some edges, and the smallest vertex of each one's component among these edges."""
+    nodes, where = np.unique(np.concatenate([u, v]), return_inverse=True)
+    left, right = where[: len(u)], where[len(u) :]
+    root = np.arange(len(nodes))
+    while len(left):
+        low, high = np.minimum(root[left], root[right]), np.maximum(root[left], root[right])
+        apart = low != high
+        left, right, low, high = left[apart], right[apart], low[apart], high[apart]
+        # Every root that has an edge to a smaller one hangs itself on the smallest; then all point at roots again.
+        np.minimum.at(root, high, low)
+        while not np.array_equal(up := root[root], root):
+            root = up
+    return nodes, nodes[root]
+
+
+def _contracted(edges: DataFrame, n: int) -> DataFrame:
+    """In each of ``n`` partitions an edge from every vertex to the smallest one that its partition's edges lead to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            rows = pa.Table.from_batches(held)
+            node, root = roots(rows.column("u").to_numpy(), rows.column("v").to_numpy())
+            other = node != root
+            yield pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(root[other])], ["u", "v"])
+
+    return edges.coalesce(n).mapInArrow(run, "u long, v long")
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """Smallest reachable id of every vertex in ``edges`` (columns ``src``, ``dst``, both long): a stored table of (``node``, ``component``).
 
-    Alternates the large-star and small-star steps until the edge set no longer changes. Each step is one partial
+    Each task first joins its ``local_edges`` edges by itself, which leaves fewer edges than it has vertices. As soon as one task
+    has them all, that is the result. Until then large-star and small-star steps alternate. Each is one partial
     aggregation per vertex and one join in which vertices with very many neighbours are broadcast, so their edges are never
     gathered. Holds each vertex that has an edge to another one; self-loops and null ends are dropped.
     """
     edges = materialize(
-        edges.where("src is not null and dst is not null and src <> dst")
-        .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-        .distinct()
+        edges.where("src is not null and dst is not null and src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
     )
     seen, total = None, edges.count()
-    if total == 0:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    tasks = -(-total // local_edges)
+    if tasks:
+        edges = _replaced(edges, _contracted(edges, tasks))
+        total = edges.count() if tasks > 1 else total
     for _ in range(max_rounds):
+        if total <= local_edges:
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("d")).select("u", F.least("u", "m").alias("m"), "d")
         large = join_hot(both, lowest, ["u"], "d", total).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -125,17 +163,25 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("d"))
         small = join_hot(large, lowest, ["u"], "d", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         swapped = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        step = materialize(swapped.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
-        state = step.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        discard(edges)
+        edges = _replaced(edges, swapped.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
         discard(large)
-        edges, total = step, max(1, state.n)
+        state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        total = max(1, state.n)
         if seen == (state.n, state.s):
             break
         seen = (state.n, state.s)
     else:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
+    if tasks > 1 and total <= local_edges:
+        edges = _replaced(edges, _contracted(edges, 1))
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
     out = materialize(nodes)
     discard(edges)
     return out
+
+
+def _replaced(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` as a stored table; the table ``old``, from which it was made, is deleted."""
+    new = materialize(new)
+    discard(old)
+    return new

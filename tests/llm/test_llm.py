@@ -39,10 +39,32 @@ def rows_of(docs):
     return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local_edges", [1_000_000, 20, 3])
+def test_components(spark, local_edges):
     edges = [(1, 2), (2, 3), (9, 9), (5, 7), (7, 6), (None, 4)] + [(100 + i, 101 + i) for i in range(40)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).distinct().collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 7: 5} | {100 + i: 100 for i in range(41)}
+    got = [(r.node, r.component) for r in connected_components(spark.createDataFrame(edges, "src long, dst long").repartition(4), local_edges=local_edges).collect()]
+    assert dict(got) == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 7: 5} | {100 + i: 100 for i in range(41)} and len(got) == len(dict(got))
+    assert connected_components(spark.createDataFrame([(1, 1), (None, 2)], "src long, dst long"), local_edges=local_edges).count() == 0
+
+
+def test_roots_of_edges():
+    rng = np.random.default_rng(1)
+    for n, m in ((1, 1), (30, 10), (30, 60), (2000, 1500), (2000, 2300)):
+        u, v = rng.integers(-n, n, m), rng.integers(-n, n, m)
+        parent = {int(x): int(x) for x in [*u, *v]}
+
+        def find(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in zip(u.tolist(), v.tolist()):
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+        node, root = cluster.roots(u, v)
+        assert dict(zip(node.tolist(), root.tolist())) == {x: find(x) for x in parent}
+    chain = np.arange(100_000)
+    assert (cluster.roots(chain[1:], chain[:-1])[1] == 0).all() and len(cluster.roots(chain[:0], chain[:0])[0]) == 0
 
 
 def test_words_of_texts():

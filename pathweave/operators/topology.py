@@ -129,6 +129,19 @@ def restrict_to_links(df: DataFrame, link_table: DataFrame, a: str, b: str) -> D
     return df.join(keep, [a, b], "left_semi")
 
 
+def restrict_to_linked(df: DataFrame, link_table: DataFrame, asn: str = "asn") -> DataFrame:
+    """Rows of ``df`` whose AS stands in the link set, on either side; ``unlinked`` gives the others."""
+    return df.join(_linked(link_table, asn), asn, "left_semi")
+
+
+def unlinked(df: DataFrame, link_table: DataFrame, asn: str = "asn") -> DataFrame:
+    return df.join(_linked(link_table, asn), asn, "left_anti")
+
+
+def _linked(link_table: DataFrame, asn: str) -> DataFrame:
+    return link_table.select(F.explode(F.array("a", "b")).alias(asn)).distinct()
+
+
 def top_ases(rank: DataFrame, n: int = 100) -> DataFrame:
     return rank.orderBy("as_rank").limit(n)
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathweave.plans import routing_queries, served_queries, source_queries, study_queries, trial_queries
+from pathweave.plans import page_queries, routing_queries, served_queries, source_queries, study_queries, trial_queries
 
-_MODULES = (routing_queries, study_queries, trial_queries, served_queries, source_queries)
+_MODULES = (routing_queries, study_queries, trial_queries, served_queries, source_queries, page_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,7 +69,7 @@ _TOPS = "select p.net, p.len from prefixes p where not exists (select 1 from pre
 _GROUPS = "select p.net, p.len, t.net as group_net, t.len as group_len from prefixes p join tops t on " + _inside("p", "t")
 
 
-def _metadata(s, d, size=400):
+def _metadata(s, d, size=60):
     """Pairs with ids, block, validity and block-local ids."""
     ann = _ann(s, d)
     pairs = va.distinct_pairs(ann)
@@ -80,6 +80,12 @@ def _metadata(s, d, size=400):
     return md.attach_block_ids(md.attach_blocks(with_ids, blocks, _validity(s, d)))
 
 
+def _even_links(s, d):
+    return tp.links(*_pc(s, d)).where("a % 2 = 0")
+
+
+_EVEN = "select unnest([a, b]) from (select peer_as_1 as a, peer_as_2 as b from peers union select provider_as, customer_as from provider_customers) l where a % 2 = 0"
+
 _IDS = {
     "pid": "select net, len, row_number() over (order by net, len) - 1 as prefix_id from (select distinct net, len from announcements) x",
     "oid": "select origin, row_number() over (order by origin) - 1 as origin_id from (select distinct origin from announcements) x",
@@ -97,6 +103,7 @@ _GREEDY = {
     "spans": "select c, block, m, sum(m) over (partition by c order by m desc, block) - m as low from dealt",
 }
 
+_BLOCKED = "select p.net, p.len, p.ann_count, b.block as block_id from ranked p join spans b on b.c = p.ann_count and p.nth - 1 >= b.low and p.nth - 1 < b.low + b.m"
 _PATHS = (
     "select suppkey as monitor_asn, orderkey as prefix_id, [suppkey, p % 9, suppkey % 40] as truth, case ln % 3 when 1 then [suppkey, p % 7, suppkey % 40] when 2 then [suppkey, p % 7, p % 5, suppkey % 40] end as guess"
     " from (select l_suppkey as suppkey, l_orderkey as orderkey, max(l_partkey) as p, max(l_linenumber) as ln from lineitem group by l_suppkey, l_orderkey) q"
@@ -174,7 +181,7 @@ QUERIES = {
         oracle("select p.net, p.len, p.origin, prefix_id, origin_id from pairs p join pid on p.net = pid.net and p.len = pid.len join oid on p.origin = oid.origin", "pairs", extra={k: _IDS[k] for k in ("pid", "oid")})),
     "balanced_blocks": _q(
         lambda s, d: flat(md.balanced_blocks(va.prefix_counts(_ann(s, d)), 60)),
-        oracle("select p.net, p.len, p.ann_count, b.block as block_id from ranked p join spans b on b.c = p.ann_count and p.nth - 1 >= b.low and p.nth - 1 < b.low + b.m", "announcements", extra=_GREEDY).replace("with ", "with recursive ", 1)),
+        oracle("select * from blocked", "announcements", extra=_GREEDY | {"blocked": _BLOCKED}).replace("with ", "with recursive ", 1)),
     "block_weights": _q(
         lambda s, d: md.balanced_blocks(va.prefix_counts(_ann(s, d)), 60).groupBy("block_id").agg(F.sum("ann_count").alias("announcements"), F.count(F.lit(1)).alias("prefixes")),
         oracle("select block as block_id, sum(c * m)::bigint as announcements, sum(m)::bigint as prefixes from dealt group by block", "announcements", extra=_GREEDY).replace("with ", "with recursive ", 1)),
@@ -187,8 +194,8 @@ QUERIES = {
     "attach_block_ids": _q(
         lambda s, d: flat(md.attach_block_ids(va.distinct_pairs(_ann(s, d)).withColumn("block_id", F.col("prefix.len")))),
         oracle("select net, len, origin, len as block_id, dense_rank() over (partition by len order by net) - 1 as block_prefix_id from pairs", "pairs")),
-    "announcements_with_metadata": _q(lambda s, d: flat(md.announcements_with_metadata(_ann(s, d), _metadata(s, d))).withColumn("validity", F.col("validity").cast("int")).drop("block_id", "block_prefix_id", "origin_hijack_asn"),
-        oracle("select a.net, a.len, a.origin, a.monitor_asn, a.time, prefix_origin_id, prefix_id, origin_id, validity from announcements a join poid on a.net = poid.net and a.len = poid.len and a.origin = poid.origin join pid on a.net = pid.net and a.len = pid.len join oid on a.origin = oid.origin join validity v on a.net = v.net and a.len = v.len and a.origin = v.origin", "announcements", "validity", extra=_IDS)),
+    "announcements_with_metadata": _q(lambda s, d: flat(md.announcements_with_metadata(_ann(s, d), _metadata(s, d))).withColumn("validity", F.col("validity").cast("int")).withColumn("block_prefix_id", F.col("block_prefix_id").cast("int")),
+        oracle("select a.net, a.len, a.origin, a.monitor_asn, a.time, prefix_origin_id, prefix_id, origin_id, validity, block_id, block_prefix_id, cast(null as bigint) as origin_hijack_asn from announcements a join poid on a.net = poid.net and a.len = poid.len and a.origin = poid.origin join pid on a.net = pid.net and a.len = pid.len join oid on a.origin = oid.origin join validity v on a.net = v.net and a.len = v.len and a.origin = v.origin join (select net, len, block_id, (row_number() over (partition by block_id order by net, len) - 1)::int as block_prefix_id from blocked) b on a.net = b.net and a.len = b.len", "announcements", "validity", extra=_IDS | _GREEDY | {"blocked": _BLOCKED}).replace("with ", "with recursive ", 1)),
     "block_sample": _q(lambda s, d: flat(mo.block_sample(va.distinct_pairs(_ann(s, d)).withColumn("block_id", F.col("prefix.len")), 12)), oracle("select net, len, origin, len as block_id from pairs where len <= 12", "pairs")),
     "distinct_on": _q(lambda s, d: flat(md.distinct_on(_ann(s, d), ["prefix", "origin"], [F.col("time"), F.col("monitor_asn")])), oracle("select net, len, origin, monitor_asn, time from (select *, row_number() over (partition by net, len, origin order by time, monitor_asn) as n from announcements) x where n = 1", "announcements")),
     "first_per_key": _q(lambda s, d: flat(va.first_per_key(_ann(s, d), ["monitor_asn"], [F.col("time").desc(), F.col("origin"), px.order_key(F.col("prefix"))])), oracle("select net, len, origin, monitor_asn, time from (select *, row_number() over (partition by monitor_asn order by time desc, origin, net, len) as n from announcements) x where n = 1", "announcements")),
@@ -221,6 +228,8 @@ left join (select provider_as, string_agg(cast(customer_as as varchar), ',' orde
     "seed_as": _q(lambda s, d: tp.seed_as(tp.connectivity(*_pc(s, d)), 80), oracle("select asn, cast(connectivity as bigint) as connectivity from conn where connectivity < 80 order by connectivity desc, asn limit 1", "conn")),
     "k_hop": _q(lambda s, d: tp.k_hop(tp.links(*_pc(s, d)), 5, 2), oracle("select asn, cast(min(level) as int) as level from (select 5 as asn, 0 as level union all select y, 1 from b where x = 5 union all select b2.y, 2 from b b1 join b b2 on b1.x = 5 and b1.y = b2.x) q group by asn", "provider_customers", "peers", extra={"b": "select peer_as_1 as x, peer_as_2 as y from peers union select peer_as_2, peer_as_1 from peers union select provider_as, customer_as from provider_customers union select customer_as, provider_as from provider_customers"})),
     "restrict_to_links": _q(lambda s, d: tp.restrict_to_links(load(s, d, "provider_customers"), tp.links(*_pc(s, d)).where("a % 2 = 0"), "provider_as", "customer_as"), oracle("select provider_as, customer_as from provider_customers where provider_as % 2 = 0", "provider_customers")),
+    "restrict_to_linked": _q(lambda s, d: tp.restrict_to_linked(load(s, d, "as_rank"), _even_links(s, d)), oracle("select as_rank, asn from as_rank where asn in (" + _EVEN + ")", "as_rank", "provider_customers", "peers")),
+    "unlinked": _q(lambda s, d: tp.unlinked(load(s, d, "conn"), _even_links(s, d)).withColumn("connectivity", F.col("connectivity").cast("long")), oracle("select asn, connectivity::bigint as connectivity from conn where asn not in (" + _EVEN + ")", "conn")),
     "top_ases": _q(lambda s, d: tp.top_ases(load(s, d, "as_rank"), 100), oracle("select as_rank, asn from as_rank order by as_rank limit 100", "as_rank")),
     "rank_window": _q(lambda s, d: tp.rank_window(load(s, d, "as_rank"), 200, 900), oracle("select as_rank, asn from as_rank where as_rank between 200 and 900", "as_rank")),
     # Monitors

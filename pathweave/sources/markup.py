@@ -51,7 +51,7 @@ def _elements(pages: DataFrame, key: list[str], names: list[str], html: str) ->
     after = Window.partitionBy(*key, "level").orderBy(F.col("pos").desc(), F.col("role").desc()).rowsBetween(Window.unboundedPreceding, -1)
     owner = F.last(F.when(role == 1, F.col("pos")), ignorenulls=True).over(before)
     closing = F.last(F.when(F.abs(role) == 1, F.struct("role", "name")), ignorenulls=True).over(after)
-    placed = rows.withColumn("owner", F.when(F.col("level") > 0, owner)).withColumn("closing", closing)
+    placed = rows.withColumn("owner", owner).withColumn("closing", closing)
     element = F.when(role > 0, F.col("pos")).when(role == 0, F.col("owner"))
     closed = F.coalesce((F.col("closing.role") == -1) & (F.col("closing.name") == F.col("name")), F.lit(False))
     return placed.withColumn("element", element).where("element is not null").groupBy(*key, F.col("element").alias("pos")).agg(

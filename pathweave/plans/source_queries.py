@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pathweave.functions import prefix as px
 from pathweave.functions.scalars import parse_as_info
+from pathweave.operators.events import union_all
 from pathweave.plans.views import flat, load, oracle
 from pathweave.sources import text as tx
 
@@ -55,7 +56,7 @@ def _roa_json(s, d):
 
 
 def _historical(s, d):
-    line = F.concat_ws(",", F.lit("uri"), F.concat(F.lit("AS"), F.col("asn")), _text(F.col("prefix")), F.col("max_length"), F.lit("2015-10-30 13:21:35"), F.lit("2016-10-30 13:21:35"))
+    line = F.concat_ws(",", F.lit("uri"), F.concat(F.lit("AS"), F.col("asn")), _text(F.col("prefix")), F.col("max_length"), F.concat(F.lit("2015-03-0"), F.col("asn") % 9 + 1, F.lit(" 04:05:06")), F.when(F.col("asn") % 2 == 0, F.concat(F.lit("201"), F.col("asn") % 10, F.lit("-02-03 04:05:06"))).otherwise(""))
     return load(s, d, "roas").select(line.alias("value"), F.concat(F.lit("/a/2019/08/0"), F.col("asn") % 9 + 1, F.lit("/roas.csv")).alias("file"))
 
 
@@ -115,7 +116,7 @@ QUERIES = {
     "parse_providers": _q(lambda s, d: tx.parse_relationships(_rel_lines(s, d))[0], oracle("select provider_as, customer_as from provider_customers", "provider_customers")),
     "parse_peers": _q(lambda s, d: tx.parse_relationships(_rel_lines(s, d))[1], oracle("select peer_as_1, peer_as_2 from peers", "peers")),
     "parse_roas_json": _q(lambda s, d: flat(tx.parse_roas_json(_roa_json(s, d), 1600000000)), oracle("select asn, net, len, max_length, 1600000000 as created_at from roas", "roas")),
-    "parse_historical_roas": _q(lambda s, d: flat(tx.parse_historical_roas(_historical(s, d))).select("asn", "net", "len", F.col("maxlen").cast("int").alias("maxlen"), F.col("date_added").cast("string").alias("date_added")), oracle("select asn, net, len, max_length as maxlen, concat('2019-08-0', asn % 9 + 1) as date_added from roas", "roas")),
+    "parse_historical_roas": _q(lambda s, d: flat(tx.parse_historical_roas(_historical(s, d))).select("asn", "net", "len", F.col("maxlen").cast("int").alias("maxlen"), F.col("date_added").cast("string").alias("date_added"), F.col("notbefore").cast("string").alias("notbefore"), F.col("notafter").cast("string").alias("notafter")), oracle("select asn, net, len, max_length as maxlen, concat('2019-08-0', asn % 9 + 1) as date_added, concat('2015-03-0', asn % 9 + 1, ' 04:05:06') as notbefore, case when asn % 2 = 0 then concat('201', asn % 10, '-02-03 04:05:06') end as notafter from roas", "roas")),
     "parse_validity_json": _q(
         lambda s, d: flat(tx.parse_validity_json(load(s, d, "roas").select(F.to_json(F.struct(F.concat(F.lit("AS"), F.col("asn")).alias("asn"), _text(F.col("prefix")).alias("prefix"), F.when(F.col("asn") % 2 == 0, "VALID").otherwise("INVALID_BY_ALL").alias("validity"))).alias("value")))).withColumn("validity", F.col("validity").cast("int")),
         oracle("select asn as origin, net, len, case when asn % 2 = 0 then 0 else 4 end as validity from roas", "roas")),
@@ -136,7 +137,7 @@ QUERIES = {
     "blacklist_cidr": _q(lambda s, d: flat(tx.extract_blacklist(_black(s, d), "cidr", "list")).select("net", "len", "source"), oracle("select distinct net, len, 'list' as source from roas", "roas")),
     "blacklist_multi": _q(lambda s, d: flat(tx.extract_blacklist(_black(s, d), "multi", "list")), oracle("select distinct asn, net, len, 'list' as source from roas", "roas")),
     "blacklist_ip": _q(lambda s, d: flat(tx.extract_blacklist(load(s, d, "roas").select(F.concat(F.lit("host "), F.split_part(_text(F.col("prefix")), F.lit("/"), F.lit(1)), F.lit(" and 1.2.3.0/24")).alias("value")), "ip", "list")).select("net", "len", "source"), oracle("select distinct net, 32 as len, 'list' as source from roas", "roas")),
-    "all_blacklists": _q(lambda s, d: flat(tx.extract_blacklist(_black(s, d), "asn", "one").unionByName(tx.extract_blacklist(_black(s, d), "multi", "two"))), oracle("select asn, cast(null as bigint) as net, cast(null as int) as len, 'one' as source from (select asn from roas union select 1) a union all select distinct asn, net, len, 'two' from roas", "roas")),
+    "all_blacklists": _q(lambda s, d: flat(union_all(tx.extract_blacklist(_black(s, d), "asn", "one"), tx.extract_blacklist(_black(s, d), "multi", "two"))), oracle("select asn, cast(null as bigint) as net, cast(null as int) as len, 'one' as source from (select asn from roas union select 1) a union all select distinct asn, net, len, 'two' from roas", "roas")),
     "serial_hijackers": _q(lambda s, d: tx.parse_serial_hijackers(load(s, d, "as_rank").select(F.col("asn").alias("ASN"), (F.col("asn") % 3).alias("HardVotePred"))), oracle("select asn from as_rank where asn % 3 = 1", "as_rank")),
     "parse_cdn_lines": _q(lambda s, d: tx.parse_cdn_lines(load(s, d, "as_rank").select(F.concat(F.lit('"'), F.col("asn"), F.lit('","NAME, Inc., US"')).alias("value"), F.lit("cdn").alias("cdn"))), oracle("select 'cdn' as cdn, asn from as_rank", "as_rank")),
     "parse_probes": _q(lambda s, d: flat(tx.parse_probes(_probes(s, d))), "select c_custkey as probe_id, c_custkey % 50 as asn, 'US' as country, true as connected, (10 * 256 + c_custkey % 250) * 65536 as net, 16 as len, c_custkey % 2 = 0 as public, null::varchar as address_v4, false as anchor from customer where c_custkey % 3 = 0"),

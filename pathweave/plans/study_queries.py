@@ -174,7 +174,7 @@ def _q(run, sql=None):
 
 
 QUERIES = {
-    "active_hijacks": _q(lambda s, d: flat(wi.active_hijacks(load(s, d, "hijack_events"), F.lit(100000), F.lit(20000 + 80000))), oracle("select net, len, event_number, start_time, end_time, origin, url from hijack_events where start_time <= 100000 and (end_time is null or end_time >= 100000)", "hijack_events").replace("start_time <= 100000 and (end_time is null or end_time >= 100000)", "start_time <= 100000 and (end_time is null or end_time >= 100000)")),
+    "active_hijacks": _q(lambda s, d: flat(wi.active_hijacks(load(s, d, "hijack_events"), F.lit(20000), F.lit(100000))), oracle("select net, len, event_number, start_time, end_time, origin, url from hijack_events where start_time <= 100000 and (end_time is null or end_time >= 20000)", "hijack_events")),
     **{f"hijacked_invalid_{p}": _q(lambda s, d, p=p: flat(wi.hijacked_invalid(_pairs(s, d), _validity(s, d), _hijacks(s, d), p)), oracle(_HIJ[p], "validity", "hijacks")) for p in _CODES},
     **{f"not_hijacked_invalid_{p}": _q(lambda s, d, p=p: flat(wi.not_hijacked_invalid(_pairs(s, d), _validity(s, d), _hijacks(s, d), p)), oracle(_NOT[p], "validity", "hijacks")) for p in _CODES},
     **{f"alternative_pairs_{p}": _q(lambda s, d, p=p: flat(_alternatives(s, d, p)), oracle(_ALT_SQL, "validity", extra=_ALT[p])) for p in _CODES},

@@ -87,13 +87,14 @@ def read_roas_json(spark: SparkSession, path: str, created_at: int) -> DataFrame
 
 
 def parse_historical_roas(df: DataFrame) -> DataFrame:
-    """Lines ``uri,AS..,prefix,maxlen,notbefore,notafter`` with ``file``, whose path holds the day as ``yyyy/mm/dd``."""
+    """Lines ``uri,AS..,prefix,maxlen,notbefore,notafter`` with ``file``, whose path holds the day as ``yyyy/mm/dd``. Times and days that
+    are empty or none are null."""
     f = F.split("value", ",", -1)
-    day = lambda g: F.regexp_extract("file", "([0-9]{4})/([0-9]{2})/([0-9]{2})", g).try_cast("int")
+    day = F.translate(F.regexp_extract("file", "([0-9]{4}/[0-9]{2}/[0-9]{2})", 1), "/", "-").try_cast("date")
     rows = df.where((F.size(f) >= 6) & f[1].rlike("^AS[0-9]+$"))
     return rows.select(
         digits(f[1]).alias("asn"), px.parse(f[2]).alias("prefix"), F.coalesce(f[3].try_cast("short"), px.parse(f[2])["len"].cast("short")).alias("maxlen"),
-        F.to_timestamp_ntz(f[4], F.lit("yyyy-MM-dd HH:mm:ss")).alias("notbefore"), F.to_timestamp_ntz(f[5], F.lit("yyyy-MM-dd HH:mm:ss")).alias("notafter"), F.make_date(day(1), day(2), day(3)).alias("date_added"),
+        F.trim(f[4]).try_cast("timestamp_ntz").alias("notbefore"), F.trim(f[5]).try_cast("timestamp_ntz").alias("notafter"), day.alias("date_added"),
     ).where("prefix is not null")
 
 

@@ -208,6 +208,9 @@ def test_text_readers(spark, tmp_path):
     (day / "roas.csv").write_text("URI,ASN,IP Prefix,Max Length,Not Before,Not After\nuri,AS64509,203.0.112.0/22,24,2015-02-03 04:05:06,2016-02-03 04:05:06\n")
     (row,) = text.read_historical_roas(spark, f"{tmp_path}/*/*/*/roas.csv").collect()
     assert (row.asn, row.maxlen, str(row.date_added), str(row.notbefore)) == (64509, 24, "2019-08-01", "2015-02-03 04:05:06")
+    odd = [("u,AS1,10.0.0.0/8,x,,2015-13-45 00:00:00", "/no/day/roas.csv"), ("u,AS2,10.0.0.0/8,9,2015-02-03 04:05:06,", "/2019/13/45/roas.csv"), ("u,AS3", "/"), (None, None)]
+    rows = text.parse_historical_roas(spark.createDataFrame(odd, "value string, file string")).orderBy("asn").collect()
+    assert [(r.asn, r.maxlen, r.notbefore is None, r.notafter, r.date_added) for r in rows] == [(1, 8, True, None, None), (2, 9, False, None, None)]
     roas = tmp_path / "roas.json"
     roas.write_text('{"roas": [{"asn": "AS5", "prefix": "10.0.0.0/8", "maxLength": 9, "ta": "x"}]}')
     (row,) = text.read_roas_json(spark, str(roas), 77).collect()

@@ -21,11 +21,12 @@ def listed_events(pages: DataFrame, key: list[str], html: str = "html", drop_las
     The last ``drop_last`` rows of a page are left out, as are rows without six cells, a start or a numbered url.
     """
     rows = table_rows(pages, key, html).where((F.col("nth") < F.col("n_rows") - drop_last) & (F.size("cells") >= 6))
-    text = lambda n: F.nullif(F.array_join(F.col("cells")[n]["strings"], " "), F.lit(""))
+    cell = lambda n: F.get("cells", F.lit(n))
+    text = lambda n: F.nullif(F.array_join(cell(n)["strings"], " "), F.lit(""))
     time = lambda n: F.try_to_timestamp(F.concat(text(n), F.lit("+00:00")), F.lit("yyyy-MM-dd HH:mm:ssXXX"))
-    url = F.get(F.col("cells")[5]["links"], F.lit(0))
+    url = F.get(cell(5)["links"], F.lit(0))
     events = rows.select(
-        *key, text(0).alias("event_type"), text(1).alias("country"), F.col("cells")[2]["strings"].alias("as_info"),
+        *key, text(0).alias("event_type"), text(1).alias("country"), cell(2)["strings"].alias("as_info"),
         time(3).alias("start_time"), time(4).alias("end_time"), url.alias("url"), F.regexp_extract(url, "([0-9]+)/?$", 1).try_cast("long").alias("event_number"),
     )
     return events.where("start_time is not null and event_number is not null")

@@ -13,6 +13,11 @@ from pathweave.functions import prefix as px
 from pathweave.functions.scalars import digits, parse_as_info, validity_code
 
 
+def _nth(fields: Column, n: int) -> Column:
+    """A field, or null where a line has fewer: conditions may be evaluated in any order, so none guards an index."""
+    return F.get(fields, F.lit(n))
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
@@ -31,7 +36,7 @@ def parse_rib_lines(df: DataFrame) -> DataFrame:
     """``TYPE|PREFIX|AS_PATH|...|TIMESTAMP|...`` with 11 fields; types ``= + -``; lines with AS sets drop out."""
     f = F.split("value", "[|]", -1)
     rows = df.where(F.col("value").rlike("^[=+-][|]") & ~F.contains("value", F.lit("{")) & (F.size(f) >= 10))
-    return _announcement(rows, f[1], f[2], f[9]).select("prefix", "as_path", "origin", "time")
+    return _announcement(rows, _nth(f, 1), _nth(f, 2), _nth(f, 9)).select("prefix", "as_path", "origin", "time")
 
 
 def read_rib_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -42,7 +47,7 @@ def parse_dump_lines(df: DataFrame) -> DataFrame:
     """``FORMAT|TIME|KIND|PEER|PEER_AS|PREFIX|AS_PATH|...``; lines with AS sets drop out."""
     f = F.split("value", "[|]", -1)
     rows = df.where(~F.contains("value", F.lit("{")) & (F.size(f) >= 7))
-    return _announcement(rows, f[5], f[6], f[1]).select("prefix", "as_path", "origin", "time")
+    return _announcement(rows, _nth(f, 5), _nth(f, 6), _nth(f, 1)).select("prefix", "as_path", "origin", "time")
 
 
 def read_dump_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -53,7 +58,7 @@ def parse_update_lines(df: DataFrame, start: int, end: int) -> DataFrame:
     """RIB lines with their type and the interval that they were taken in."""
     f = F.split("value", "[|]", -1)
     rows = df.where(F.col("value").rlike("^[=+-][|]") & ~F.contains("value", F.lit("{")) & (F.size(f) >= 10))
-    out = _announcement(rows, f[1], f[2], f[9], f[0].alias("update_type"))
+    out = _announcement(rows, _nth(f, 1), _nth(f, 2), _nth(f, 9), _nth(f, 0).alias("update_type"))
     return out.withColumns({"interval_start": F.lit(start).cast("long"), "interval_end": F.lit(end).cast("long")}).select("interval_end", "interval_start", "time", "origin", "prefix", "as_path", "update_type")
 
 
@@ -64,7 +69,7 @@ def read_update_lines(spark: SparkSession, path: str, start: int, end: int) -> D
 def parse_relationships(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``a|b|-1`` are providers and customers, ``a|b|0`` peers; lines with ``#`` are comments."""
     f = F.split("value", "[|]")
-    rows = df.where(~F.startswith(F.col("value"), F.lit("#"))).select(f[0].try_cast("long").alias("a"), f[1].try_cast("long").alias("b"), F.get(f, F.lit(2)).alias("kind")).where("a is not null and b is not null")
+    rows = df.where(~F.startswith(F.col("value"), F.lit("#"))).select(_nth(f, 0).try_cast("long").alias("a"), _nth(f, 1).try_cast("long").alias("b"), F.get(f, F.lit(2)).alias("kind")).where("a is not null and b is not null")
     pc = rows.where("kind = '-1'").select(F.col("a").alias("provider_as"), F.col("b").alias("customer_as"))
     return pc, rows.where("kind = '0'").select(F.col("a").alias("peer_as_1"), F.col("b").alias("peer_as_2"))
 
@@ -91,10 +96,10 @@ def parse_historical_roas(df: DataFrame) -> DataFrame:
     are empty or none are null."""
     f = F.split("value", ",", -1)
     day = F.translate(F.regexp_extract("file", "([0-9]{4}/[0-9]{2}/[0-9]{2})", 1), "/", "-").try_cast("date")
-    rows = df.where((F.size(f) >= 6) & f[1].rlike("^AS[0-9]+$"))
+    rows = df.where((F.size(f) >= 6) & _nth(f, 1).rlike("^AS[0-9]+$"))
     return rows.select(
-        digits(f[1]).alias("asn"), px.parse(f[2]).alias("prefix"), F.coalesce(f[3].try_cast("short"), px.parse(f[2])["len"].cast("short")).alias("maxlen"),
-        F.trim(f[4]).try_cast("timestamp_ntz").alias("notbefore"), F.trim(f[5]).try_cast("timestamp_ntz").alias("notafter"), day.alias("date_added"),
+        digits(_nth(f, 1)).alias("asn"), px.parse(_nth(f, 2)).alias("prefix"), F.coalesce(_nth(f, 3).try_cast("short"), px.parse(_nth(f, 2))["len"].cast("short")).alias("maxlen"),
+        F.trim(_nth(f, 4)).try_cast("timestamp_ntz").alias("notbefore"), F.trim(_nth(f, 5)).try_cast("timestamp_ntz").alias("notafter"), day.alias("date_added"),
     ).where("prefix is not null")
 
 
@@ -126,10 +131,10 @@ def extract_rank_rows(pages: DataFrame, html: str = "html") -> DataFrame:
     """AS-rank table rows of five cells; the country comes from a flag class, an unknown organisation is null."""
     c = F.col("cells")
     rows = table_rows(pages, html).where(F.size("cells") == 5)
-    organization = F.when(F.lower(inner_text(c[2])) != "unknown", F.nullif(inner_text(c[2]), F.lit("")))
-    country = F.upper(F.nullif(F.regexp_extract(c[3], "flag-icon-([a-z]{2})", 1), F.lit("")))
+    organization = F.when(F.lower(inner_text(_nth(c, 2))) != "unknown", F.nullif(inner_text(_nth(c, 2)), F.lit("")))
+    country = F.upper(F.nullif(F.regexp_extract(_nth(c, 3), "flag-icon-([a-z]{2})", 1), F.lit("")))
     return rows.select(
-        digits(inner_text(c[0])).alias("as_rank"), digits(inner_text(c[1])).alias("asn"), organization.alias("organization"), country.alias("country"), digits(F.translate(inner_text(c[4]), ",", "")).cast("int").alias("cone_size")
+        digits(inner_text(_nth(c, 0))).alias("as_rank"), digits(inner_text(_nth(c, 1))).alias("asn"), organization.alias("organization"), country.alias("country"), digits(F.translate(inner_text(_nth(c, 4)), ",", "")).cast("int").alias("cone_size")
     ).where("asn is not null")
 
 
@@ -159,10 +164,10 @@ def extract_event_rows(pages: DataFrame, html: str = "html", drop_last: int = 10
     last = rows.groupBy(F.xxhash64(html).alias("_p")).agg(F.max("nth").alias("_last"))
     kept = rows.withColumn("_p", F.xxhash64(html)).join(last, "_p").where(F.col("nth") <= F.col("_last") - drop_last).where(F.size("cells") >= 6)
     time = lambda x: F.try_to_timestamp(F.concat(F.nullif(inner_text(x), F.lit("")), F.lit("+00:00")), F.lit("yyyy-MM-dd HH:mm:ssXXX"))
-    url = F.regexp_extract(c[5], r'href="([^"]+)"', 1)
+    url = F.regexp_extract(_nth(c, 5), r'href="([^"]+)"', 1)
     return kept.select(
-        inner_text(c[0]).alias("event_type"), F.nullif(F.regexp_extract(inner_text(c[1]), r"\b([A-Z]{2})\b", 1), F.lit("")).alias("country"), inner_text(c[2]).alias("as_info"),
-        time(c[3]).alias("start_time"), time(c[4]).alias("end_time"), F.nullif(url, F.lit("")).alias("url"), digits(url).cast("int").alias("event_number"), "cells",
+        inner_text(_nth(c, 0)).alias("event_type"), F.nullif(F.regexp_extract(inner_text(_nth(c, 1)), r"\b([A-Z]{2})\b", 1), F.lit("")).alias("country"), inner_text(_nth(c, 2)).alias("as_info"),
+        time(_nth(c, 3)).alias("start_time"), time(_nth(c, 4)).alias("end_time"), F.nullif(url, F.lit("")).alias("url"), digits(url).cast("int").alias("event_number"), "cells",
     )
 
 
@@ -248,7 +253,7 @@ def parse_probes(df: DataFrame) -> DataFrame:
     f = F.transform(F.split("value", "\t"), lambda x: F.when(F.trim(x) != "None", F.nullif(F.trim(x), F.lit(""))))
     mark = lambda x: F.when(x == "✓", True).when(x == "✗", False)
     rows = df.where(F.size(f) >= 8).select(
-        f[0].try_cast("long").alias("probe_id"), digits(f[1]).alias("asn"), f[2].alias("country"), (f[3] == "Connected").alias("connected"), px.parse(f[4]).alias("prefix"), mark(f[5]).alias("public"), f[6].alias("address_v4"), mark(f[7]).alias("anchor")
+        _nth(f, 0).try_cast("long").alias("probe_id"), digits(_nth(f, 1)).alias("asn"), _nth(f, 2).alias("country"), (_nth(f, 3) == "Connected").alias("connected"), px.parse(_nth(f, 4)).alias("prefix"), mark(_nth(f, 5)).alias("public"), _nth(f, 6).alias("address_v4"), mark(_nth(f, 7)).alias("anchor")
     )
     return rows.where("connected and probe_id is not null")
 

@@ -217,6 +217,14 @@ def test_text_readers(spark, tmp_path):
     assert (row.asn, row.max_length, row.created_at) == (5, 9, 77)
 
 
+def test_readers_pass_over_lines_that_are_too_short(spark):
+    junk = ["", "|", "a", None, "=|10.0.0.0/8", "TABLE_DUMP2|1", "1|", "#", "\t", "1\tAS2", '"', "\ufffd|\x00"]
+    df = spark.createDataFrame([(j, f"/2019/08/01/{i}", "cdn") for i, j in enumerate(junk)], "value string, file string, cdn string")
+    for parse in (text.parse_rib_lines, text.parse_dump_lines, lambda d: text.parse_update_lines(d, 0, 900), lambda d: text.parse_relationships(d)[0], lambda d: text.parse_relationships(d)[1], text.parse_historical_roas, text.parse_probes, text.parse_validity_json, lambda d: text.parse_roas_json(d, 1), lambda d: text.extract_rank_rows(d, "value"), lambda d: text.extract_event_rows(d, "value")):
+        assert parse(df).count() == 0
+    assert text.parse_cdn_lines(df).count() >= 0
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
     sinks.write_table(df, f"{tmp_path}/t", "overwrite")

@@ -11,6 +11,7 @@ pass their checks always stay; the classifier adds other candidates that it is s
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -62,20 +63,86 @@ YES, NO, NONE = 1, 0, -1
 SURE = 0.95
 
 
+#: Spans that are folded over at once. Folds append to an array, which costs its square; so they run inside pieces of this size.
+PIECE = 256
+#: Code points before a span that labelers see.
+BEFORE = 30
+SPAN = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value found once a row, also where ``use`` names it inside other lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def pieces(items: Column) -> Column:
+    """An array cut into arrays of ``PIECE`` items."""
+    numbers = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.floor((F.size(items) - 1) / PIECE).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.transform(numbers, lambda i: F.slice(items, i * PIECE + 1, F.lit(PIECE)))
+
+
+def pieces_of(items: Column) -> Column:
+    return let(items, pieces)
+
+
+def _end_of(text: Column) -> Column:
+    return F.substring(text, -BEFORE, BEFORE)
+
+
 def match_spans(text: Column, pattern: str, guard: Column) -> Column:
-    """All matches, leftmost and apart, as structs of start, end (code points, end exclusive) and the matched text."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(F.length(g).alias("gap"), F.length(m).alias("len"), m.alias("match")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)").alias("out"))
+    """All matches, leftmost and apart, as structs of start, end (code points, end exclusive), the matched text, and what stands before and after it.
+
+    Offsets are sums of the lengths of gaps and matches: inside pieces of the list of matches, and over the pieces. Nothing is cut
+    from the whole text, so the work grows with the text and not with the square of its matches.
+    """
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+
+    def after(m: Column, g: Column) -> Column:
+        """The code point behind each match: the first one of the next gap, or of the next match where that is empty."""
+        return F.zip_with(F.slice(g, F.lit(2), F.size(m)), F.slice(m, F.lit(2), F.size(m)), lambda gap, match: F.substring(F.concat(gap, F.coalesce(match, F.lit(""))), 1, 1))
+
+    def measured(m: Column, g: Column) -> Column:
+        sized = F.zip_with(m, F.slice(g, F.lit(1), F.size(m)), lambda match, gap: F.struct(F.length(gap).alias("gap"), F.length(match).alias("len"), match.alias("match"), _end_of(gap).alias("end_of_gap")))
+        return F.zip_with(sized, after(m, g), lambda x, c: x.withField("after", c))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + x["len"]
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["match"].alias("match")))).alias("out"))
+    state = lambda at, tail: F.struct(at.alias("at"), tail.alias("tail"))
+    nothing = state(F.lit(0), F.lit(""))
+    passed = lambda acc, x: state(acc["at"] + x["gap"] + x["len"], _end_of(F.concat(acc["tail"], x["end_of_gap"], _end_of(x["match"]))))
 
-    none = F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)")
-    return F.when(guard, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(none)
+    def begins(parts: Column) -> Column:
+        """Where each piece begins, and what stands before it."""
+        totals = F.transform(parts, lambda part: F.aggregate(part, nothing, passed))
+        first = F.struct(nothing.alias("now"), F.expr("cast(array() as array<struct<at:int,tail:string>>)").alias("out"))
+
+        def step(acc: Column, total: Column) -> Column:
+            now = state(acc["now"]["at"] + total["at"], _end_of(F.concat(acc["now"]["tail"], total["tail"])))
+            return F.struct(now.alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out"))
+
+        return F.aggregate(totals, first, step, lambda acc: acc["out"])
+
+    def placed(part: Column, begin: Column) -> Column:
+        first = F.struct(begin.alias("now"), F.expr(f"cast(array() as {SPAN})").alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["now"]["at"] + x["gap"]
+            span = F.struct(start.alias("start"), (start + x["len"]).alias("end"), x["match"].alias("match"), _end_of(F.concat(acc["now"]["tail"], x["end_of_gap"])).alias("before"), x["after"].alias("after"))
+            return F.struct(passed(acc["now"], x).alias("now"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+        return F.aggregate(part, first, step, lambda acc: acc["out"])
+
+    spans = let(found, lambda m: let(gaps, lambda g: let(pieces_of(measured(m, g)), lambda parts: F.flatten(F.zip_with(parts, begins(parts), placed)))))
+    return F.when(guard, spans).otherwise(F.expr(f"cast(array() as {SPAN})"))
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """Spans that overlap none of ``others``; both in order. A piece of spans looks only at the others that reach into it."""
+
+    def kept(part: Column) -> Column:
+        low, high = F.get(part, F.lit(0))["start"], F.element_at(part, -1)["end"]
+        near = F.filter(others, lambda o: (o["start"] < high) & (low < o["end"]))
+        return let(near, lambda ns: F.filter(part, lambda s: ~F.exists(ns, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))))
+
+    return F.flatten(F.transform(pieces_of(spans), kept))
 
 
 def digits(c: Column) -> Column:
@@ -107,11 +174,11 @@ def passes(kind: str, match: Column) -> Column:
     return F.length(digits(match)).between(9, 15)
 
 
-def _votes(kind: str, text: Column, span: Column, strict: Column) -> list[Column]:
+def _votes(kind: str, span: Column, strict: Column) -> list[Column]:
     vote = lambda yes, no=None: F.when(yes, YES).when(F.lit(True) if no is None else no, NO).otherwise(NONE)
     match = span["match"]
-    before = F.substring(text, F.greatest(span["start"] - 29, F.lit(1)), F.least(span["start"], F.lit(30)))
-    edge = F.concat(F.substring(text, F.greatest(span["start"], F.lit(1)), F.least(span["start"], F.lit(1))), F.substring(text, span["end"] + 1, F.lit(1)))
+    before = span["before"]
+    edge = F.concat(F.substring(before, -1, 1), span["after"])
     gazetteer = {
         "email": vote(F.lower(F.regexp_extract(match, r"([A-Za-z0-9-]+)$", 1)).isin(*TOP_LEVEL)),
         "ip": vote(F.regexp_extract(match, r"^([0-9]+)", 1).rlike(r"^(?:[1-9][0-9]?|1[0-9][0-9]|2[01][0-9]|22[0-3])$")),
@@ -147,7 +214,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...
         def one(span: Column) -> Column:
             ok = passes(kind, span["match"]) if base else F.lit(False)
             strict = F.when(ok, YES).otherwise(NO) if base else F.lit(NONE)
-            votes = _votes(kind, F.col("text"), span, strict)
+            votes = _votes(kind, span, strict)
             number = digits(span["match"])
             check = luhn(number).cast("byte") if kind == "card" else F.lit(-1).cast("byte")
             return F.struct(
@@ -156,7 +223,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...
 
         spans = F.col(column)
         if not base:  # a loose match that a base match overlaps is no candidate of its own
-            spans = F.filter(spans, lambda s: ~F.exists(F.col(f"{kind}_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+            spans = apart(spans, F.col(f"{kind}_base"))
         return F.transform(spans, one)
 
     both = {k: F.concat(voted(k, f"{k}_base", True), voted(k, f"{k}_loose", False)) if k in LOOSE else voted(k, f"{k}_base", True) for k in KINDS}
@@ -271,13 +338,23 @@ def masked(text: Column) -> Column:
     def marks(kind: str) -> Column:
         return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.lit(f"[{kind.upper()}]").alias("mark")))
 
-    tagged = F.concat(*[marks(k) for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    tagged = F.array_sort(F.concat(*[marks(k) for k in KINDS]))
+    first = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+
+    def piece(acc: Column, part: Column) -> Column:
+        """A piece's marks and the text before each, cut from the part of the text that it spans."""
+        low, high = acc["at"], F.array_max(F.transform(part, lambda s: -s["back"]))
+        begin = F.struct(low.alias("at"), F.lit("").alias("out"))
+
+        def over(span_text: Column) -> Column:
+            def step(now: Column, s: Column) -> Column:
+                ahead = s["start"] >= now["at"]
+                more = F.concat(now["out"], F.substring(span_text, now["at"] - low + 1, s["start"] - now["at"]), s["mark"])
+                return F.struct(F.when(ahead, -s["back"]).otherwise(now["at"]).alias("at"), F.when(ahead, more).otherwise(now["out"]).alias("out"))
+
+            return F.aggregate(part, begin, step)
 
-    def step(acc: Column, s: Column) -> Column:
-        ahead = s["start"] >= acc["at"]
-        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["mark"])
-        return F.struct(F.when(ahead, -s["back"]).otherwise(acc["at"]).alias("at"), F.when(ahead, piece).otherwise(acc["out"]).alias("out"))
+        return let(let(F.substring(text, low + 1, F.greatest(high - low, F.lit(0))), over), lambda done: F.struct(done["at"].alias("at"), F.concat(acc["out"], F.array(done["out"])).alias("out")))
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(tagged) > 0, F.aggregate(F.array_sort(tagged), start, step, rest)).otherwise(text)
+    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+    return F.when(F.size(tagged) > 0, F.aggregate(pieces_of(tagged), first, piece, rest)).otherwise(text)

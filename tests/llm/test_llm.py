@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -127,6 +128,21 @@ def test_embedding_links(spark, vectors, part_rows):
     assert embedding_dedup.near_duplicates(vectors.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_have_their_own_vectors(spark):
+    rng = np.random.default_rng(2)
+    a, b, d = rng.standard_normal((3, 16)).tolist()
+    c = (np.array(a) + 0.02 * rng.standard_normal(16)).tolist()
+    rows = [(1, a, 0), (1, b, 0), (2, c, 0), (2, c, 0), (1, b, 1), (5, b, 1), (5, None, 0)] + [(7, d, 0)] * 1200
+    found = Counter(tuple(r) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    assert found == {(1, 2, 1, True): 1, (1, 0, 1, True): 1, (2, 2, 1, False): 2, (1, 1, 1, True): 1, (5, 1, 1, False): 1, (5, 0, 5, True): 1, (7, 1199, 7, True): 1200}
+
+
+def test_queries_that_share_an_id(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (20, [9.0, 0.0]), (20, [0.0, 9.0]), (20, [0.0, 9.0])], "vec_id long, embedding array<float>")
+    found = topk.exact_top_k(vectors, vectors.where("vec_id = 20").repartition(3), 2, 1.0).collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(found, key=lambda r: r.rank)] == [(20, 1, 2, 9), (20, 2, 1, 0)]
+
+
 def test_filters_recall_at_the_threshold():
     rng, code = np.random.default_rng(5), embedding_dedup.ProductCode(64)
     x = rng.standard_normal((600, 64))
@@ -459,6 +475,60 @@ def test_personal_data(spark, docs, empty):
     assert personal_data.summary(personal_data.find_spans(empty)).count() == 0
 
 
+def test_spans_of_long_lists(spark):
+    """Offsets and surroundings across the pieces in which spans are folded."""
+    rng = np.random.default_rng(3)
+    gaps = ["", "a", "Ünï ", "x y z ", "a gap of more than thirty code points 😀 for sure ", "\n"]
+    made = ["".join(gaps[rng.integers(6)] + ["12", "7", "999"][rng.integers(3)] for _ in range(n)) for n in (0, 1, 2, 255, 256, 257, 513, 1200)]
+    rows = list(enumerate([*made, "é12", "12é", "12 34 ", None]))
+    text = F.coalesce("t", F.lit(""))
+    for r in spark.createDataFrame(rows, "i int, t string").select("t", personal_data.match_spans(text, "[0-9]+", F.lit(True)).alias("m")).collect():
+        t = r.t or ""
+        assert [tuple(x) for x in r.m] == [(m.start(), m.end(), m.group(), t[max(0, m.start() - 30) : m.start()], t[m.end() : m.end() + 1]) for m in re.finditer("[0-9]+", t)]
+
+
+def test_spans_apart_and_masked_in_pieces(spark):
+    rng = np.random.default_rng(4)
+
+    def spans(n, room=5):
+        at, out = 0, []
+        for _ in range(n):
+            start = at + int(rng.integers(0, room))
+            at = start + int(rng.integers(1, 6))
+            out.append((start, at))
+        return out
+
+    pairs = [(spans(a), spans(b)) for a in (0, 3, 300, 700) for b in (0, 3, 300, 700)]
+    kind = "array<struct<start:int,end:int>>"
+    for r in spark.createDataFrame(pairs, f"a {kind}, b {kind}").select("a", "b", personal_data.apart(F.col("a"), F.col("b")).alias("o")).collect():
+        assert [tuple(x) for x in r.o] == [tuple(x) for x in r.a if not any(y.start < x.end and x.start < y.end for y in r.b)]
+
+    text = "".join(chr(int(c)) for c in rng.choice([97, 98, 228, 128512, 32], 9000))
+    rows = [(text, *[spans(n, 20) for n in counts]) for counts in ((300, 300, 3, 200), (0, 0, 0, 0), (0, 700, 0, 0), (1, 0, 1, 0))]
+    schema = "text string, " + ", ".join(f"{k} {kind}" for k in personal_data.KINDS)
+    for r in spark.createDataFrame(rows, schema).select("*", personal_data.masked(F.col("text")).alias("masked")).collect():
+        at, out = 0, ""
+        for start, back, mark in sorted((s.start, -s.end, f"[{k.upper()}]") for k in personal_data.KINDS for s in r[k]):
+            if start >= at:
+                at, out = -back, out + r.text[at:start] + mark
+        assert r.masked == out + r.text[at:]
+
+
+def test_time_grows_with_the_spans_of_a_text(spark):
+    def seconds(n):
+        line = "mail user{0}@host{0}.com from 10.0.{1}.{1} call +49 30 {0}  or user{0} at host dot com"
+        frame = spark.createDataFrame([(1, "\n".join(line.format(10_000 + i, i % 250) for i in range(n)))], "doc_id long, text string")
+        began = time.time()
+        found = personal_data.find_spans(frame, keep=("text",))
+        (row,) = found.select(*[F.size(k).alias(k) for k in personal_data.KINDS], personal_data.masked(F.col("row.text")).alias("masked")).collect()
+        assert (row.ip, row.phone) == (n, n) and row.email >= n and row.masked.count("[IP]") == n
+        return time.time() - began
+
+    seconds(50)
+    small, large = seconds(1500), seconds(12_000)  # 36,000 base spans and 12,000 loose ones in a megabyte
+    assert large < 8 * max(small, 1.0) * 2.5
+
+
 def test_votes_tell_obfuscated_spans():
     counts = [("email", (1, 1, -1, 1, 1), 200), ("email", (-1, 1, 1, 1, 1), 9), ("card", (0, 0, -1, 1, 0), 300), ("card", (1, 1, -1, 1, 1), 150), ("email", (-1, 0, 0, 0, 0), 40)]
     belief = personal_data.reliabilities(counts)

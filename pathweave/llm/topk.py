@@ -141,11 +141,11 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: floa
     Components become floor(scale * x). Ties go to the smaller id; all rows are returned where fewer than ``k`` exist. Rows
     with the query's own id are no candidates. Vectors that are null or hold null or non-finite components, and rows with a
     null id take no part, as query or as candidate; empty and shorter vectors count as filled with 0. A repeated row
-    is a candidate each time; a repeated query is answered once. Empty tables give an empty result; other columns are
+    is a candidate each time; a repeated query is answered once, and of queries with one id that with the least vector. Empty tables give an empty result; other columns are
     not read.
     """
     rows = vectors.where(usable(vector_col)).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")).where("vec_id is not null")
-    asked = queries.where(usable(vector_col)).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")).where("vec_id is not null").dropDuplicates(["vec_id"])
+    asked = queries.where(usable(vector_col)).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")).where("vec_id is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     n, dims = rows.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     m, query_dims = asked.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     dims = max(dims or 1, query_dims or 1)

@@ -206,7 +206,9 @@ QUERIES = {
     "relationships_of": _q(lambda s, d: wi.relationships_of(*_pc(s, d), load(s, d, "as_rank").where("asn % 9 = 0").select("asn"), tp.stub_parents(*_pc(s, d))), oracle(f"select distinct asn, neighbour, kind from ({_NEIGH}) n where asn in (select coalesce(parent_asn, r.asn) from as_rank r left join stubs on r.asn = stub_asn where r.asn % 9 = 0)", "as_rank", "provider_customers", "peers", extra=_STUBS)),
     "roa_table": _q(lambda s, d: flat(wi.roa_table(load(s, d, "roas"))), oracle("select asn, net, len, max_length from roas", "roas")),
     "validity_table": _q(lambda s, d: flat(wi.validity_table(_validity(s, d))).withColumn("validity", F.col("validity").cast("int")), oracle("select net, len, origin, validity, case validity when 0 then 'VALID' when 1 then 'UNKNOWN' when 2 then 'INVALID_BY_LENGTH' when 3 then 'INVALID_BY_ORIGIN' else 'INVALID_BY_ALL' end as validity_name from validity", "validity")),
-    "id_policy_stats": _q(lambda s, d: (lambda n: wi.id_policy_stats(n.select(F.col("monitor_asn").alias("asn"), "ann_id"), n.where("ann_id % 2 = 0").select("ann_id"), n.where("ann_id % 2 = 1").select("ann_id"), n.select("ann_id", (F.col("ann_id") + 1).alias("extra_id"))))(_numbered(s, d)), oracle("select n.monitor_asn as asn, cast(sum(case when ann_id % 2 = 0 then 1 else 0 end) as bigint) as hijacked, cast(sum(case when ann_id % 2 = 1 then 1 else 0 end) as bigint) as not_hijacked, cast(sum(case when not exists (select 1 from num m where m.monitor_asn = n.monitor_asn and m.ann_id = n.ann_id + 1) then 1 else 0 end) as bigint) as no_alternative from num n group by n.monitor_asn", "announcements", "validity", "hijacks", extra=_NUM)),
+    "id_policy_stats": _q(
+        lambda s, d: (lambda n: wi.id_policy_stats(n.select(F.col("monitor_asn").alias("asn"), "ann_id"), n.where("ann_id % 2 = 0").select("ann_id"), n.where("ann_id % 2 = 1").select("ann_id"), wi.alternatives_by_prefix(n, n.select("ann_id"))))(_numbered(s, d)),
+        oracle("select n.monitor_asn as asn, cast(sum(case when n.ann_id % 2 = 0 then 1 else 0 end) as bigint) as hijacked, cast(sum(case when n.ann_id % 2 = 1 then 1 else 0 end) as bigint) as not_hijacked, cast(sum(case when b.ann_id is null then 1 else 0 end) as bigint) as no_alternative from num n left join (select distinct x.ann_id from near x join num m on m.ann_id = x.extra_id join num o on o.ann_id = x.ann_id where o.monitor_asn = m.monitor_asn) b on b.ann_id = n.ann_id group by n.monitor_asn", "announcements", "validity", "hijacks", extra=_NEAR)),
     "trunc2": _q(lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", trunc2(F.col("c_acctbal").cast("double") / 7).alias("v")), "select c_custkey, case when c_acctbal >= 0 then floor(c_acctbal::double / 7 * 100) else ceil(c_acctbal::double / 7 * 100) end / 100 as v from customer"),
     "array_edit_distance": _q(lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", array_edit_distance(F.split(F.col("c_name"), ""), F.split(F.reverse(F.col("c_name")), "")).alias("v")), "select c_custkey, cast(levenshtein(c_name, reverse(c_name)) as int) as v from customer"),
     # Outcomes

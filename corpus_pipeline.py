@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathweave.llm import jaccard, mixing, packing, personal_data, quality
-from pathweave.llm.cluster import join_hot, shared_folder
+from pathweave.llm.cluster import join_hot, materialize, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -61,7 +61,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     mix = mixing.drawn_mix(docs)
     mix = mix.select(*keyed(F.col("doc_id"), F.col("source"), F.col("size")), "m", "whole", "more")
     rows = docs.select(*COLUMNS, *keyed(F.col("doc_id"), F.col("source"), mixing.word_count(F.col("text"))), F.spark_partition_id().alias("part"))
-    placed = join_hot(rows, mix, keys, "m", docs.count())
+    # Three readers follow, one of which mostly finds nothing: the texts are shuffled once and stored.
+    placed = materialize(join_hot(rows, mix, keys, "m", docs.count()))
     alone = placed.where("m = 1").withColumn("copies", F.col("whole") + F.col("more"))
     # Equal rows are numbered inside each partition of the input and shifted by the counts of the partitions before.
     equal = placed.where("m > 1")

@@ -58,7 +58,7 @@ def test_percent_index_check_fails(spark):
 
 
 def _trial(spark):
-    attack = ("Subprefix_Hijack", 1, 913, [S], 310, [P], "ROV", 30, 1, 0, None, None, None, None, None)
+    attack = ("subprefix", 1, 913, [S], 310, [P], "ROV", 30, 1, 0, None, None, None, None, None)
     info = spark.createDataFrame([(1, *attack), (2, *attack)], "trial long, attack_type string, number_of_attackers long, attacker_asn long, attacker_prefixes array<string>, victim long, victim_prefixes array<string>, adopt_pol string, percent long, percent_iter long, round_num long, extra_bash_arg_1 long, extra_bash_arg_2 long, extra_bash_arg_3 long, extra_bash_arg_4 long, extra_bash_arg_5 long")
     info = info.withColumns({c: F.transform(c, px.parse) for c in ("attacker_prefixes", "victim_prefixes")})
     best = va.most_specific_per_as(_prefixed(spark, FORWARDING, "asn long, prefix string, origin long, received_from_asn long"))

@@ -17,6 +17,8 @@ from pathweave.operators import whatif as wi
 from pathweave.sources import serving
 
 POLICIES = tuple(sorted(BLOCKED))
+#: To be raised when what the served tables hold changes, so that all of them are made anew.
+VERSION = 1
 
 
 def publish(spark: SparkSession, path: str, sources: dict[str, Callable[[], DataFrame]], inputs: dict[str, list[str]]) -> list[str]:
@@ -31,7 +33,7 @@ def publish(spark: SparkSession, path: str, sources: dict[str, Callable[[], Data
     made = []
 
     def refresh(name: str, build: Callable[[], DataFrame], of: tuple[str, ...], key: str | None = None) -> None:
-        if serving.refresh(spark, at(name), build, {n: state[n] for n in of}, key):
+        if serving.refresh(spark, at(name), build, {n: state[n] for n in of} | {"version": str(VERSION)}, key):
             made.append(name)
 
     refresh("split", sources["split"], ("study",))

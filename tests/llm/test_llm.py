@@ -137,6 +137,76 @@ def test_rows_that_share_an_id_have_their_own_vectors(spark):
     assert found == {(1, 2, 1, True): 1, (1, 0, 1, True): 1, (2, 2, 1, False): 2, (1, 1, 1, True): 1, (5, 1, 1, False): 1, (5, 0, 5, True): 1, (7, 1199, 7, True): 1200}
 
 
+def linked(rows, bound=0.93):
+    """``vec_id: (n_links, component_id)`` by brute force, of (vec_id, vector, label) with different ids."""
+    ids, label = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
+    x = np.array([r[1] for r in rows], float)
+    square = (x * x).sum(axis=1)
+    close = (x @ x.T / np.sqrt(square[:, None] * square) >= bound) & (label[:, None] == label)
+    np.fill_diagonal(close, False)
+    i, j = np.nonzero(close)
+    component = dict(zip(*(z.tolist() for z in cluster.roots(ids[i], ids[j]))))
+    return {a: (n, component.get(a, a)) for a, n in zip(ids.tolist(), close.sum(axis=1).tolist())}
+
+
+def found_links(spark, rows, kind="float", **options):
+    vectors = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")
+    return {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(vectors, **options).collect()}
+
+
+def test_embedding_links_at_the_bound(spark):
+    # 93, a, b, c, d has length 100, so its cosine with the first axis is 0.93, which products of unit vectors often miss.
+    ends = [(a, b, c, d) for a in range(37) for b in range(a + 1) for c in range(b + 1) for d in range(c + 1) if a * a + b * b + c * c + d * d == 1351]
+    rows = [(2 * n + k, v, n) for n, e in enumerate(ends) for k, v in enumerate(([4.0, 0.0, 0.0, 0.0, 0.0], [93.0, *map(float, e)]))]
+    got = found_links(spark, rows)
+    assert len(ends) == 39 and got == {i: (1, i - i % 2) for i in range(len(rows))}
+    together = [(0, [4.0, 0.0, 0.0, 0.0, 0.0], 0)] + [(n, v, 0) for n, v, _ in rows if n % 2]
+    got = found_links(spark, together)
+    assert got[0] == (39, 0) and got == linked(together)
+
+
+def test_embedding_links_of_double_vectors(spark):
+    rows = [(n, v, n // 2) for n, c in enumerate((0.93 - 1e-10, 0.93 + 1e-10)) for n, v in ((2 * n, [1.0, 0.0]), (2 * n + 1, [c, (1 - c * c) ** 0.5]))]
+    assert found_links(spark, rows, "double") == {0: (0, 0), 1: (0, 1), 2: (1, 2), 3: (1, 2)}
+
+
+def test_embedding_chains_in_one_filter(spark):
+    # The middle one is linked with both others, which are not linked with each other.
+    angles = {5: 0.0, 10: 20.0, 3: 40.0, 2: 90.0, 12: 110.0, 9: 130.0}
+    assert found_links(spark, [(i, [np.cos(np.radians(a)).item(), np.sin(np.radians(a)).item()], 0) for i, a in angles.items()]) == {5: (1, 3), 10: (2, 3), 3: (1, 3), 2: (1, 2), 12: (2, 2), 9: (1, 2)}
+    close = np.zeros((40, 40), bool)
+    path = np.random.default_rng(4).permutation(40)
+    close[path[1:], path[:-1]] = close[path[:-1], path[1:]] = True
+    close[path[20], path[21]] = close[path[21], path[20]] = False
+    node, root = cluster.roots(*embedding_dedup._spanning(close, np.arange(40), np.arange(40)))
+    assert dict(zip(node.tolist(), root.tolist())) == {int(x): int(part.min()) for part in (path[:21], path[21:]) for x in part}
+
+
+@pytest.mark.parametrize("dims, part_rows", [(1, 2048), (2, 2048), (3, 20), (5, 2048), (8, 2048), (12, 20), (15, 2048), (16, 2048), (16, 12), (64, 2048), (64, 3)])
+def test_embedding_links_of_any_dimension(spark, dims, part_rows):
+    rng = np.random.default_rng(dims)
+    x = rng.standard_normal((60, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal((60, dims))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+    every = np.concatenate([x, 0.935 * x + (1 - 0.935**2) ** 0.5 * z, 0.935 * x - (1 - 0.935**2) ** 0.5 * z]) if dims > 1 else rng.uniform(-1, 1, (180, 1))
+    every = every.astype(np.float32)
+    rows = [(i, v.tolist(), n % 60 % 3 // 2) for n, (i, v) in enumerate(zip(rng.permutation(180).tolist(), every))]
+    assert found_links(spark, rows, part_rows=part_rows) == linked(rows)
+
+
+def test_filters_miss_no_pair_at_the_threshold():
+    rng, code = np.random.default_rng(9), embedding_dedup.ProductCode(64)
+    x = rng.standard_normal((6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((6000, 64))
+    y -= (y * x).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    missed = [not len(np.intersect1d(a, b)) for a, b in zip(code.decode(x), code.decode(0.93 * x + np.sqrt(1 - 0.93**2) * y))]
+    assert sum(missed) <= 1  # about 5 with lists of 24
+
+
 def test_queries_that_share_an_id(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (20, [9.0, 0.0]), (20, [0.0, 9.0]), (20, [0.0, 9.0])], "vec_id long, embedding array<float>")
     found = topk.exact_top_k(vectors, vectors.where("vec_id = 20").repartition(3), 2, 1.0).collect()

@@ -75,7 +75,7 @@ def _event_pages(s, d):
     stamp = F.date_format(F.timestamp_seconds(F.lit(1500000000) + F.col("start_time")), "yyyy-MM-dd HH:mm:ss")
     row = F.concat(F.lit("<tr>"), cell(F.lit("Possible Hijack")), cell(F.lit("US")), cell(F.concat(F.lit("Expected Origin AS: ONE (AS "), F.col("origin"), F.lit(") Detected Origin AS: TWO (AS "), F.col("origin") + 1, F.lit(")"))), cell(stamp), cell(F.lit("")), cell(F.concat(F.lit('<a href="'), F.col("url"), F.lit('">More</a>'))),
                    cell(F.concat(F.lit("Expected prefix: "), _text(F.col("prefix")))), cell(F.lit("x")), cell(F.concat(F.lit("Detected advertisement: "), _text(F.col("prefix")))), cell(F.lit("x")), cell(F.concat(F.lit("Detected AS Path "), F.col("origin"), F.lit(" 5 9"))), cell(F.concat(F.lit("Detected by number of BGPMon peers: "), F.col("origin") + 2)), F.lit("</tr>"))
-    return e.groupBy("origin").agg(F.concat(F.array_join(F.array_sort(F.collect_list(row)), ""), F.lit("<tr><td>broken</td></tr>")).alias("html"))
+    return e.groupBy("origin").agg(F.concat(F.array_join(F.sort_array(F.collect_list(row)), ""), F.lit("<tr><td>broken</td></tr>")).alias("html"))
 
 
 def _info(s, d):

@@ -117,10 +117,19 @@ def read_validity_json(spark: SparkSession, path: str) -> DataFrame:
     return parse_validity_json(lines(spark, path))
 
 
-def table_rows(pages: DataFrame, html: str = "html", row: str = "tr", cell: str = "td") -> DataFrame:
-    """Rows of HTML tables as arrays of cells: adds ``nth`` and ``cells`` (inner HTML)."""
-    found = pages.select("*", F.posexplode(F.regexp_extract_all(html, F.lit(rf"(?is)<{row}\b[^>]*>(.*?)</{row}>"), F.lit(1))).alias("nth", "_row"))
-    return found.withColumn("cells", F.regexp_extract_all("_row", F.lit(rf"(?is)<{cell}\b[^>]*>(.*?)</{cell}>"), F.lit(1))).drop("_row")
+def _inside(tag: str) -> Column:
+    """Pattern of an element: group 1 runs to the first closing tag. It takes texts and other tags as wholes and never goes back."""
+    return F.lit(rf"(?i)<{tag}\b[^>]*>((?:[^<]++|<(?!/{tag}>))*+)</{tag}>")
+
+
+def table_rows(pages: DataFrame, html: str = "html", row: str = "tr", cell: str = "td", drop_last: int = 0) -> DataFrame:
+    """Rows of HTML tables as arrays of cells: adds ``nth`` and ``cells`` (inner HTML). The last ``drop_last`` rows of a page drop out."""
+    whole = pages.withColumn("_rows", F.regexp_extract_all(html, _inside(row), F.lit(1)))
+    # Cut inside the page, so that no row needs its page to know how far from the end it is.
+    kept = F.slice("_rows", F.lit(1), F.greatest(F.size("_rows") - drop_last, F.lit(0))) if drop_last else F.col("_rows")
+    found = whole.select(*pages.columns, F.posexplode(kept).alias("nth", "_row"))
+    # An array of one element, so cells are found once a row, also where a filter looks at them.
+    return found.withColumn("cells", F.explode(F.array(F.regexp_extract_all("_row", _inside(cell), F.lit(1))))).drop("_row")
 
 
 def inner_text(html: Column) -> Column:
@@ -160,9 +169,7 @@ def read_rank_json(spark: SparkSession, asns: str, links: str) -> DataFrame:
 def extract_event_rows(pages: DataFrame, html: str = "html", drop_last: int = 10) -> DataFrame:
     """Event list rows: type, country, AS text, start, end, url and number, and all ``cells``; the last malformed rows of a page drop out."""
     c = F.col("cells")
-    rows = table_rows(pages, html)
-    last = rows.groupBy(F.xxhash64(html).alias("_p")).agg(F.max("nth").alias("_last"))
-    kept = rows.withColumn("_p", F.xxhash64(html)).join(last, "_p").where(F.col("nth") <= F.col("_last") - drop_last).where(F.size("cells") >= 6)
+    kept = table_rows(pages, html, drop_last=drop_last).where(F.size("cells") >= 6)
     time = lambda x: F.try_to_timestamp(F.concat(F.nullif(inner_text(x), F.lit("")), F.lit("+00:00")), F.lit("yyyy-MM-dd HH:mm:ssXXX"))
     url = F.regexp_extract(_nth(c, 5), r'href="([^"]+)"', 1)
     return kept.select(

@@ -225,6 +225,20 @@ def test_readers_pass_over_lines_that_are_too_short(spark):
     assert text.parse_cdn_lines(df).count() >= 0
 
 
+def test_event_rows_are_cut_inside_their_page(spark):
+    """Rows of a page of 20,000 rows carry neither their page nor a join that finds its end; equal pages keep their own rows."""
+    row = '<TR class="e"><td>Possible <b>Hijack</b></td><td>US</td><td>x < y</td><td>2019-08-01 00:00:01</td><td></td><td><a href="/event/{}">More</a></td></tr>'
+    long = "".join(row.format(i) for i in range(20000)) + "<tr><td>broken</td></tr>" * 3
+    small = row.format(7) + "<tr>" + row.format(8)
+    pages = spark.createDataFrame([(1, long), (2, small), (3, small), (4, None), (5, ""), (6, "<tr><td>1</td>")], "page int, html string")
+    found = text.extract_event_rows(pages, drop_last=3)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.agg(F.count("*"), F.countDistinct("event_number"), F.min("event_number"), F.max("event_number")).first() == (20000, 20000, 0, 19999)
+    assert sorted(r.event_number for r in text.extract_event_rows(pages.where("page > 1"), drop_last=1).collect()) == [7, 7]
+    whole = text.extract_event_rows(pages.where("page > 1"), drop_last=0).collect()
+    assert sorted((r.event_type, r.as_info, r.event_number) for r in whole) == [("Possible Hijack", "x < y", n) for n in (7, 7, 8, 8)]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
     sinks.write_table(df, f"{tmp_path}/t", "overwrite")

@@ -38,37 +38,54 @@ def truncate(prefix: Column, length: Column) -> Column:
     return make(prefix["family"], prefix["hi"], prefix["lo"], length)
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is found once a row, however often ``use`` names it: an array of one element names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _v4(text: Column) -> Column:
-    octets = F.transform(F.split(text, "[.]"), lambda o: o.try_cast("long"))
-    valid = (F.size(octets) == 4) & F.forall(octets, lambda o: o.isNotNull() & o.between(0, 255))
-    return F.when(valid, F.aggregate(octets, F.lit(0).cast("long"), lambda a, o: a * 256 + o))
+    def joined(octets: Column) -> Column:
+        o = [F.get(octets, F.lit(i)) for i in range(4)]
+        valid = (F.size(octets) == 4) & o[0].between(0, 255) & o[1].between(0, 255) & o[2].between(0, 255) & o[3].between(0, 255)
+        return F.when(valid, ((o[0] * 256 + o[1]) * 256 + o[2]) * 256 + o[3])
+
+    return _once(F.transform(F.split(text, r"\."), lambda o: o.try_cast("long")), joined)
 
 
-def _v6(text: Column) -> tuple[Column, Column]:
-    """Both halves of an IPv6 address; ``::`` stands for as many zero groups as are missing."""
-    sides = F.split(text, "::", -1)
+def _v6(text: Column) -> Column:
+    """Both halves of an IPv6 address as a struct; ``::`` stands for as many zero groups as are missing."""
     groups = lambda s: F.filter(F.split(s, ":"), lambda g: g != "")
-    left, right = groups(F.get(sides, F.lit(0))), groups(F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
-    missing = 8 - F.size(left) - F.size(right)
-    whole = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
-    ok = (F.size(sides) <= 2) & (F.size(whole) == 8) & F.forall(whole, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$"))
-    half = lambda start: F.aggregate(
-        F.slice(whole, start, 4), F.lit(0).cast("long"), lambda a, g: F.call_function("shiftleft", a, F.lit(16)).bitwiseOR(F.conv(g, 16, 10).cast("long"))
-    )
-    return F.when(ok, half(1)), F.when(ok, half(5))
+
+    def whole(sides: Column) -> Column:
+        left, right = groups(F.get(sides, F.lit(0))), groups(F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
+        missing = 8 - F.size(left) - F.size(right)
+        return F.when(F.size(sides) <= 2, F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right))
+
+    def halves(groups: Column) -> Column:
+        ok = (F.size(groups) == 8) & F.forall(groups, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$"))
+        half = lambda start: F.aggregate(
+            F.slice(groups, start, 4), F.lit(0).cast("long"), lambda a, g: F.call_function("shiftleft", a, F.lit(16)).bitwiseOR(F.conv(g, 16, 10).cast("long"))
+        )
+        return F.when(ok, F.struct(half(1).alias("hi"), half(5).alias("lo")))
+
+    return _once(_once(F.split(text, "::", -1), whole), halves)
 
 
 def parse(text: Column) -> Column:
     """Prefix of a text such as ``1.2.0.0/16`` or ``2001:db8::/32``; without a length a host route. Null if malformed."""
-    text = F.trim(text)
-    address, length_text = F.split_part(text, F.lit("/"), F.lit(1)), F.split_part(text, F.lit("/"), F.lit(2))
-    is_v6 = F.contains(address, F.lit(":"))
-    width = F.when(is_v6, 128).otherwise(32)
-    length = F.when(F.contains(text, F.lit("/")), length_text.try_cast("int")).otherwise(width)
-    hi, lo = _v6(address)
-    hi, lo = F.when(is_v6, hi).otherwise(F.lit(0).cast("long")), F.when(is_v6, lo).otherwise(_v4(address))
-    family = F.when(is_v6, 6).otherwise(4)
-    return F.when(hi.isNotNull() & lo.isNotNull() & length.between(0, width), make(family, hi, lo, length))
+
+    def parts(text: Column, address: Column) -> Column:
+        is_v6 = F.contains(address, F.lit(":"))
+        v4 = F.struct(F.lit(0).cast("long").alias("hi"), _v4(address).alias("lo"))
+        length = F.when(F.contains(text, F.lit("/")), F.split_part(text, F.lit("/"), F.lit(2)).try_cast("int")).when(is_v6, 128).otherwise(32)
+        return F.struct(F.when(is_v6, 6).otherwise(4).alias("family"), F.when(is_v6, _v6(address)).otherwise(v4).alias("bits"), length.alias("len"))
+
+    def made(p: Column) -> Column:
+        bits, width = p["bits"], F.when(p["family"] == 6, 128).otherwise(32)
+        fits = bits["hi"].isNotNull() & bits["lo"].isNotNull() & p["len"].between(0, width)
+        return F.when(fits, make(p["family"], bits["hi"], bits["lo"], p["len"]))
+
+    return _once(_once(F.trim(text), lambda t: _once(F.split_part(t, F.lit("/"), F.lit(1)), lambda address: parts(t, address))), made)
 
 
 def to_text(prefix: Column) -> Column:

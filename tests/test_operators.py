@@ -239,6 +239,20 @@ def test_event_rows_are_cut_inside_their_page(spark):
     assert sorted((r.event_type, r.as_info, r.event_number) for r in whole) == [("Possible Hijack", "x < y", n) for n in (7, 7, 8, 8)]
 
 
+def test_incident_details_of_a_large_page(spark):
+    """Each prefix text is found once a row, and a page's rows have neither the page nor a join behind them."""
+    assert str(px.parse(F.col("some_text"))).count("some_text") == 1
+    cells = "<td>Possible Hijack</td><td>US</td><td>Expected Origin AS: ONE (AS 1) Detected Origin AS: TWO (AS {0})</td><td></td><td></td><td><a href='x'>/event/{0}</a></td>"
+    detail = "<td>Expected prefix: {1}</td><td>x</td><td>Detected advertisement: {2}</td><td>x</td><td>Detected AS Path {0} 5</td><td>peers: {0}</td>"
+    given = [("1.2.0.0/16", "1.2.3.0/24"), ("2001:db8::/32", "2001:db8:1::/48"), ("999.1.1.1/8", "no prefix")]
+    page = "".join("<tr>" + (cells + detail).format(i, *given[i % 3]) + "</tr>" for i in range(9999))
+    found = text.hijack_details(text.extract_event_rows(spark.createDataFrame([(page,)], "html string"), drop_last=0))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = found.select("detected_origin_number", px.to_text(F.col("expected_prefix")).alias("a"), px.to_text(F.col("more_specific_prefix")).alias("b"), "detected_as_path", "detected_by_bgpmon_peers").collect()
+    shown = [("1.2.0.0/16", "1.2.3.0/24"), ("2001:db8:0:0:0:0:0:0/32", "2001:db8:1:0:0:0:0:0/48"), (None, None)]
+    assert sorted(map(tuple, rows)) == [(i, *shown[i % 3], [i, 5], i) for i in range(9999)]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
     sinks.write_table(df, f"{tmp_path}/t", "overwrite")

@@ -125,16 +125,18 @@ def lengths(df: DataFrame, prefix: str = "prefix") -> DataFrame:
     return df.agg(*[F.collect_set(F.when(p["family"] == f, p["len"])).alias(f"_lengths_{f}") for f in (4, 6)])
 
 
-def with_ancestors(df: DataFrame, of: DataFrame, prefix: str = "prefix", strict: bool = False, name: str = "ancestor") -> DataFrame:
-    """A row per ancestor of the lengths in ``of``, the prefix itself included unless ``strict``. Rows without one drop out.
+def with_ancestors(df: DataFrame, of: DataFrame, prefix: str = "prefix", strict: bool = False, name: str = "ancestor", outer: bool = False) -> DataFrame:
+    """A row per ancestor of the lengths in ``of``, the prefix itself included unless ``strict``. Rows without one drop out, or with ``outer`` have a null.
 
     ``of`` is the one row that ``lengths`` makes; it is found by the job that needs it, not while the plan is built.
     """
     p = F.col(prefix)
     choice = F.when(p["family"] == 4, F.col("_lengths_4")).otherwise(F.col("_lengths_6"))
     fits = (lambda n: n < p["len"]) if strict else (lambda n: n <= p["len"])
-    wide = df.crossJoin(F.broadcast(of)).withColumn("_len", F.explode(F.filter(choice, fits)))  # one row
-    return wide.withColumn(name, truncate(p, F.col("_len"))).drop("_len", "_lengths_4", "_lengths_6")
+    explode = F.explode_outer if outer else F.explode
+    wide = df.crossJoin(F.broadcast(of)).withColumn("_len", explode(F.filter(choice, fits)))  # one row
+    ancestor = truncate(p, F.col("_len"))
+    return wide.withColumn(name, F.when(F.col("_len").isNotNull(), ancestor) if outer else ancestor).drop("_len", "_lengths_4", "_lengths_6")
 
 
 def containment_join(df: DataFrame, covering: DataFrame, prefix: str = "prefix", covering_prefix: str = "prefix", strict: bool = False, how: str = "inner") -> DataFrame:

@@ -94,8 +94,22 @@ def all_validity(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def validated_pairs(announcements: DataFrame, roas: DataFrame) -> DataFrame:
-    pairs = distinct_pairs(announcements)
-    return all_validity(pairs, best_validity(known_validity(pairs, roas)))
+    """Each distinct pair with the least code that a covering ROA gives it, UNKNOWN without one or without an origin.
+
+    The code follows from three lengths: the longest that ROAs of the origin permit, that ROAs without an AS permit (they fit
+    every origin), and that any ROA permits. So ROAs meet the pairs as one row for each prefix and AS, and one for each prefix,
+    however many there are; a ROA without a length permits all.
+    """
+    permitted = F.coalesce("max_length", F.lit(2**31 - 1))
+    given = roas.where("prefix is not null").groupBy(F.col("prefix").alias("ancestor"), "asn").agg(F.max(permitted).alias("own"))
+    at_prefix = given.groupBy("ancestor").agg(F.max("own").alias("any"), F.max(F.when(F.col("asn").isNull(), F.col("own"))).alias("free"))
+    of = px.lengths(at_prefix, "ancestor")
+    above = px.with_ancestors(distinct_pairs(announcements), of, outer=True)
+    met = above.join(at_prefix, "ancestor", "left").join(given.withColumnRenamed("asn", "origin"), ["ancestor", "origin"], "left")
+    longest = met.groupBy("prefix", "origin").agg(F.max("any").alias("any"), F.max(F.greatest("own", "free")).alias("own"))
+    n = F.col("prefix.len")
+    code = F.when(F.col("any").isNull() | F.col("origin").isNull(), UNKNOWN).when(F.col("own") >= n, VALID).when(F.col("own").isNotNull(), INVALID_BY_LENGTH).when(F.col("any") >= n, INVALID_BY_ORIGIN).otherwise(INVALID_BY_ALL)
+    return longest.select("prefix", "origin", code.cast("short").alias("validity"))
 
 
 def top_level_prefixes(df: DataFrame) -> DataFrame:

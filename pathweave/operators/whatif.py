@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pathweave.functions import prefix as px
 from pathweave.functions.scalars import BLOCKED, ratio, trunc2, validity_name
+from pathweave.functions.stored import stored
 from pathweave.operators.metadata import dense_id, distinct_on
 from pathweave.operators.topology import neighbours, stubs_to_parents
 
@@ -152,13 +153,14 @@ def category_totals(split: DataFrame, inverse: DataFrame, policy: str) -> DataFr
 def policy_totals(split: DataFrame, inverse: DataFrame) -> DataFrame:
     """``category_totals`` of all three policies from one pass over the pairs, a row per AS and ``policy``.
 
-    ``split`` has one validity a pair, so the policy that blocks all invalid pairs is the sum of the other two.
+    ``split`` has one validity a pair, so the policy that blocks all invalid pairs is the sum of the other two. The labelled pairs
+    are stored, as they are counted and joined. Rows of ``inverse`` are dealt by pair before equal ones become one, for the join too.
     """
-    labelled = split.select(*PAIR, F.coalesce("blocked_by", F.lit("none")).alias("by"), "hijacked").distinct()
+    labelled = stored(split.select(*PAIR, F.coalesce("blocked_by", F.lit("none")).alias("by"), "hijacked").distinct())
     kinds = [(by, hijacked) for by in ("asn", "length", "none") for hijacked in (True, False)]
     counts = [F.count(F.when((F.col("by") == by) & (F.col("hijacked") == hijacked), 1)).alias(f"{by}_{hijacked}") for by, hijacked in kinds]
     sizes = labelled.agg(*counts).select(*[F.col(f"{by}_{hijacked}").alias(f"size_{by}_{hijacked}") for by, hijacked in kinds])
-    missed = inverse.select("asn", *PAIR).distinct().join(labelled, PAIR, "left").groupBy("asn").agg(*counts)
+    missed = inverse.select("asn", *PAIR).repartition(*PAIR).distinct().join(labelled, PAIR, "left").groupBy("asn").agg(*counts)
     held = missed.crossJoin(F.broadcast(sizes))  # one row
 
     def total(policy: str, blocked: bool, hijacked: bool) -> Column:
@@ -192,14 +194,9 @@ def policy_table(totals: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def rov_table(asn_totals: DataFrame, length_totals: DataFrame) -> DataFrame:
-    """The policy that blocks all invalid pairs, from the two that block disjoint parts of them."""
-    b = length_totals.select("asn", F.col("blocked_hijacked").alias("bh"), F.col("blocked_not_hijacked").alias("bn"))
-    both = asn_totals.join(b, "asn").select(
-        "asn", (F.col("blocked_hijacked") + F.col("bh")).alias("blocked_hijacked"), (F.col("not_blocked_hijacked") - F.col("bh")).alias("not_blocked_hijacked"),
-        (F.col("blocked_not_hijacked") + F.col("bn")).alias("blocked_not_hijacked"), (F.col("not_blocked_not_hijacked") - F.col("bn")).alias("not_blocked_not_hijacked"),
-    )
-    return policy_table(both)
+def rov_table(split: DataFrame, inverse: DataFrame) -> DataFrame:
+    """The policy that blocks all invalid pairs, which the other two block disjoint parts of: from one pass over the pairs, not from both tables."""
+    return policy_table(policy_totals(split, inverse).where("policy = 'rov'"))
 
 
 def policy_averages(table: DataFrame, policy: str) -> DataFrame:

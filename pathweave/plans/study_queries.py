@@ -57,7 +57,7 @@ def _totals(s, d, policy):
 
 def _table(s, d, policy):
     if policy == "rov":
-        return wi.rov_table(_totals(s, d, "asn"), _totals(s, d, "length"))
+        return wi.rov_table(_split(s, d), _inverse(s, d))
     return wi.policy_table(_totals(s, d, policy))
 
 

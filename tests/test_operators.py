@@ -112,6 +112,55 @@ def test_best_and_worst_validity(spark):
     assert by(va.all_validity(va.distinct_pairs(pairs), va.best_validity(codes)))[1] in (1, 2)
 
 
+def _most_rows(df):
+    """The largest number of rows that a step of the run plan gave out."""
+    plan, most, todo = df._jdf.queryExecution().executedPlan(), 0, []
+    plan.executeCollect()
+    todo.append(plan)
+    while todo:
+        node = todo.pop()
+        rows = node.metrics().get("numOutputRows")
+        most = max(most, rows.get().value() if rows.isDefined() else 0)
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+        kind = node.getClass().getSimpleName()
+        todo += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+    return most
+
+
+def test_validity_of_pairs_below_many_roas(spark):
+    """3,000 ROAs around 2,000 pairs don't meet as six million rows."""
+    pairs = spark.range(2000).select(px.make(4, 0, 0x0A000000 + F.col("id") * 256, F.lit(24)).alias("prefix"), (F.col("id") % 50).alias("origin"))
+    roas = spark.range(3000).select((F.col("id") % 40 + 5).alias("asn"), px.make(4, 0, 0x0A000000, 8 + F.col("id").cast("int") % 4).alias("prefix"), (8 + F.col("id") % 11).cast("int").alias("max_length"))
+    roas = roas.unionByName(spark.range(1).select(F.lit(49).cast("long").alias("asn"), px.make(4, 0, 0x0A000000, 9).alias("prefix"), F.lit(24).alias("max_length")))
+    found = va.validated_pairs(pairs, roas)
+    assert _most_rows(found) < 20000
+    assert {(r.origin, r.validity): r.n for r in found.groupBy("origin", "validity").agg(F.count("*").alias("n")).collect()} == {(o, 3 if o < 5 or 45 <= o < 49 else 0 if o == 49 else 2): 40 for o in range(50)}
+
+
+def test_validity_equals_that_of_each_roa_with_nulls_and_both_families(spark):
+    rnd = random.Random(11)
+    text_of = lambda: rnd.choice([f"10.{rnd.randint(0, 3)}.0.0/{rnd.choice([8, 10, 12, 15, 16, 24])}", f"2001:db8:{rnd.randint(0, 3)}::/{rnd.choice([20, 32, 46, 48, 64])}", None, "11.0.0.0/8"])
+    pairs = _prefixed(spark, [(text_of(), rnd.choice([1, 2, 3, 4])) for _ in range(400)], "prefix string, origin long")
+    for n in (0, 3, 60):
+        roas = _prefixed(spark, [(rnd.choice([1, 2, 3, None]), text_of(), rnd.choice([8, 12, 16, 24, 46, 48, None])) for _ in range(n)], "asn long, prefix string, max_length int")
+        distinct = va.distinct_pairs(pairs)
+        want = va.all_validity(distinct, va.best_validity(va.known_validity(distinct, roas)))
+        found = va.validated_pairs(pairs, roas)
+        assert found.dtypes == want.dtypes
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
+    # As in SQL, a pair without an origin is unknown, once.
+    lone = _prefixed(spark, [("10.0.0.0/16", None)], "prefix string, origin long")
+    assert [r.validity for r in va.validated_pairs(lone, _prefixed(spark, [(1, "10.0.0.0/8", 16)], "asn long, prefix string, max_length int")).collect()] == [1]
+
+
+def test_the_table_of_all_invalid_pairs_reads_its_pairs_once(spark, sf):
+    from pathweave.plans import registry
+
+    plan = registry.queries()["policy_table_rov"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1
+
+
 def test_empty_inputs(spark):
     pairs = spark.createDataFrame([], f"prefix {px.TYPE}, origin long")
     roas = spark.createDataFrame([], f"asn long, prefix {px.TYPE}, max_length int")
